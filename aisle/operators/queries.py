@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aisle.functions import query_rules as rules
-from aisle.functions.text import hashed_order, normalize_text
+from aisle import skew
+from aisle.functions.text import hashed_order, normalize_text, tokenize
 from aisle.operators.splits import query_split
 
 # Use cases per category label and the ones for any other category.
@@ -193,3 +194,20 @@ def query_understanding(pairs: DataFrame, items: DataFrame, max_expanded: int =
         F.lit("mock").alias("provider"),
         F.lit(0.0).alias("estimated_cost_usd"),
     )
+
+
+def bag_of_words_vocabulary(texts: DataFrame, text: str) -> DataFrame:
+    """Distinct tokens numbered alphabetically from 0."""
+    tokens = texts.select(F.explode(tokenize(text)).alias("term")).distinct()
+    numbered = skew.row_number(tokens, [], [F.col("term")], "n", ["term"])
+    return numbered.select("term", (F.col("n") - 1).alias("idx"))
+
+
+def bag_of_words(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
+    """Sparse counts (key, term, n, idx); tokens outside the vocabulary are ignored."""
+    counts = (
+        texts.select(key, F.explode(tokenize(text)).alias("term"))
+        .groupBy(key, "term")
+        .agg(F.count("*").alias("n"))
+    )
+    return skew.join(counts, vocabulary, "term", row_id=[key])

@@ -51,11 +51,7 @@ def term_counts(
         weight = float(field_weights.get(name, 1.0))
         if weight > 0:
             words = F.coalesce(tokenize(F.col(name).cast("string")), F.array().cast("array<string>"))
-            weighted.append(
-                F.transform(
-                    words, lambda t, w=weight: F.struct(t.alias("term"), F.lit(w).alias("w"))
-                )
-            )
+            weighted.append(F.transform(words, _with_weight(weight)))
     return (
         placed.select("item_id", F.explode(F.concat(*weighted)).alias("x"))
         .groupBy("item_id", F.col("x.term").alias("term"))
@@ -63,6 +59,10 @@ def term_counts(
     )
 
 
+def _with_weight(weight: float):
+    return lambda term: F.struct(term.alias("term"), F.lit(weight).alias("w"))
+
+
 def bm25_index(
     items: DataFrame,
     k1: float = 1.5,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aisle import skew
 from aisle.functions.text import hashed_int
+from aisle.operators.counting import draw_unlisted
 
 
 def leave_one_out(
@@ -152,82 +153,30 @@ def negative_sampling(
 ) -> DataFrame:
     """For each positive row, distinct catalog items its user never touched.
 
-    The unseen items of a user are addressed by number without listing them: with the seen
-    catalog places sorted as a(1..s), unseen number r lies at place r + count(a(i) - i <= r).
-    Each positive draws one number from every one of ``per_positive`` equal ranges, so draws are
-    distinct, and the count is taken with running sums over ranges of places.
+    The unseen items of a user are addressed by number and never listed, see ``draw_unlisted``.
     """
     index = item_index(catalog)
     catalog_size = index.agg(F.count("*")).scalar()
-    seen = skew.join(
-        interactions.select("user_id", "item_id").distinct(), index, "item_id"
-    ).select("user_id", "item_idx")
-    gaps = skew.row_number(seen, "user_id", [F.col("item_idx")], "_i", ["item_idx"]).select(
-        "user_id", (F.col("item_idx") - F.col("_i")).alias("_at")
-    )
+    pairs = interactions.select("user_id", "item_id").distinct()
+    seen = skew.join(pairs, index, "item_id").select("user_id", "item_idx")
     seen_counts = seen.groupBy("user_id").agg(F.count("*").alias("_seen"))
-    row_columns = [c for c in ("event_id", "split") if c in interactions.columns]
-    positives = skew.join(
-        interactions.select("user_id", "item_id", *row_columns), seen_counts, "user_id", "left"
-    ).withColumn("_free", catalog_size - F.coalesce("_seen", F.lit(0)))
-    take = F.least(F.lit(per_positive).cast("long"), F.col("_free"))
-    drawn = (
-        positives.where("_free > 0")
-        .withColumn("_k", take)
+    kept = [c for c in ("event_id", "split") if c in interactions.columns]
+    free = catalog_size - F.coalesce("_seen", F.lit(0))
+    draws = (
+        skew.join(interactions.select("user_id", "item_id", *kept), seen_counts, "user_id", "left")
+        .withColumn("_free", free)
+        .where("_free > 0")
+        .withColumn("_k", F.least(F.lit(per_positive).cast("long"), F.col("_free")))
         .withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
-        .withColumn("_low", F.expr("draw * _free div _k"))
-        .withColumn("_high", F.expr("(draw + 1) * _free div _k"))
-        .withColumn(
-            "_at",
-            F.col("_low")
-            + hashed_int(
-                F.lit(seed), "user_id", "item_id", *([] if "event_id" not in row_columns else ["event_id"]), "draw"
-            )
-            % (F.col("_high") - F.col("_low")),
-        )
-        .drop("_low", "_high", "_k", "_free", "_seen")
+        .drop("_seen")
     )
-    placed = _count_at_or_below(drawn, gaps, catalog_size)
-    chosen = placed.select(
-        "user_id",
-        F.col("item_id").alias("positive_item_id"),
-        *row_columns,
-        "draw",
-        (F.col("_at") + F.col("_below") + 1).alias("item_idx"),
+    row = ["user_id", "item_id", *[c for c in kept if c == "event_id"]]
+    chosen = draw_unlisted(
+        draws, seen, ["user_id"], hashed_int(F.lit(seed), *row, "draw"), catalog_size
     )
     names = index.select("item_idx", F.col("item_id").alias("negative_item_id"))
-    return skew.join(chosen, names, "item_idx").drop("item_idx")
-
-
-def _count_at_or_below(points: DataFrame, marks: DataFrame, span: Column) -> DataFrame:
-    """For each point the number of its user's marks with ``_at`` not above the point's."""
-    parts = 256
-    part = F.least(F.expr(f"_at * {parts}") / F.greatest(span, F.lit(1)), F.lit(parts - 1))
-    points = points.withColumn("_part", F.floor(part).cast("int"))
-    marks = marks.groupBy("user_id", "_at").agg(F.count("*").alias("_n"))
-    marks = marks.withColumn("_part", F.floor(part).cast("int"))
-    before = Window.partitionBy("user_id").orderBy("_part").rangeBetween(
-        Window.unboundedPreceding, -1
-    )
-    touched = points.select("user_id", "_part").distinct().withColumn("_n", F.lit(0).cast("long"))
-    offsets = (
-        marks.select("user_id", "_part", "_n")
-        .unionByName(touched)
-        .groupBy("user_id", "_part")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    running = Window.partitionBy("user_id", "_part").orderBy("_at").rangeBetween(
-        Window.unboundedPreceding, 0
-    )
-    stacked = points.withColumn("_n", F.lit(0).cast("long")).unionByName(
-        marks, allowMissingColumns=True
-    )
-    inside = stacked.withColumn("_inside", F.sum("_n").over(running)).where("draw is not null")
-    return skew.join(inside, offsets, ["user_id", "_part"]).withColumn(
-        "_below", F.col("_inside") + F.col("_before")
-    )
+    positives = chosen.withColumnRenamed("item_id", "positive_item_id")
+    return skew.join(positives, names, "item_idx").drop("item_idx")
 
 
 def uniform_negative_ids(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, shared between executors on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        return tempfile.mkdtemp(prefix=f"aisle-{name}-")
+    return f"{base.rstrip('/')}/aisle-{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Materialise a frame once in the shared checkpoint folder so later steps do not recompute it."""
     ensure_checkpoint_dir(df.sparkSession)

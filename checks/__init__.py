@@ -1,6 +1,6 @@
 """Queries with their SQL counterparts, one module per area."""
 
-from checks import base, retrieval
+from checks import base, data, retrieval
 
-QUERIES, ORACLES = base.QUERIES, base.ORACLES
-__all__ = ["QUERIES", "ORACLES", "retrieval"]
+QUERIES, ORACLES = base.QUERIES, base.oracles()
+__all__ = ["QUERIES", "ORACLES", "data", "retrieval"]

@@ -13,7 +13,7 @@ from aisle.operators import splits
 from aisle.sources import testdata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -41,12 +41,16 @@ def check(name: str, sql: str | None = None, *ctes: str):
     def register(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql, *ctes)
+            _SQL[name] = (sql, ctes)
         return fn
 
     return register
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_ctes(sql, *ctes) for name, (sql, ctes) in _SQL.items()}
+
+
 def flat(column: str, sep: str = "|"):
     """Array column as one text so that both engines hash the same value."""
     return F.concat_ws(sep, F.transform(column, lambda x: x.cast("string"))).alias(column)
