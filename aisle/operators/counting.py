@@ -49,27 +49,44 @@ def count_at_or_below(
     )
 
 
-def draw_unlisted(
-    draws: DataFrame,
+def nth_unlisted(
+    numbered: DataFrame,
     listed: DataFrame,
     keys: Sequence[str],
-    hashed: Column,
     catalog_size: Column,
+    below: int | None = None,
 ) -> DataFrame:
-    """Turn each draw into the catalog place of an item its group has not listed.
+    """Replace the unlisted number ``_at`` of each row by its catalog place ``item_idx``.
 
-    ``draws`` has ``draw`` = 0.._k-1 per row with ``_k`` draws out of ``_free`` unlisted items;
-    ``listed`` has the distinct listed places ``item_idx`` per group. Draw number d picks one
-    unlisted number inside the d-th of ``_k`` equal ranges, so the draws of a row are distinct.
-    With the listed places sorted as a(1..s), unlisted number r lies at place
-    r + 1 + count(a(i) - i <= r).
+    ``listed`` has the distinct listed places per group. With those sorted as a(1..s), unlisted
+    number r lies at place r + 1 + count(a(i) - i <= r), so unlisted items are never enumerated.
+    ``below`` states that every number is smaller, which lets all later gaps be skipped.
     """
     gaps = skew.row_number(listed, list(keys), [F.col("item_idx")], "_i", ["item_idx"]).select(
         *keys, (F.col("item_idx") - F.col("_i")).alias("_at")
     )
-    low, high = F.expr("draw * _free div _k"), F.expr("(draw + 1) * _free div _k")
-    numbered = draws.withColumn("_at", low + hashed % (high - low)).drop("_k", "_free")
-    placed = count_at_or_below(numbered, gaps, keys, "_at", catalog_size, "_skipped")
+    if below is not None:
+        gaps = gaps.where(F.col("_at") < below)
+    span = catalog_size if below is None else F.lit(below)
+    placed = count_at_or_below(numbered, gaps, keys, "_at", span, "_skipped")
     return placed.withColumn("item_idx", F.col("_at") + F.col("_skipped") + 1).drop(
         "_at", "_skipped"
     )
+
+
+def draw_unlisted(
+    draws: DataFrame,
+    listed: DataFrame,
+    keys: Sequence[str],
+    hashed: Column,
+    catalog_size: Column,
+) -> DataFrame:
+    """Turn each draw into the catalog place of an item its group has not listed.
+
+    ``draws`` has ``draw`` = 0.._k-1 per row with ``_k`` draws out of ``_free`` unlisted items.
+    Draw d picks one unlisted number inside the d-th of ``_k`` equal ranges, so the draws of a
+    row are distinct.
+    """
+    low, high = F.expr("draw * _free div _k"), F.expr("(draw + 1) * _free div _k")
+    numbered = draws.withColumn("_at", low + hashed % (high - low)).drop("_k", "_free")
+    return nth_unlisted(numbered, listed, keys, catalog_size)

@@ -28,13 +28,17 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.aisle.hotGroupRows", str(DEFAULT_HOT_ROWS)))
 
 
-def hot_groups(df: DataFrame, keys: str | Sequence[str]) -> DataFrame | None:
+def hot_groups(
+    df: DataFrame, keys: str | Sequence[str], rows: int | None = None
+) -> DataFrame | None:
     """The hot key values of ``df`` as a small frame, or None when there are none."""
     names = _names(keys)
+    least = hot_rows(df) if rows is None else min(rows, hot_rows(df))
     found = (
-        df.groupBy(*names)
+        df.dropna(subset=names)
+        .groupBy(*names)
         .count()
-        .where(F.col("count") >= hot_rows(df))
+        .where(F.col("count") >= least)
         .orderBy(F.col("count").desc())
         .limit(MAX_HOT_GROUPS)
         .select(*names)
@@ -61,14 +65,16 @@ def join(
     on: str | Sequence[str],
     how: str = "inner",
     row_id: Sequence[str] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Join where ``left`` may be hot on the key.
 
     Rows of hot keys are spread over ``SALTS`` parts and only the matching ``right`` rows are
-    repeated, so the result is the plain join. ``how`` is any join that keeps or drops left rows.
+    repeated, so the result is the plain join. ``how`` is inner, left, left_semi or left_anti.
+    ``rows`` lowers the bar where each left row meets many right rows.
     """
     names = _names(on)
-    hot = hot_groups(left, names)
+    hot = hot_groups(left, names, rows)
     if hot is None:
         return left.join(right, names, how)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in (row_id or left.columns)]), F.lit(SALTS))
