@@ -118,7 +118,7 @@ def min_count_filter(
     for key, least in (("user_id", min_user), ("item_id", min_item)):
         if least > 1:
             enough = kept.groupBy(key).count().where(F.col("count") >= least).select(key)
-            kept = skew.join(kept, enough, key, "left_semi")
+            kept = skew.join(kept, enough, key, "left_semi", keys_from=interactions)
     return (
         users.join(kept.select("user_id").distinct(), "user_id", "left_semi"),
         items.join(kept.select("item_id").distinct(), "item_id", "left_semi"),

@@ -17,35 +17,37 @@ def count_at_or_below(
 ) -> DataFrame:
     """For each point the number of marks of its group whose ``at`` is not above its own.
 
-    ``at`` lies in 0..span. Each group is cut into ``PARTS`` ranges of ``at``: totals of the lower
-    ranges come from a small aggregate, the rest from a running sum inside one range, so neither
-    a group's pairs nor a whole group ever meet in one task.
+    ``at`` lies in 0..span. Each group is cut into ``PARTS`` ranges of ``at``: the total of the
+    lower ranges is carried into a range as one extra row ahead of its marks, and a running sum
+    inside the range does the rest. Neither a group's pairs nor a whole group meet in one task.
     """
     cells = [*keys, "_part"]
     width = F.greatest(span, F.lit(1)).cast("double")
     part = F.least(F.floor(F.col(at) * PARTS / width), F.lit(PARTS - 1)).cast("int")
-    points = points.withColumn("_part", part).withColumn("_point", F.lit(True))
     counted = marks.groupBy(*keys, at).agg(F.count("*").alias("_n")).withColumn("_part", part)
-    lower = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    touched = points.select(*cells).distinct().withColumn("_n", F.lit(0).cast("long"))
-    offsets = (
-        counted.select(*cells, "_n")
-        .unionByName(touched)
-        .groupBy(*cells)
+    totals = F.map_from_entries(F.collect_list(F.struct("_part", "_n")))
+    carried = (
+        counted.groupBy(*cells)
         .agg(F.sum("_n").alias("_n"))
-        .withColumn("_lower", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
-        .drop("_n")
+        .groupBy(*keys)
+        .agg(totals.alias("_t"))
+        .withColumn("_part", F.explode(F.sequence(F.lit(1), F.lit(PARTS - 1))))
+        .withColumn("_under", F.map_filter("_t", lambda p, n: p < F.col("_part")))
+        .where(F.size("_under") > 0)
+        .select(
+            *cells,
+            F.lit(-1).cast("long").alias(at),
+            F.aggregate(F.map_values("_under"), F.lit(0).cast("long"), lambda a, n: a + n).alias("_n"),
+        )
     )
     running = Window.partitionBy(*cells).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
-    inside = (
-        points.withColumn("_n", F.lit(0).cast("long"))
-        .unionByName(counted, allowMissingColumns=True)
-        .withColumn("_inside", F.sum("_n").over(running))
-        .where("_point")
+    stacked = (
+        points.withColumn("_part", part)
+        .withColumns({"_point": F.lit(True), "_n": F.lit(0).cast("long")})
+        .unionByName(counted.unionByName(carried), allowMissingColumns=True)
     )
-    joined = skew.join(inside, offsets, cells)
-    return joined.withColumn(name, F.col("_inside") + F.col("_lower")).drop(
-        "_part", "_point", "_n", "_inside", "_lower"
+    return (
+        stacked.withColumn(name, F.sum("_n").over(running)).where("_point").drop("_part", "_point", "_n")
     )
 
 
@@ -55,6 +57,7 @@ def nth_unlisted(
     keys: Sequence[str],
     catalog_size: Column,
     below: int | None = None,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Replace the unlisted number ``_at`` of each row by its catalog place ``item_idx``.
 
@@ -62,9 +65,10 @@ def nth_unlisted(
     number r lies at place r + 1 + count(a(i) - i <= r), so unlisted items are never enumerated.
     ``below`` states that every number is smaller, which lets all later gaps be skipped.
     """
-    gaps = skew.row_number(listed, list(keys), [F.col("item_idx")], "_i", ["item_idx"]).select(
-        *keys, (F.col("item_idx") - F.col("_i")).alias("_at")
+    places = skew.row_number(
+        listed, list(keys), [F.col("item_idx")], "_i", ["item_idx"], keys_from=keys_from
     )
+    gaps = places.select(*keys, (F.col("item_idx") - F.col("_i")).alias("_at"))
     if below is not None:
         gaps = gaps.where(F.col("_at") < below)
     span = catalog_size if below is None else F.lit(below)
@@ -80,6 +84,7 @@ def draw_unlisted(
     keys: Sequence[str],
     hashed: Column,
     catalog_size: Column,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Turn each draw into the catalog place of an item its group has not listed.
 
@@ -89,4 +94,4 @@ def draw_unlisted(
     """
     low, high = F.expr("draw * _free div _k"), F.expr("(draw + 1) * _free div _k")
     numbered = draws.withColumn("_at", low + hashed % (high - low)).drop("_k", "_free")
-    return nth_unlisted(numbered, listed, keys, catalog_size)
+    return nth_unlisted(numbered, listed, keys, catalog_size, keys_from=keys_from)

@@ -29,7 +29,9 @@ def behavior_summary(
         *[F.count_if(F.col("event_type") == e).alias(f"{e}_count") for e in EVENT_TYPES],
     )
     details = items.select("item_id", "title", "category", "brand", "price")
-    rows = skew.join(per_pair, details, "item_id", "left", row_id=["user_id"])
+    rows = skew.join(
+        per_pair, details, "item_id", "left", keys_from=train, row_id=["user_id"]
+    )
     totals = rows.groupBy("user_id").agg(
         F.sum("n").alias("history_length"),
         (
@@ -45,7 +47,8 @@ def behavior_summary(
     tie = [F.col("event_id").desc()] if "event_id" in train.columns else [F.col("item_id").desc()]
     latest = Window.partitionBy("user_id").orderBy(F.col("timestamp").desc(), *tie)
     titled = skew.join(
-        train, items.where("title is not null").select("item_id", "title"), "item_id"
+        train, items.where("title is not null").select("item_id", "title"), "item_id",
+        keys_from=train,
     )
     recents = (
         titled.withColumn("_back", F.row_number().over(latest))

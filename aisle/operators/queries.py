@@ -210,4 +210,4 @@ def bag_of_words(texts: DataFrame, vocabulary: DataFrame, key: str, text: str) -
         .groupBy(key, "term")
         .agg(F.count("*").alias("n"))
     )
-    return skew.join(counts, vocabulary, "term", row_id=[key])
+    return skew.join(counts, vocabulary, "term", keys_from=counts, row_id=[key])

@@ -30,6 +30,7 @@ from aisle.operators.retrieval import (
     hybrid_scores,
 )
 from aisle.operators.splits import item_index
+from aisle.session import cut_lineage
 
 # Columns that are never model features and the orders in which score and rank
 # columns are preferred.
@@ -124,6 +125,7 @@ def candidate_pool(
         .select("query_id", "item_id", "bm25", "dense", "hybrid")
         .withColumns({"forced": F.lit(False), "random": F.lit(False)})
     )
+    listed = cut_lineage(listed)
     no = F.lit(False)
     if ensure_positive:
         targets = pairs.select("query_id", F.col("target_item_id").alias("item_id")).distinct()
@@ -178,17 +180,21 @@ def candidate_pool(
     )
 
 
-def _catalog_ranks(scores: DataFrame, wanted: DataFrame, index: DataFrame, size: Column) -> DataFrame:
+def _catalog_ranks(scores: DataFrame, wanted: DataFrame, index: DataFrame) -> DataFrame:
     """Scores and full-catalog ranks of the wanted (query_text, item_id) pairs.
 
     Matched items are ranked among the matched. An item with score 0 stands behind all m matched
     ones at its id order among the rest: m + place - matched places at or below it.
     """
+    items_bound = index.count()
+    size = F.lit(items_bound)
     ranked = scores
     for name in ("bm25", "dense", "hybrid"):
         score = f"{name}_score"
         order = [(-F.col(score)).alias("s"), F.col("item_id")]
-        ranked = skew.row_number(ranked, "query_text", order, f"{name}_rank", ["item_id"])
+        ranked = skew.row_number(
+            ranked, "query_text", order, f"{name}_rank", ["item_id"], at_most=items_bound
+        )
     found = skew.join(wanted, index, "item_id").join(
         ranked, ["query_text", "item_id"], "left"
     )
@@ -256,6 +262,7 @@ def ranking_features(
     scores = hybrid_scores(bm25, tfidf, texts, bm25_weight, dense_weight).withColumnRenamed(
         "score", "hybrid_score"
     )
+    scores = cut_lineage(scores)
     top = best_first("query_text", "hybrid_score", pool, scores.where("hybrid_score > 0"))
     pooled = fill_with_zeros(top, texts, bm25.item_ids, pool, ["hybrid_score"]).select(
         "query_text", "item_id", F.lit(True).alias("pooled")
@@ -268,9 +275,8 @@ def ranking_features(
         wanted = pooled.unionByName(targets).groupBy("query_text", "item_id").agg(
             F.max("pooled").alias("pooled")
         )
-    index = item_index(items)
-    size = index.agg(F.count("*")).scalar()
-    ranked = _catalog_ranks(scores, wanted.drop("pooled"), index, size)
+    index = cut_lineage(item_index(items))
+    ranked = _catalog_ranks(scores, wanted.drop("pooled"), index)
     details = business_proxies(train, items).join(items, "item_id")
     rating = F.coalesce("avg_rating", F.lit(0.0))
     count = F.coalesce("rating_count", F.lit(0))
@@ -302,7 +308,7 @@ def ranking_features(
     )
     queries = pairs.select("query_id", "query_text", "split", "target_item_id")
     shared = skew.join(
-        queries, features.where("pooled"), "query_text", row_id=["query_id"]
+        queries, features.where("pooled"), "query_text", keys_from=pairs, row_id=["query_id"]
     )
     if ensure_positive:
         own = features.where("not pooled").withColumnRenamed("candidate_item_id", "target_item_id")
@@ -500,8 +506,12 @@ def pair_encode(
         F.col("item_id").alias("candidate_item_id"), F.col("ids").alias("item_ids")
     )
     keys = candidates.select("query_id", "query_text", "candidate_item_id")
-    joined = skew.join(keys, texts, "query_text", "left", row_id=["query_id", "candidate_item_id"])
-    joined = skew.join(joined, things, "candidate_item_id", "left", row_id=["query_id"])
+    joined = skew.join(
+        keys, texts, "query_text", "left", keys_from=keys, row_id=["query_id", "candidate_item_id"]
+    )
+    joined = skew.join(
+        joined, things, "candidate_item_id", "left", keys_from=keys, row_id=["query_id"]
+    )
     none = F.array().cast("array<int>")
     ids = F.slice(
         F.concat(
@@ -523,7 +533,9 @@ def _pair_tokens(candidates: DataFrame, items: DataFrame) -> DataFrame:
         F.col("item_id").alias("candidate_item_id"),
         F.array_distinct(tokenize(item_text())).alias("_item"),
     )
-    joined = skew.join(candidates, bodies, "candidate_item_id", row_id=["query_id"]).withColumn(
+    joined = skew.join(
+        candidates, bodies, "candidate_item_id", keys_from=candidates, row_id=["query_id"]
+    ).withColumn(
         "_query", F.array_distinct(tokenize("query_text"))
     )
     crossed = F.flatten(

@@ -12,6 +12,7 @@ from aisle.operators.counting import nth_unlisted
 from aisle.operators.retrieval import SCORE_DIGITS, TermIndex
 from aisle.operators.splits import item_index
 from aisle.operators.vectors import block_topk
+from aisle.session import cut_lineage
 
 PAIR_HOT_ROWS = 20_000
 
@@ -42,7 +43,7 @@ def _slots(users: DataFrame, listed: DataFrame, size: Column, k: int) -> DataFra
     held = listed.groupBy("user_id").agg(F.count("*").alias("_held"))
     free = F.least(F.lit(k).cast("long"), size - F.coalesce("_held", F.lit(0)))
     return (
-        skew.join(users, held, "user_id", "left")
+        users.join(held, "user_id", "left")
         .withColumn("_free", free)
         .where("_free > 0")
         .withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_free") - 1)))
@@ -71,13 +72,16 @@ def popularity_recs(
     ranked = skew.row_number(
         scored, [], [(-F.col("score")).alias("s"), F.col("item_id")], "item_idx", ["item_id"]
     )
-    size = catalog.agg(F.count("*")).scalar()
-    places = skew.join(user_history(train), ranked, "item_id").select("user_id", "item_idx")
-    listed = places.join(users.select("user_id"), "user_id", "left_semi")
+    ranked = cut_lineage(ranked.select("item_id", "item_idx", "score"))
+    size = ranked.agg(F.count("*")).scalar()
+    seen = skew.join(
+        user_history(train), users.select("user_id"), "user_id", "left_semi", keys_from=train
+    )
+    listed = skew.join(seen, ranked, "item_id", keys_from=train).select("user_id", "item_idx")
     if not exclude_seen:
         listed = listed.where(F.lit(False))
     slots = _slots(users.select("user_id"), listed, size, k).withColumn("_r", F.col("_at"))
-    chosen = nth_unlisted(slots, listed, ["user_id"], size, below=k)
+    chosen = nth_unlisted(slots, listed, ["user_id"], size, below=k, keys_from=train)
     return skew.join(chosen, ranked, "item_idx").select(
         "user_id", "item_id", "score", (F.col("_r") + 1).cast("int").alias("rank")
     )
@@ -104,6 +108,7 @@ def rank_unseen(
     )
     if not fill:
         return top
+    top = cut_lineage(top)
     counts = top.groupBy("user_id").agg(F.count("*").alias("_m"))
     short = (
         users.select("user_id")
@@ -116,11 +121,11 @@ def rank_unseen(
     taken = top.select("user_id", "item_id")
     if seen is not None:
         taken = taken.unionByName(seen.select("user_id", "item_id")).distinct()
-    taken = skew.join(taken, short.select("user_id"), "user_id", "left_semi")
-    listed = skew.join(taken, index, "item_id").select("user_id", "item_idx")
+    taken = cut_lineage(skew.join(taken, short.select("user_id"), "user_id", "left_semi"))
+    listed = skew.join(taken, index, "item_id", keys_from=taken).select("user_id", "item_idx")
     slots = _slots(short, listed, size, k).where(F.col("_at") < k - F.col("_m"))
     slots = slots.withColumn("rank", (F.col("_m") + F.col("_at") + 1).cast("int"))
-    filler = nth_unlisted(slots, listed, ["user_id"], size, below=k)
+    filler = nth_unlisted(slots, listed, ["user_id"], size, below=k, keys_from=taken)
     named = skew.join(filler, index, "item_idx").select(
         "user_id", "item_id", F.lit(0.0).alias("score"), "rank"
     )
@@ -139,13 +144,13 @@ def itemcf_similarity(
     norms = weights.groupBy("item_id").agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")
     )
-    unit = skew.join(weights, norms, "item_id").select(
+    unit = skew.join(weights, norms, "item_id", keys_from=train).select(
         "user_id", "item_id", (F.col("weight") / F.col("norm")).alias("w")
     )
     left = unit.withColumnsRenamed({"item_id": "a", "w": "wa"})
     right = unit.withColumnsRenamed({"item_id": "b", "w": "wb"})
     pairs = (
-        skew.join(left, right, "user_id", row_id=["a"], rows=PAIR_HOT_ROWS)
+        skew.join(left, right, "user_id", keys_from=train, row_id=["a"], rows=PAIR_HOT_ROWS)
         .where("a < b")
         .groupBy("a", "b")
         .agg(F.sum(F.col("wa") * F.col("wb")).alias("s"), F.count("*").alias("n"))
@@ -180,6 +185,7 @@ def with_popularity(
     fill: bool = True,
 ) -> DataFrame:
     """Rank the scored users; users without any score get popularity lists."""
+    scored = cut_lineage(scored)
     known = scored.select("user_id").distinct()
     seen = user_history(train) if exclude_seen else None
     reached = users.select("user_id").join(known, "user_id", "left_semi")
@@ -199,10 +205,16 @@ def itemcf_recs(
 ) -> DataFrame:
     """Sum of similarity times weight over each user's items, popularity where that is empty."""
     similarity = itemcf_similarity(train, min_cooccurrence, max_neighbors)
-    wanted = skew.join(user_item_weights(train), users.select("user_id"), "user_id", "left_semi")
+    wanted = skew.join(
+        user_item_weights(train), users.select("user_id"), "user_id", "left_semi", keys_from=train
+    )
     scored = (
         skew.join(
-            wanted.withColumnRenamed("item_id", "item_j"), similarity, "item_j", row_id=["user_id"]
+            wanted.withColumnRenamed("item_id", "item_j"),
+            similarity,
+            "item_j",
+            keys_from=train.select(F.col("item_id").alias("item_j")),
+            row_id=["user_id"],
         )
         .groupBy("user_id", F.col("item_i").alias("item_id"))
         .agg(F.round(F.sum(F.col("similarity") * F.col("weight")), SCORE_DIGITS).alias("score"))
@@ -266,7 +278,7 @@ def content_profiles(train: DataFrame, index: TermIndex) -> DataFrame:
     postings = index.postings.select("item_id", "term", F.col("weight").alias("x"))
     weights = user_item_weights(train)
     summed = (
-        skew.join(weights, postings, "item_id", row_id=["user_id"])
+        skew.join(weights, postings, "item_id", keys_from=train, row_id=["user_id"])
         .groupBy("user_id", "term")
         .agg(F.sum(F.col("weight") * F.col("x")).alias("v"))
     )
@@ -349,7 +361,9 @@ def profile_recs(profiles: DataFrame, users: DataFrame, items: DataFrame, k: int
         known.withColumn("cell_c", F.explode(F.concat("top_categories", F.array(star))))
         .withColumn("cell_b", F.explode(F.concat("top_brands", F.array(star))))
     )
-    joined = skew.join(asked, lists, ["cell_c", "cell_b"], row_id=["user_id"])
+    joined = skew.join(
+        asked, lists, ["cell_c", "cell_b"], keys_from=asked, row_id=["user_id"], rows=100_000
+    )
     score = (
         F.array_contains("top_categories", F.col("category")).cast("double")
         + F.array_contains("top_brands", F.col("brand")).cast("double")
@@ -391,7 +405,10 @@ def user_profile_summary(users: DataFrame, interactions: DataFrame, items: DataF
         F.count("*").alias("n"),
         F.sum(F.coalesce("event_weight", F.lit(1.0))).alias("w"),
     )
-    rows = skew.join(per_pair, items.select("item_id", "category", "brand"), "item_id", "left")
+    rows = skew.join(
+        per_pair, items.select("item_id", "category", "brand"), "item_id", "left",
+        keys_from=interactions, row_id=["user_id"],
+    )
     totals = per_pair.groupBy("user_id").agg(
         F.sum("n").alias("num_interactions"),
         F.count("*").alias("num_unique_items"),

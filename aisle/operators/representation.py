@@ -189,15 +189,19 @@ def item_embeddings(
     entries = placed.groupBy("item_id").agg(
         F.map_from_entries(F.collect_list(F.struct("place", "value"))).alias("e")
     )
-    dense = F.transform(F.sequence(F.lit(1).cast("long"), dim), lambda i: F.coalesce(F.col("e")[i], F.lit(0.0)))
+    dense = F.transform(
+        F.sequence(F.lit(1).cast("long"), F.col("embedding_dim")),
+        lambda i: F.coalesce(F.col("e")[i], F.lit(0.0)),
+    )
     image = F.lit(False) if has_image is None else has_image
     return (
         items.select("item_id")
         .join(entries, "item_id", "left")
+        .withColumn("embedding_dim", dim)
         .select(
             "item_id",
             dense.alias("embedding"),
-            dim.alias("embedding_dim"),
+            "embedding_dim",
             F.lit(method).alias("method"),
             F.lit(method != "metadata_only").alias("has_text_features"),
             F.lit(method != "text_only").alias("has_metadata_features"),

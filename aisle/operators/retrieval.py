@@ -147,15 +147,22 @@ def matched_scores(index: TermIndex, texts: DataFrame, score: str = "score") ->
     """Score of every (query_text, item) pair that shares a term; all other pairs score 0."""
     wanted = encode_queries(index, texts).withColumnRenamed("weight", "_qw")
     postings = index.postings.select("item_id", "term", "weight")
-    if skew.fits_broadcast(wanted):
+    if skew.fits_broadcast(query_terms(texts)):
         pairs = postings.join(F.broadcast(wanted), "term")
     else:
-        pairs = skew.join(postings, wanted, "term")
+        pairs = skew.join(postings, wanted, "term", hot=frequent_terms(index), row_id=["item_id"])
     return pairs.groupBy("query_text", "item_id").agg(
         F.round(F.sum(F.col("_qw") * F.col("weight")), SCORE_DIGITS).alias(score)
     )
 
 
+def frequent_terms(index: TermIndex) -> DataFrame:
+    """Terms whose postings are too many for one task; the index already counted them."""
+    bar = skew.hot_rows(index.terms)
+    most = index.terms.where(F.col("df") >= bar).orderBy(F.col("df").desc())
+    return most.select("term").limit(skew.MAX_HOT_GROUPS)
+
+
 def distinct_texts(queries: DataFrame) -> DataFrame:
     return queries.select("query_text").distinct()
 
@@ -200,7 +207,7 @@ def fill_with_zeros(
 
 def to_queries(results: DataFrame, queries: DataFrame) -> DataFrame:
     """Results per text handed to every query id with that text, however many share it."""
-    return skew.join(queries, results, "query_text", row_id=["query_id"])
+    return skew.join(queries, results, "query_text", keys_from=queries, row_id=["query_id"])
 
 
 def topk_texts(index: TermIndex, texts: DataFrame, k: int = 50, fill: bool = True) -> DataFrame:
@@ -376,7 +383,7 @@ def text_fallback_search(requests: DataFrame, items: DataFrame, k: int = 10) ->
     if skew.fits_broadcast(wanted):
         hits = item_terms.join(F.broadcast(wanted), "term")
     else:
-        hits = skew.join(item_terms, wanted, "term")
+        hits = skew.join(item_terms, wanted, "term", keys_from=item_terms, row_id=["item_id"])
     scored = hits.groupBy("query_text", "item_id").agg(
         (F.count("*") / F.first("_terms")).alias("score")
     )

@@ -42,14 +42,14 @@ def iso_timestamp(c: Column | str) -> Column:
     return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
 
 
-def sequence_positions(interactions: DataFrame) -> DataFrame:
+def sequence_positions(interactions: DataFrame, keys_from: DataFrame | None = None) -> DataFrame:
     """Each event with its 1-based place in the user's history; hot users are cut into ranges."""
     order = [F.col("timestamp"), F.col("item_id")]
     tie = ["item_id", "timestamp"]
     if "event_id" in interactions.columns:
         order.append(F.col("event_id"))
         tie.append("event_id")
-    return skew.row_number(interactions, "user_id", order, "position", tie)
+    return skew.row_number(interactions, "user_id", order, "position", tie, keys_from=keys_from)
 
 
 def user_sequences(interactions: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def item_index(*frames: DataFrame) -> DataFrame:
 
 
 def encode_interactions(interactions: DataFrame, index: DataFrame) -> DataFrame:
-    return skew.join(interactions, index, "item_id")
+    return skew.join(interactions, index, "item_id", keys_from=interactions)
 
 
 def pad_left(sequence: Column, length: int) -> Column:
@@ -105,7 +105,7 @@ def prefix_examples(
     The padded input comes from a frame of ``max_seq_len`` rows. ``seen_ids`` repeats the whole
     prefix in each row by definition; ``first_seen`` is the linear-size form of the same facts.
     """
-    encoded = sequence_positions(encode_interactions(train, index))
+    encoded = sequence_positions(encode_interactions(train, index), keys_from=train)
     by_user = Window.partitionBy("user_id").orderBy("position")
     recent = F.collect_list("item_idx").over(by_user.rowsBetween(-max_seq_len, -1))
     columns = ["user_id", "position", pad_left(recent, max_seq_len).alias("input_ids")]
@@ -122,7 +122,7 @@ def prefix_examples(
 
 def first_seen(train: DataFrame, index: DataFrame) -> DataFrame:
     """First position of each item in a history: seen before p means ``first_position < p``."""
-    encoded = sequence_positions(encode_interactions(train, index))
+    encoded = sequence_positions(encode_interactions(train, index), keys_from=train)
     return encoded.groupBy("user_id", "item_idx").agg(F.min("position").alias("first_position"))
 
 
@@ -130,7 +130,7 @@ def eval_examples(
     train: DataFrame, held_out: DataFrame, index: DataFrame, max_seq_len: int = 20
 ) -> DataFrame:
     """One row per held-out user that has train history."""
-    history = sequence_positions(encode_interactions(train, index))
+    history = sequence_positions(encode_interactions(train, index), keys_from=train)
     latest = Window.partitionBy("user_id").orderBy(F.col("position").desc())
     recent = (
         history.withColumn("_back", F.row_number().over(latest))
@@ -158,12 +158,18 @@ def negative_sampling(
     index = item_index(catalog)
     catalog_size = index.agg(F.count("*")).scalar()
     pairs = interactions.select("user_id", "item_id").distinct()
-    seen = skew.join(pairs, index, "item_id").select("user_id", "item_idx")
+    seen = skew.join(pairs, index, "item_id", keys_from=interactions).select("user_id", "item_idx")
     seen_counts = seen.groupBy("user_id").agg(F.count("*").alias("_seen"))
     kept = [c for c in ("event_id", "split") if c in interactions.columns]
     free = catalog_size - F.coalesce("_seen", F.lit(0))
     draws = (
-        skew.join(interactions.select("user_id", "item_id", *kept), seen_counts, "user_id", "left")
+        skew.join(
+            interactions.select("user_id", "item_id", *kept),
+            seen_counts,
+            "user_id",
+            "left",
+            keys_from=interactions,
+        )
         .withColumn("_free", free)
         .where("_free > 0")
         .withColumn("_k", F.least(F.lit(per_positive).cast("long"), F.col("_free")))
@@ -172,7 +178,8 @@ def negative_sampling(
     )
     row = ["user_id", "item_id", *[c for c in kept if c == "event_id"]]
     chosen = draw_unlisted(
-        draws, seen, ["user_id"], hashed_int(F.lit(seed), *row, "draw"), catalog_size
+        draws, seen, ["user_id"], hashed_int(F.lit(seed), *row, "draw"), catalog_size,
+        keys_from=interactions,
     )
     names = index.select("item_idx", F.col("item_id").alias("negative_item_id"))
     positives = chosen.withColumnRenamed("item_id", "positive_item_id")

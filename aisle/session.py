@@ -33,9 +33,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="aisle-checkpoint-")
+        local = spark.sparkContext.master.startswith("local")
+        # a relative path lies in the shared default file system of a cluster
+        current = tempfile.mkdtemp(prefix="aisle-checkpoint-") if local else "aisle-checkpoint"
         spark.sparkContext.setCheckpointDir(current)
     return current
 

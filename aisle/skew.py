@@ -64,33 +64,35 @@ def join(
     right: DataFrame,
     on: str | Sequence[str],
     how: str = "inner",
+    keys_from: DataFrame | None = None,
+    hot: DataFrame | None = None,
     row_id: Sequence[str] | None = None,
     rows: int | None = None,
 ) -> DataFrame:
     """Join where ``left`` may be hot on the key.
 
-    Rows of hot keys are spread over ``SALTS`` parts and only the matching ``right`` rows are
-    repeated, so the result is the plain join. ``how`` is inner, left, left_semi or left_anti.
-    ``rows`` lowers the bar where each left row meets many right rows.
+    ``keys_from`` is a cheap frame with the key distribution of ``left`` (a base table rather than
+    a long plan), ``hot`` a ready list of hot keys. Rows of hot keys are spread over ``SALTS`` parts
+    and only the matching ``right`` rows are repeated, so the result is the plain join. With
+    neither given the join is left to the adaptive skew join, which splits large partitions of
+    the left side. ``how`` is inner, left, left_semi or left_anti; ``rows`` lowers the bar where
+    each left row meets many right rows.
     """
     names = _names(on)
-    hot = hot_groups(left, names, rows)
+    if hot is None and keys_from is not None:
+        hot = hot_groups(keys_from, names, rows)
     if hot is None:
         return left.join(right, names, how)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in (row_id or left.columns)]), F.lit(SALTS))
-    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    marks = F.broadcast(hot.select(*names).withColumn("_hot", F.lit(True)))
     salted_left = left.join(marks, names, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int")
     )
+    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
     salted_right = (
         right.join(marks, names, "left")
         .withColumn(
-            "_salt",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
+            "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
         )
         .drop("_hot")
     )
@@ -103,17 +105,22 @@ def row_number(
     order: Sequence[Column],
     name: str,
     tie: Sequence[str],
+    keys_from: DataFrame | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Exact ascending ``row_number`` per key with hot groups cut into ordered ranges.
 
     ``order`` columns sort ascending (negate a number to sort it down) and must be total; ``tie``
     names columns that identify a row inside its group and spread the choice of cuts. With no
-    keys the whole frame is numbered, always in ranges and never in one task.
+    keys the whole frame is numbered, always in ranges and never in one task. Hot groups are
+    looked up in ``keys_from``, a cheap frame whose groups are at least as large, or in ``df``; a
+    known bound ``at_most`` on the group size saves the lookup when it is below the bar.
     """
     names = _names(keys)
     cut_count = CUTS_PER_GROUP
     if names:
-        hot = hot_groups(df, names)
+        bounded = at_most is not None and at_most < hot_rows(df)
+        hot = None if bounded else hot_groups(df if keys_from is None else keys_from, names)
         if hot is None:
             window = Window.partitionBy(*names).orderBy(*order)
             return df.withColumn(name, F.row_number().over(window).cast("long"))
