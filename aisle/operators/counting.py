@@ -13,39 +13,55 @@ PARTS = 256
 
 
 def count_at_or_below(
-    points: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, span: Column, name: str
+    points: DataFrame,
+    marks: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    span: Column,
+    name: str,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """For each point the number of marks of its group whose ``at`` is not above its own.
 
-    ``at`` lies in 0..span. Each group is cut into ``PARTS`` ranges of ``at``: the total of the
-    lower ranges is carried into a range as one extra row ahead of its marks, and a running sum
-    inside the range does the rest. Neither a group's pairs nor a whole group meet in one task.
+    Points and marks of a group meet in one running sum instead of in pairs. Groups listed in
+    ``hot`` are cut into ``PARTS`` ranges of ``at`` (which lies in 0..span); the total of the lower
+    ranges is carried into a range as one extra row ahead of its marks.
     """
     cells = [*keys, "_part"]
-    width = F.greatest(span, F.lit(1)).cast("double")
-    part = F.least(F.floor(F.col(at) * PARTS / width), F.lit(PARTS - 1)).cast("int")
-    counted = marks.groupBy(*keys, at).agg(F.count("*").alias("_n")).withColumn("_part", part)
-    totals = F.map_from_entries(F.collect_list(F.struct("_part", "_n")))
-    carried = (
-        counted.groupBy(*cells)
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy(*keys)
-        .agg(totals.alias("_t"))
-        .withColumn("_part", F.explode(F.sequence(F.lit(1), F.lit(PARTS - 1))))
-        .withColumn("_under", F.map_filter("_t", lambda p, n: p < F.col("_part")))
-        .where(F.size("_under") > 0)
-        .select(
-            *cells,
-            F.lit(-1).cast("long").alias(at),
-            F.aggregate(F.map_values("_under"), F.lit(0).cast("long"), lambda a, n: a + n).alias("_n"),
+    counted = marks.groupBy(*keys, at).agg(F.count("*").alias("_n"))
+    if hot is None:
+        points, counted = (df.withColumn("_part", F.lit(0)) for df in (points, counted))
+    else:
+        marked = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
+        width = F.greatest(span, F.lit(1)).cast("double")
+        part = F.least(F.floor(F.col(at) * PARTS / width), F.lit(PARTS - 1)).cast("int")
+        points, counted = (
+            df.join(marked, list(keys), "left")
+            .withColumn("_part", F.when(F.col("_hot"), part).otherwise(F.lit(0)))
+            .drop("_hot")
+            for df in (points, counted)
         )
-    )
+        totals = F.map_from_entries(F.collect_list(F.struct("_part", "_n")))
+        lower = F.map_filter("_t", lambda p, n: p < F.col("_part"))
+        zero = F.lit(0).cast("long")
+        carried = (
+            counted.join(marked, list(keys), "left_semi")
+            .groupBy(*cells)
+            .agg(F.sum("_n").alias("_n"))
+            .groupBy(*keys)
+            .agg(totals.alias("_t"))
+            .withColumn("_part", F.explode(F.sequence(F.lit(1), F.lit(PARTS - 1))))
+            .select(
+                *cells,
+                F.lit(-1).cast("long").alias(at),
+                F.aggregate(F.map_values(lower), zero, lambda a, n: a + n).alias("_n"),
+            )
+        )
+        counted = counted.unionByName(carried)
     running = Window.partitionBy(*cells).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
-    stacked = (
-        points.withColumn("_part", part)
-        .withColumns({"_point": F.lit(True), "_n": F.lit(0).cast("long")})
-        .unionByName(counted.unionByName(carried), allowMissingColumns=True)
-    )
+    stacked = points.withColumns(
+        {"_point": F.lit(True), "_n": F.lit(0).cast("long")}
+    ).unionByName(counted, allowMissingColumns=True)
     return (
         stacked.withColumn(name, F.sum("_n").over(running)).where("_point").drop("_part", "_point", "_n")
     )
@@ -65,14 +81,14 @@ def nth_unlisted(
     number r lies at place r + 1 + count(a(i) - i <= r), so unlisted items are never enumerated.
     ``below`` states that every number is smaller, which lets all later gaps be skipped.
     """
-    places = skew.row_number(
-        listed, list(keys), [F.col("item_idx")], "_i", ["item_idx"], keys_from=keys_from
-    )
+    hot = skew.find_hot(listed if keys_from is None else keys_from, list(keys))
+    order = [F.col("item_idx")]
+    places = skew.row_number(listed, list(keys), order, "_i", ["item_idx"], at_most=0, hot=hot)
     gaps = places.select(*keys, (F.col("item_idx") - F.col("_i")).alias("_at"))
     if below is not None:
         gaps = gaps.where(F.col("_at") < below)
     span = catalog_size if below is None else F.lit(below)
-    placed = count_at_or_below(numbered, gaps, keys, "_at", span, "_skipped")
+    placed = count_at_or_below(numbered, gaps, keys, "_at", span, "_skipped", hot)
     return placed.withColumn("item_idx", F.col("_at") + F.col("_skipped") + 1).drop(
         "_at", "_skipped"
     )

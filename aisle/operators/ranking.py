@@ -218,7 +218,9 @@ def _catalog_ranks(scores: DataFrame, wanted: DataFrame, index: DataFrame) -> Da
     present = stacked(scores, ["item_id"], False).join(touched, "query_text", "left_semi")
     matched = present.groupBy("kind", "query_text").agg(F.count("*").alias("m"))
     marks = skew.join(present, index, "item_id").select("kind", "query_text", "item_idx")
-    placed = count_at_or_below(absent, marks, ["kind", "query_text"], "item_idx", size, "under")
+    groups = ["kind", "query_text"]
+    hot = skew.find_hot(present, groups, at_most=items_bound)
+    placed = count_at_or_below(absent, marks, groups, "item_idx", size, "under", hot)
     late = (
         placed.join(matched, ["kind", "query_text"], "left")
         .groupBy("query_text", "item_id")

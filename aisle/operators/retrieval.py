@@ -174,35 +174,41 @@ def best_first(key: str, score: str, k: int, df: DataFrame, item: str = "item_id
 
 
 def fill_with_zeros(
-    top: DataFrame, texts: DataFrame, item_ids: DataFrame, k: int, zero_columns: Sequence[str]
+    top: DataFrame,
+    texts: DataFrame,
+    item_ids: DataFrame,
+    k: int,
+    zero_columns: Sequence[str],
+    keys: Sequence[str] = ("query_text",),
 ) -> DataFrame:
     """Lists shorter than ``k`` completed by the first unmatched item ids with score 0.
 
     At most m of the first k ids are matched by a list of m, so k ids suffice for every query.
     """
-    sizes = top.groupBy("query_text").agg(F.count("*").alias("_m"))
+    names = list(keys)
+    sizes = top.groupBy(*names).agg(F.count("*").alias("_m"))
     short = (
-        texts.join(sizes, "query_text", "left")
+        texts.join(sizes, names, "left")
         .withColumn("_m", F.coalesce("_m", F.lit(0)))
         .where(F.col("_m") < k)
     )
     first_ids = item_ids.orderBy("item_id").limit(k)
     listed = first_ids.agg(F.array_sort(F.collect_list("item_id"))).scalar()
     spare = short.withColumn("item_id", F.explode(listed)).join(
-        top.select("query_text", "item_id"), ["query_text", "item_id"], "left_anti"
+        top.select(*names, "item_id"), [*names, "item_id"], "left_anti"
     )
-    order = Window.partitionBy("query_text").orderBy("item_id")
+    order = Window.partitionBy(*names).orderBy("item_id")
     filler = (
         spare.withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= k - F.col("_m"))
         .select(
-            "query_text",
+            *names,
             "item_id",
             *[F.lit(0.0).alias(c) for c in zero_columns],
             (F.col("_m") + F.col("_n")).cast("int").alias("rank"),
         )
     )
-    return top.select("query_text", "item_id", *zero_columns, "rank").unionByName(filler)
+    return top.select(*names, "item_id", *zero_columns, "rank").unionByName(filler)
 
 
 def to_queries(results: DataFrame, queries: DataFrame) -> DataFrame:

@@ -49,6 +49,15 @@ def hot_groups(
     return df.sparkSession.createDataFrame(rows, found.schema)
 
 
+def find_hot(
+    keys_from: DataFrame, keys: Sequence[str], at_most: int | None = None
+) -> DataFrame | None:
+    """Hot groups, skipping the lookup when no group can reach the bar."""
+    if at_most is not None and at_most < hot_rows(keys_from):
+        return None
+    return hot_groups(keys_from, keys)
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting one past the limit."""
     return df.limit(rows + 1).count() <= rows
@@ -107,6 +116,7 @@ def row_number(
     tie: Sequence[str],
     keys_from: DataFrame | None = None,
     at_most: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Exact ascending ``row_number`` per key with hot groups cut into ordered ranges.
 
@@ -119,8 +129,8 @@ def row_number(
     names = _names(keys)
     cut_count = CUTS_PER_GROUP
     if names:
-        bounded = at_most is not None and at_most < hot_rows(df)
-        hot = None if bounded else hot_groups(df if keys_from is None else keys_from, names)
+        if hot is None:
+            hot = find_hot(df if keys_from is None else keys_from, names, at_most)
         if hot is None:
             window = Window.partitionBy(*names).orderBy(*order)
             return df.withColumn(name, F.row_number().over(window).cast("long"))

@@ -1,6 +1,6 @@
 """Queries with their SQL counterparts, one module per area."""
 
-from checks import base, data, recommend, retrieval, vectors
+from checks import base, data, ranking, recommend, retrieval, vectors
 
 QUERIES, ORACLES = base.QUERIES, base.oracles()
-__all__ = ["QUERIES", "ORACLES", "data", "recommend", "retrieval", "vectors"]
+__all__ = ["QUERIES", "ORACLES", "data", "ranking", "recommend", "retrieval", "vectors"]
