@@ -604,13 +604,15 @@ def top_candidates(
     score_value = F.lit(0.0) if score is None else F.coalesce(F.col(score).cast("double"), F.lit(float("-inf")))
     rank_value = F.lit(1) if rank is None else F.coalesce(F.col(rank), F.lit(1_000_000))
     best = F.struct((-score_value).alias("s"), rank_value.alias("r"))
-    rest = [c for c in candidates.columns if c not in ("query_id", "candidate_item_id")]
-    distinct = candidates.groupBy("query_id", "candidate_item_id").agg(
-        F.min(best).alias("_best"), F.min_by(F.struct(*rest), best).alias("_row")
-    )
+    repeats = Window.partitionBy("query_id", "candidate_item_id").orderBy("_best")
     order = Window.partitionBy("query_id").orderBy("_best", "candidate_item_id")
+    # both windows run on the one layout by query, whose lists are bounded by the pool
     return (
-        distinct.withColumn("candidate_rank", F.row_number().over(order))
+        candidates.repartition("query_id")
+        .withColumn("_best", best)
+        .withColumn("_copy", F.row_number().over(repeats))
+        .where(F.col("_copy") == 1)
+        .withColumn("candidate_rank", F.row_number().over(order))
         .where(F.col("candidate_rank") <= n)
-        .select("query_id", "candidate_item_id", "_row.*", "candidate_rank")
+        .drop("_best", "_copy")
     )

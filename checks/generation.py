@@ -138,20 +138,20 @@ def build_profile_prompts(spark, sf):
     return out.select("user_id", "b.history_length", F.concat_ws("|", "b.top_categories").alias("top_categories"))
 
 
-def upper_model(prompts):
+def echo_model(prompts):
     """A stand-in for a user's model function: any callable from texts to texts."""
-    return [p.upper() for p in prompts]
+    return [f"echo {p}" for p in prompts]
 
 
 @check(
     "batch_infer",
-    """SELECT conv_id, turn, upper(text) AS output_text, len(regexp_extract_all(text, '\\S+')) AS prompt_tokens,
- round(len(regexp_extract_all(text, '\\S+')) * 3e-6, 9) AS estimated_cost_usd FROM conversations""",
+    """SELECT conv_id, turn, 'echo ' || text AS output_text, len(regexp_extract_all(text, '\\S+')) AS prompt_tokens,
+ round(len(regexp_extract_all(text, '\\S+')) * 3e-6 + 2e-6, 9) AS estimated_cost_usd FROM conversations""",
 )
 def batch_infer(spark, sf):
     turns = Inputs(spark, sf).table("conversations")
     prompts = turns.select("conv_id", "turn", F.col("text").alias("prompt"))
-    out = g.batch_infer(prompts, upper_model, "local", "upper", partitions=8)
+    out = g.batch_infer(prompts, echo_model, "local", "echo", partitions=8)
     return out.select(
         "conv_id", "turn", "output_text", "prompt_tokens",
         F.round("estimated_cost_usd", 9).alias("estimated_cost_usd"),
@@ -484,6 +484,6 @@ def search(spark, sf):
 def genrec_lookup(spark, sf):
     ctx, _ = contexts(spark, sf)
     name = "llm_rerank_top_10"
-    stored = g.rerank_generation(ctx.where("split <> 'train'"), 10)
+    stored = cut_lineage(g.rerank_generation(ctx.where("split <> 'train'"), 10))
     out = serving.genrec_lookup(ctx, stored, Inputs(spark, sf).items, name)
     return out.select("query_id", "from_store", flat("recommended_item_ids"), "valid_item_rate")
