@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,17 +58,33 @@ def flat(column: str, sep: str = "|"):
 
 
 class Inputs:
-    """The adapted tables of one scale factor."""
+    """The adapted tables of one scale factor.
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+    Tables that a query reads several times are persisted; Spark rebuilds lost blocks itself.
+    """
+
+    _known: dict[tuple[str, str], Inputs] = {}
+
+    def __new__(cls, spark: SparkSession, sf_dir: str) -> Inputs:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls._known:
+            found = super().__new__(cls)
+            found.spark, found.dir = spark, sf_dir
+            cls._known[key] = found
+        return cls._known[key]
+
+    @classmethod
+    def forget(cls, spark: SparkSession) -> None:
+        """Drop everything persisted, so that the next query starts from the files."""
+        cls._known.clear()
+        spark.catalog.clearCache()
 
     def table(self, name: str) -> DataFrame:
         return testdata.table(self.spark, self.dir, name)
 
-    @property
+    @cached_property
     def items(self) -> DataFrame:
-        return testdata.items(self.spark, self.dir)
+        return testdata.items(self.spark, self.dir).persist()
 
     @property
     def users(self) -> DataFrame:
@@ -77,9 +94,9 @@ class Inputs:
     def interactions(self) -> DataFrame:
         return testdata.interactions(self.spark, self.dir)
 
-    @property
+    @cached_property
     def split(self) -> DataFrame:
-        return splits.leave_one_out(self.interactions)
+        return splits.leave_one_out(self.interactions).persist()
 
     @property
     def train(self) -> DataFrame:
@@ -93,17 +110,17 @@ class Inputs:
     def orders(self) -> DataFrame:
         return testdata.order_interactions(self.spark, self.dir)
 
-    @property
+    @cached_property
     def pairs(self) -> DataFrame:
-        return q.generate_queries(self.items)
+        return q.generate_queries(self.items).persist()
 
-    @property
+    @cached_property
     def bm25(self) -> r.TermIndex:
-        return r.bm25_index(self.items)
+        return r.bm25_index(self.items).persist()
 
-    @property
+    @cached_property
     def tfidf(self) -> r.TermIndex:
-        return r.tfidf_index(self.items)
+        return r.tfidf_index(self.items).persist()
 
 
 cte(
