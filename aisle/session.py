@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -42,9 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables, shared between executors on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        return tempfile.mkdtemp(prefix=f"aisle-{name}-")
+    base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/aisle-{name}-{uuid.uuid4().hex}"
 
 
@@ -52,3 +52,21 @@ def cut_lineage(df):
     """Materialise a frame once in the shared checkpoint folder so later steps do not recompute it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def deliver_package(spark: SparkSession) -> None:
+    """Send the package's modules to the executors, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_aisle_delivered", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    archive = os.path.join(tempfile.mkdtemp(prefix="aisle-package-"), "aisle.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._aisle_delivered = True

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from aisle.operators import queries as q
 from aisle.operators import retrieval as r
 from aisle.operators import splits
+from aisle.session import deliver_package
 from aisle.sources import testdata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +71,7 @@ class Inputs:
         if key not in cls._known:
             found = super().__new__(cls)
             found.spark, found.dir = spark, sf_dir
+            deliver_package(spark)
             cls._known[key] = found
         return cls._known[key]
 
