@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import block_names, hilbert, mixing, quality
-from aisle.session import deliver_package
+from aisle.llm import block_names, hilbert, mixing, pieces, quality, shingle_join, token_files
+from aisle.session import deliver_package, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_files")
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "llm-tokens")
+    docs = table(spark, sf_dir, "documents")
+    token_files.write_token_files(docs, path, tokenizer_file("byte_bpe_50k.json"))
+    return token_files.token_summary(spark, path)
+
+
 @query(
     "op2_block_names",
     """
@@ -95,3 +109,38 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_hilbert")
 def op6_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pieces")
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+_SHINGLES = r"""
+WITH RECURSIVE body AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, list_aggregate(ws[i:i + 3], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM body WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (
+  SELECT doc_id, doc_id AS root FROM documents
+  UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
+@query("op10_shingle_join", _SHINGLES)
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
