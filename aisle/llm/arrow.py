@@ -36,8 +36,10 @@ def int_lists(rows: list[bytes]) -> pa.Array:
 
 def list_bytes(column: pa.Array) -> list[bytes]:
     """The rows of a list column of 32-bit integers as little-endian bytes; null is empty."""
-    data = memoryview(column.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes())
     offsets = column.offsets.to_numpy()
+    values = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    data = memoryview(values.to_numpy(zero_copy_only=False).astype("<i4").tobytes())
+    offsets = offsets - offsets[0]
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     return [
         bytes(data[4 * a : 4 * b]) if ok else b""

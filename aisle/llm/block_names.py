@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from aisle.llm.common import by_size, materialise, ranked, running
 
 BLOCK_BYTES = 16_384
+#: A group with this share of all rows is joined without moving its rows.
+HOT_SHARE = 1_000
 
 
 def _blocks(text: str, size: int) -> Column:
@@ -105,11 +107,18 @@ def document_names(
 
 def _groups(named: DataFrame, doc_id: str) -> DataFrame:
     """Adds ``_keep`` (id and row that stay) and ``group_size``."""
-    groups = named.groupBy("_blocks", "_name").agg(
+    keys = ["_blocks", "_name"]
+    groups = named.groupBy(*keys).agg(
         F.max(F.struct(F.col(doc_id).alias("id"), F.col("_row").alias("row"))).alias("_keep"),
         F.count("*").alias("group_size"),
     )
-    return named.join(groups, ["_blocks", "_name"])
+    groups = materialise(groups, "groups")
+    # groups of a thousandth of the rows or more: a thousand of them at most, wherever they are sent
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.col("group_size") >= max(2, -(-total // HOT_SHARE))
+    marked = named.join(F.broadcast(groups.where(hot)), keys, "left")
+    rest = marked.where("group_size is null").drop("_keep", "group_size")
+    return marked.where("group_size is not null").unionByName(rest.join(groups.where(~hot), keys))
 
 
 def exact_duplicates(

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import block_names, hilbert, mixing, pieces, quality, shingle_join, token_files
+from aisle.llm import (
+    block_names,
+    hilbert,
+    mixing,
+    pieces,
+    private_data,
+    quality,
+    shingle_join,
+    token_files,
+    toxic_spans,
+    wrappers,
+)
 from aisle.session import deliver_package, scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +155,19 @@ JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING
 @query("op10_shingle_join", _SHINGLES)
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxic_spans")
+def op3_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxic_spans.score_documents(docs, labels).drop("spans")
+
+
+@query("op9_wrappers")
+def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op8_private_data")
+def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.private_digest(private_data.private_spans(table(spark, sf_dir, "documents")))

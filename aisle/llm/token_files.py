@@ -23,11 +23,12 @@ from aisle.llm.common import before_parts, shuffle_parts
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
-CACHE_UNITS = 400_000
+CACHE_UNITS = 300_000
 CACHED_CHARS = 48
 
 #: A space after anything but white space always starts a new token of the byte-level pattern.
 _UNIT = re.compile(r"(?<=\S) ")
+_BEHIND = re.compile(r"\s ")
 _ENCODERS: dict[str, tuple[object, dict[str, bytes]]] = {}
 
 
@@ -50,18 +51,26 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """
     tokenizer, cache = _encoder(path)
     split = []
+    heads = []
     for text in texts:
-        first, *rest = _UNIT.split(text)
-        split.append([first, *[" " + u for u in rest]])
-    needed = set().union(*split) if split else set()
+        # a plain split does where no space stands at the start or behind other white space
+        plain = not text.startswith(" ") and _BEHIND.search(text) is None
+        units = text.split(" ") if plain else _UNIT.split(text)
+        heads.append(units[0])
+        del units[0]
+        split.append(units)
     if len(cache) > CACHE_UNITS:
         cache.clear()
-    missing = [u for u in needed if u not in cache]
-    found = tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-    fresh = {u: np.array(e.ids, "<i4").tobytes() for u, e in zip(missing, found)}
-    cache.update({u: ids for u, ids in fresh.items() if len(u) <= CACHED_CHARS})
-    look = lambda u: cache[u] if u in cache else fresh[u]
-    return [b"".join(map(look, units)) for units in split]
+    missing = list(set().union(*split).difference(cache))
+    found = tokenizer.encode_batch_fast([" " + u for u in missing], add_special_tokens=False)
+    cache.update((u, np.array(e.ids, "<i4").tobytes()) for u, e in zip(missing, found))
+    found = tokenizer.encode_batch_fast(heads, add_special_tokens=False)
+    starts = [np.array(e.ids, "<i4").tobytes() for e in found]
+    ids = [a + b"".join(map(cache.__getitem__, units)) for a, units in zip(starts, split)]
+    for u in missing:
+        if len(u) > CACHED_CHARS:
+            del cache[u]
+    return ids
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
