@@ -31,7 +31,9 @@ PERCENT = 85
 #: A column with more rows than this counts as frequent.
 FREQUENT = 64
 #: Rounds in which frequent columns are looked for and put last.
-ROUNDS = 3
+ROUNDS = 2
+#: So often the rows of frequent columns are linked with one row of the column.
+STARS = 3
 PIECE_BYTES = 1 << 21
 
 _SPACES = np.zeros(256, bool)
@@ -133,53 +135,31 @@ def first_columns(grams: np.ndarray, frequent: np.ndarray, percent: int) -> np.n
     return grams[:count]
 
 
-def _signed(docs: DataFrame, ngram: int) -> DataFrame:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in arrow.chunks(batches, "text"):
-            sets = [shingle_set(t, ngram) for t in texts]
-            signs = [signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column(0),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s[0] for s in signs], pa.int64()),
-                    pa.array([s[1] for s in signs], pa.int64()),
-                ],
-                ["doc_id", "n", "c1", "c2"],
-            )
-
-    return docs.mapInArrow(sign, "doc_id long, n long, c1 long, c2 long")
-
-
 def _columns(docs: DataFrame, ngram: int, percent: int, frequent=None) -> DataFrame:
-    """``c1, c2, n, columns`` of texts; with ``frequent`` only where it changes the columns."""
+    """``doc_id, n, c1, c2, columns`` of texts; with ``frequent`` only where it changes the columns."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.uint64)
         last = none if frequent is None else frequent.value
-        for _, texts in arrow.chunks(batches, "text"):
+        for piece, texts in arrow.chunks(batches, "text"):
             rows = []
-            for text in texts:
+            for key, text in zip(piece.column(0).to_pylist(), texts):
                 grams = shingle_set(text, ngram)
-                if not len(grams):
-                    continue
                 chosen = first_columns(grams, last, percent)
                 if frequent is None or len(np.setdiff1d(chosen, first_columns(grams, none, percent))):
-                    rows.append((*signature(grams), len(grams), chosen.view(np.int64)))
-            c1, c2, n, chosen = zip(*rows) if rows else ((), (), (), ())
+                    rows.append((key, len(grams), *signature(grams), chosen.view(np.int64)))
+            key, n, c1, c2, chosen = zip(*rows) if rows else ((), (), (), (), ())
             offsets = np.cumsum([0, *map(len, chosen)]).astype(np.int32)
             values = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()),
+                    *[pa.array(x, pa.int64()) for x in (key, n, c1, c2)],
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
-                ["c1", "c2", "n", "columns"],
+                ["doc_id", "n", "c1", "c2", "columns"],
             )
 
-    return docs.mapInArrow(pick, "c1 long, c2 long, n long, columns array<long>").dropDuplicates(
-        ["c1", "c2"]
-    )
+    return docs.mapInArrow(pick, "doc_id long, n long, c1 long, c2 long, columns array<long>")
 
 
 def _sets(docs: DataFrame, ngram: int) -> DataFrame:
@@ -253,11 +233,12 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _classes(docs: DataFrame, ngram: int, percent: int, frequent_rows: int, rounds: int):
+def _classes(
+    docs: DataFrame, signed: DataFrame, ngram: int, percent: int, frequent_rows: int, rounds: int
+):
     """Distinct sets with their first columns, and the columns that two or more of them share."""
-    classes = materialise(
-        _columns(docs, ngram, percent).withColumn("cid", F.monotonically_increasing_id()), "classes"
-    )
+    distinct = signed.where("n > 0").select("c1", "c2", "n", "columns").dropDuplicates(["c1", "c2"])
+    classes = materialise(distinct.withColumn("cid", F.monotonically_increasing_id()), "classes")
     known = np.zeros(0, np.uint64)
     for turn in range(rounds + 1):
         shared = materialise(
@@ -278,6 +259,7 @@ def _classes(docs: DataFrame, ngram: int, percent: int, frequent_rows: int, roun
         known = joined
         sent = docs.sparkSession.sparkContext.broadcast(known)
         changed = _columns(docs, ngram, percent, sent).select("c1", "c2", F.col("columns").alias("again"))
+        changed = changed.dropDuplicates(["c1", "c2"])
         classes = materialise(
             classes.join(changed, ["c1", "c2"], "left").select(
                 "c1", "c2", "n", "cid", F.coalesce("again", "columns").alias("columns")
@@ -308,11 +290,50 @@ def _side(rows: DataFrame, end: str) -> DataFrame:
     return rows.select("h", *[F.col(c).alias(names[c]) for c in rows.columns if c in names])
 
 
+def _mixed(many: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the frequent columns whose rows are in different components."""
+    labelled = many.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    mixed = labelled.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
+    return materialise(labelled.join(mixed.select("h"), "h"), "open")
+
+
+def _stars(rows: DataFrame, star: int, percent: int) -> DataFrame:
+    """Pairs of each row and the head of its column, in its own or the next smaller band.
+
+    Heads go by a hash that differs from star to star. These pairs only save work later, so a pair
+    that met in fewer than half of the columns it would have to share is left to the full product.
+    """
+    lead = F.struct(F.xxhash64(F.lit(star), "cid").alias("lead"), "cid", "n", "root")
+    heads = rows.groupBy("h", "band").agg(F.min(lead).alias("head"))
+    met = []
+    for step in (0, 1):
+        near = heads.select("h", (F.col("band") + step).alias("band"), "head")
+        met.append(
+            rows.join(near, ["h", "band"])
+            .where(F.col("root") != F.col("head.root"))
+            .where(_compatible(F.col("n"), F.col("head.n"), percent))
+            .select(
+                F.least("cid", "head.cid").alias("a"),
+                F.greatest("cid", "head.cid").alias("b"),
+                F.greatest("n", "head.n").alias("most"),
+                (F.col("n") + F.col("head.n")).alias("total"),
+            )
+        )
+    share = F.expr(
+        f"({percent} * total + {99 + percent}) div {100 + percent} - ({percent} * most + 99) div 100 + 1"
+    )
+    return (
+        met[0].union(met[1]).groupBy("a", "b", "most", "total").agg(F.count("*").alias("shared"))
+        .where(F.col("shared") * 2 >= share)
+        .select("a", "b")
+    )
+
+
 def class_roots(
-    docs: DataFrame, ngram: int, percent: int, frequent_rows: int, rounds: int
+    docs: DataFrame, signed: DataFrame, ngram: int, percent: int, frequent_rows: int, rounds: int
 ) -> DataFrame:
     """``c1, c2, cid, root`` of all distinct sets."""
-    classes, shared = _classes(docs, ngram, percent, frequent_rows, rounds)
+    classes, shared = _classes(docs, signed, ngram, percent, frequent_rows, rounds)
     rows = classes.select("cid", "n", F.explode("columns").alias("h")).join(by_size(shared), "h")
     rows = materialise(rows, "incidence")
     often = F.col("m") > frequent_rows
@@ -328,23 +349,10 @@ def class_roots(
     )
     pairs = _bounded(products, percent)
 
-    # in the others each row meets one row of about its size
+    # in the others each row meets one row of about its size, another one each time
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))))
     many = materialise(many.select("h", "cid", "n", "held", band.alias("band")), "frequent")
-    heads = many.groupBy("h", "band").agg(F.min(F.struct("cid", "n")).alias("head"))
-    stars = []
-    for step in (0, 1):
-        near = heads.select("h", (F.col("band") + step).alias("band"), "head")
-        stars.append(
-            many.join(near, ["h", "band"])
-            .where(F.col("cid") != F.col("head.cid"))
-            .where(_compatible(F.col("n"), F.col("head.n"), percent))
-            .select(
-                F.least("cid", "head.cid").alias("a"), F.greatest("cid", "head.cid").alias("b")
-            )
-        )
-    pairs = materialise(pairs.union(stars[0]).union(stars[1]).distinct(), "pairs")
-
+    pairs = materialise(pairs, "pairs")
     involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))
     involved = involved.union(many.select("cid")).distinct()
     wanted = materialise(classes.select("cid", "c1", "c2").join(involved, "cid"), "involved")
@@ -354,11 +362,18 @@ def class_roots(
     )
     links = _verified(pairs, sets, percent)
     roots = components(links)
+    for star in range(STARS):
+        mixed = _mixed(many, roots)
+        if mixed.isEmpty():
+            break
+        tried = _stars(mixed, star, percent).join(pairs, ["a", "b"], "left_anti")
+        tried = materialise(tried, "stars")
+        pairs = materialise(pairs.union(tried), "pairs")
+        links = materialise(links.union(_verified(tried, sets, percent)), "links")
+        roots = components(links)
 
     # rows of one frequent column that are still in different components
-    labelled = many.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    mixed = labelled.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
-    open_rows = materialise(labelled.join(mixed.select("h"), "h"), "open")
+    open_rows = _mixed(many, roots)
     if not open_rows.isEmpty():
         products = _side(open_rows, "a").join(_side(open_rows, "b"), "h").where(
             (F.col("a") < F.col("b"))
@@ -395,8 +410,8 @@ def near_duplicates(
     rows link like copies. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialise(_signed(rows, ngram), "signed")
-    roots = class_roots(rows.select("text"), ngram, percent, frequent_rows, rounds)
+    signed = materialise(_columns(rows, ngram, percent), "signed")
+    roots = class_roots(rows, signed, ngram, percent, frequent_rows, rounds)
     lows = signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("low"))
     lows = materialise(lows.join(roots, ["c1", "c2"]), "lows")
     least = lows.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aisle.llm import arrow
+from aisle.llm import arrow as lists
 from aisle.llm.common import before_parts, shuffle_parts
 
 END_ID = 2
@@ -29,6 +30,7 @@ CACHED_CHARS = 48
 #: A space after anything but white space always starts a new token of the byte-level pattern.
 _UNIT = re.compile(r"(?<=\S) ")
 _BEHIND = re.compile(r"\s ")
+_TAILS = (",", ".")
 _ENCODERS: dict[str, tuple[object, dict[str, bytes]]] = {}
 
 
@@ -43,6 +45,11 @@ def _encoder(path: str):
     return _ENCODERS[path]
 
 
+def _encode(tokenizer, texts: list[str]) -> list[bytes]:
+    found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    return [array("i", e.ids).tobytes() for e in found]
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers.
 
@@ -62,12 +69,15 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     if len(cache) > CACHE_UNITS:
         cache.clear()
     missing = list(set().union(*split).difference(cache))
-    found = tokenizer.encode_batch_fast([" " + u for u in missing], add_special_tokens=False)
-    cache.update((u, np.array(e.ids, "<i4").tobytes()) for u, e in zip(missing, found))
-    found = tokenizer.encode_batch_fast(heads, add_special_tokens=False)
-    starts = [np.array(e.ids, "<i4").tobytes() for e in found]
+    # a comma or full stop behind a letter or digit is always a token of its own
+    ended = [u for u in missing if u[-1:] in _TAILS and u[-2:-1].isalnum()]
+    needed = list({*missing, *(u[:-1] for u in ended)}.difference(cache).difference(ended))
+    cache.update(zip(needed, _encode(tokenizer, [" " + u for u in needed])))
+    tails = dict(zip(_TAILS, _encode(tokenizer, list(_TAILS))))
+    cache.update((u, cache[u[:-1]] + tails[u[-1]]) for u in ended)
+    starts = _encode(tokenizer, heads)
     ids = [a + b"".join(map(cache.__getitem__, units)) for a, units in zip(starts, split)]
-    for u in missing:
+    for u in {*missing, *needed}:
         if len(u) > CACHED_CHARS:
             del cache[u]
     return ids
@@ -78,11 +88,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     end = int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in arrow.chunks(batches, "text"):
+        for piece, texts in lists.chunks(batches, "text"):
             rows = [ids + end for ids in encode_texts(texts, tokenizer)]
             counts = pa.array([len(r) // 4 for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0), piece.column(1), piece.column(2), counts, arrow.int_lists(rows)],
+                [piece.column(0), piece.column(1), piece.column(2), counts, lists.int_lists(rows)],
                 ["part", "place", "doc_id", "n_tokens", "ids"],
             )
 
@@ -152,7 +162,7 @@ def token_summary(spark: SparkSession, path: str) -> DataFrame:
 
     def checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = arrow.list_bytes(batch.column(3))
+            rows = lists.list_bytes(batch.column(3))
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(i) for i in range(3)],
