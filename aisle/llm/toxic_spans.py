@@ -23,7 +23,7 @@ from aisle.llm import arrow
 from aisle.llm.common import by_size, materialise
 
 #: The fit reads so many labelled documents at most, drawn by hash, each of so many characters at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 4_000
 SAMPLE_CHARS = 20_000
 FEATURE_BITS = 18
 WINDOW = 48
@@ -76,7 +76,7 @@ def _token_labels(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
 
 
 def _windows(docs: list[list[str]], toxic: np.ndarray, marked: set[str]):
-    """Windows of tokens and labels; all with a marked token, and eight times as many others."""
+    """Windows of tokens and labels; all with a marked token, and four times as many others."""
     with_marks, without = [], []
     for tokens, label in zip(docs, toxic.tolist()):
         for at in range(0, len(tokens), WINDOW):
@@ -84,7 +84,7 @@ def _windows(docs: list[list[str]], toxic: np.ndarray, marked: set[str]):
             y = [int(label and t in marked) for t in part]
             (with_marks if any(y) else without).append((part, y))
     rng = np.random.default_rng(0)
-    few = rng.permutation(len(without))[: 8 * len(with_marks) + 200]
+    few = rng.permutation(len(without))[: 4 * len(with_marks) + 200]
     return with_marks + [without[i] for i in few]
 
 
@@ -97,8 +97,8 @@ def _fit_field(docs: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray, np
         return weights, moves
     rows = len(windows)
     known: dict[str, list[int]] = {}
-    x = np.zeros((rows, WINDOW, 5), np.int64)
-    y = np.zeros((rows, WINDOW), np.int64)
+    x = np.zeros((rows, WINDOW, 5), np.int32)
+    y = np.zeros((rows, WINDOW), np.int8)
     inside = np.zeros((rows, WINDOW), bool)
     for i, (tokens, labels) in enumerate(windows):
         for t in tokens:
