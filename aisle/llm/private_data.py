@@ -77,7 +77,7 @@ def _digits(text: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     places = F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1)))
-    value = lambda i: F.substring(F.reverse(digits), i, 1).cast("int")
+    value = lambda i: F.substring(F.reverse(digits), i, 1).try_cast("int")
     twice = lambda i: value(i) * 2 - F.when(value(i) > 4, 9).otherwise(0)
     total = F.aggregate(
         places, F.lit(0), lambda acc, i: acc + F.when(i % 2 == 0, twice(i)).otherwise(value(i))
@@ -160,7 +160,7 @@ FEATURES = {
     "groups": "least(size(split(match, '[^0-9A-Za-z]+')), 20)",
     "first": "least(length(regexp_extract(match, '^[^0-9]*([0-9]*)', 1)), 20)",
     "last": "least(length(regexp_extract(match, '([0-9A-Za-z]*)$', 1)), 20)",
-    "leading": "cast(regexp_extract(match, '([0-9])', 1) as int)",
+    "leading": "try_cast(regexp_extract(match, '([0-9])', 1) as int)",
     "big_groups": "size(filter(split(match, '[^0-9]+'), g -> length(g) > 3))",
     "at": "cast(match like '%@%' or run = 'spelled' as int)",
     "domain": "cast(match rlike '[A-Za-z0-9-]+[.][A-Za-z]{2,}$' as int)",

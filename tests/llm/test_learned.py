@@ -127,7 +127,7 @@ def test_base_spans_equal_the_patterns(spark):
 def test_boosting_adds_confident_spans(spark):
     rng = random.Random(9)
     number = lambda: f"{rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
-    rows = [(i, f"call +1 ({number()} or {rng.randrange(2000)} now") for i in range(400)] + [(1000, f"or ({number()} maybe")]
+    rows = [(i, f"call +1 ({number()} or {rng.randrange(2000)} now") for i in range(400)] + [(1000, f"or 1 ({number()} or 17")]
     got = private_data.private_spans(docs_of(spark, rows)).where("not base").collect()
     assert {r.doc_id for r in got} == {1000} and {r.kind for r in got} == {"phone"}
 
@@ -151,11 +151,11 @@ def page(k, body, side=""):
 def test_wrappers_read_main_text(spark):
     rows, want = [], {}
     for k in range(12):
-        text = [f"Title {k}", f"One &amp; {'two ' * k}\n three {k}", f"last {k * 7}"]
-        plain = "\n".join(["Title %d" % k, " ".join(f"One & {'two ' * k} three {k}".split()), f"last {k * 7}"])
+        text = [f"Title {k}", f"One &amp; {'two ' * (k + 40)}\n three {k}", f"last {k * 7}"]
+        plain = "\n".join(["Title %d" % k, " ".join(f"One & {'two ' * (k + 40)} three {k}".split()), f"last {k * 7}"])
         blocks = f"<h1>{text[0]}</h1><p><b>{text[1]}<br><p>{text[2]}</p>"
         rows.append((k, f"http://a.example/{k}", page(k, f"<article>{blocks}</article>")))
-        rows.append((100 + k, f"https://B.example/{k}", page(k, f"<div id='c{'' }'><div class='story'>{blocks}<p>Read more here</p></div></div>", "<aside>side</aside>" * (k % 2))))
+        rows.append((100 + k, f"https://B.example/{k}", page(k, f"<div id='c{'' }'><div class='story'>{blocks}<div class='more'>Read more here</div></div></div>", "<aside>side</aside>" * (k % 2))))
         want[k] = want[100 + k] = plain
     rows += [(900, "http://a.example/x", None), (901, None, ""), (902, "nonsense", "no tags &lt;here"), (903, "http://a.example/y", "<p>loose" * 3)]
     want.update({900: "", 901: "", 902: "no tags <here", 903: "loose\nloose\nloose"})
