@@ -24,14 +24,15 @@ from aisle.llm.common import before_parts, shuffle_parts
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
-CACHE_UNITS = 300_000
+CACHE_UNITS = 200_000
 CACHED_CHARS = 48
 
 #: A space after anything but white space always starts a new token of the byte-level pattern.
 _UNIT = re.compile(r"(?<=\S) ")
 _BEHIND = re.compile(r"\s ")
 _TAILS = (",", ".")
-_ENCODERS: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Units met lately and those of the generation before, which move on when met again.
+_ENCODERS: dict[str, tuple[object, dict[str, dict[str, bytes]]]] = {}
 
 
 def _encoder(path: str):
@@ -41,7 +42,7 @@ def _encoder(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _ENCODERS[path] = (tokenizer, {})
+        _ENCODERS[path] = (tokenizer, {"new": {}, "old": {}})
     return _ENCODERS[path]
 
 
@@ -56,7 +57,10 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     Texts are cut where the tokenizer's own pattern always cuts, and each distinct unit is encoded
     once, which gives the ids of the whole text.
     """
-    tokenizer, cache = _encoder(path)
+    tokenizer, kept = _encoder(path)
+    if len(kept["new"]) > CACHE_UNITS:
+        kept["old"], kept["new"] = kept["new"], {}
+    cache, old = kept["new"], kept["old"]
     split = []
     heads = []
     for text in texts:
@@ -66,9 +70,9 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         heads.append(units[0])
         del units[0]
         split.append(units)
-    if len(cache) > CACHE_UNITS:
-        cache.clear()
-    missing = list(set().union(*split).difference(cache))
+    units_here = set().union(*split)
+    cache.update((u, old[u]) for u in units_here.difference(cache).intersection(old))
+    missing = list(units_here.difference(cache))
     # a comma or full stop behind a letter or digit is always a token of its own
     ended = [u for u in missing if u[-1:] in _TAILS and u[-2:-1].isalnum()]
     needed = list({*missing, *(u[:-1] for u in ended)}.difference(cache).difference(ended))
