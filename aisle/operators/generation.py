@@ -18,6 +18,7 @@ from aisle import skew
 from aisle.functions.jsonx import RECOMMENDATION_SCHEMA, extract_json, is_json_object
 from aisle.functions.text import estimated_cost, token_count, truncate_text
 from aisle.operators.ranking import RANK_PRIORITY, SCORE_PRIORITY, top_candidates
+from aisle.session import cut_lineage
 
 STRINGS = "array<string>"
 RANKED = "array<struct<item_id:string,rank:int,reason:string,confidence:double>>"
@@ -404,8 +405,9 @@ def _generate(
             prompts.withColumns({"output_text": rule, "latency_ms": F.lit(0.0)}), provider, model_name
         )
     else:
-        answered = batch_infer(prompts, model, provider, model_name)
-    parsed = parse_recommendations(answered)
+        # stored at once, so that later steps do not call the model again
+        answered = cut_lineage(batch_infer(prompts, model, provider, model_name))
+    parsed = parse_recommendations(answered, top_k=top_k)
     if constrained:
         parsed = fallback_to_candidates(validate_ids(parsed, candidate_ids(pool)), top_k, pool)
         size = F.size("candidates") if pool is None else F.least(F.size("candidates"), F.lit(pool))

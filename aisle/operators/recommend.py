@@ -95,8 +95,12 @@ def rank_unseen(
     k: int = 10,
     fill: bool = True,
 ) -> DataFrame:
-    """Top ``k`` unseen catalog items per user; items without a score count as 0 in id order."""
+    """Top ``k`` unseen catalog items per user; items without a score count as 0 in id order.
+
+    Scores of items outside the catalog are left out.
+    """
     wanted = skew.join(scores, users.select("user_id"), "user_id", "left_semi")
+    wanted = wanted.join(catalog.select("item_id"), "item_id", "left_semi")
     if seen is not None:
         wanted = wanted.join(seen, ["user_id", "item_id"], "left_anti")
     positive = wanted.where("score > 0")
@@ -253,20 +257,19 @@ def mf_recs(
 
 
 def sparse_vectors(weights: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """(key, idx, val) arrays of a long (key, term, weight) table over a bounded vocabulary."""
-    entries = weights.join(F.broadcast(vocabulary), "term")
+    """(key, idx, val) arrays of a long (key, term, weight) table over the vocabulary."""
+    entries = weights.join(vocabulary, "term")
     listed = F.sort_array(F.collect_list(F.struct("place", "weight")))
     return entries.groupBy(key).agg(listed.alias("e")).select(
         key, F.col("e.place").alias("idx"), F.col("e.weight").alias("val")
     )
 
 
-def vocabulary_places(index: TermIndex, limit: int) -> DataFrame:
-    """Terms of a bounded vocabulary numbered from 0 in alphabetical order."""
-    listed = index.terms.select("term").orderBy("term").limit(limit)
-    return listed.agg(F.array_sort(F.collect_list("term")).alias("t")).select(
-        F.posexplode("t").alias("place", "term")
-    )
+def vocabulary_places(index: TermIndex) -> DataFrame:
+    """Every term of the index numbered from 0 in alphabetical order."""
+    terms = index.terms.select("term")
+    placed = skew.row_number(terms, [], [F.col("term")], "place", ["term"])
+    return placed.select("term", (F.col("place") - 1).cast("int").alias("place"))
 
 
 def content_profiles(train: DataFrame, index: TermIndex) -> DataFrame:
@@ -292,11 +295,13 @@ def content_recs(
     users: DataFrame,
     index: TermIndex,
     k: int = 10,
-    max_features: int = 5000,
     exclude_seen: bool = True,
 ) -> DataFrame:
-    """Items closest to the user's content profile; users without one get popularity lists."""
-    places = vocabulary_places(index, max_features)
+    """Items closest to the user's content profile; users without one get popularity lists.
+
+    The index alone decides the vocabulary.
+    """
+    places = cut_lineage(vocabulary_places(index))
     profiles = content_profiles(train, index)
     wanted = sparse_vectors(profiles, places, "user_id").join(
         users.select("user_id"), "user_id", "left_semi"
@@ -308,7 +313,7 @@ def content_recs(
     items = items.withColumns({"idx": F.coalesce("idx", none_i), "val": F.coalesce("val", none_d)})
     exclude = user_history(train).withColumnRenamed("user_id", "query_id") if exclude_seen else None
     top = block_topk(
-        wanted.withColumnRenamed("user_id", "query_id"), items, k, dim=max_features, exclude=exclude
+        wanted.withColumnRenamed("user_id", "query_id"), items, k, dim=max(places.count(), 1), exclude=exclude
     ).withColumnRenamed("query_id", "user_id")
     others = users.select("user_id").join(wanted.select("user_id"), "user_id", "left_anti")
     return top.unionByName(popularity_recs(train, catalog, others, k, exclude_seen))

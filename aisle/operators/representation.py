@@ -170,7 +170,7 @@ def fused_index(items: DataFrame, fused: DataFrame, text: TermIndex) -> TermInde
     the scale the whole fused vector gave them.
     """
     postings = fused.where(F.col("feature").startswith("text:")).select(
-        "item_id", F.substring("feature", 6, 1 << 20).alias("term"), F.col("value").alias("weight")
+        "item_id", F.expr("substr(feature, 6)").alias("term"), F.col("value").alias("weight")
     )
     return TermIndex(postings, text.terms, items.select("item_id"), "tfidf", True)
 
