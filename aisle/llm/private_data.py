@@ -170,7 +170,8 @@ FEATURES = {
 
 def featured(found: DataFrame) -> DataFrame:
     """Candidates that are not base spans, with features, the label and overlap with base spans."""
-    siblings = F.count("*").over(Window.partitionBy("row", "run"))
+    # base spans are not counted, as they would give the label away
+    siblings = F.count(F.when(~F.col("base"), 1)).over(Window.partitionBy("row", "run"))
     spans = F.collect_list(F.when(F.col("base"), F.struct("start", "end", "kind"))).over(Window.partitionBy("row"))
     rows = found.where("kind is not null").withColumns({"siblings": siblings, "_base": spans}).where("not base")
     inside = lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))
