@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_CHARS = 4_000_000
 
@@ -45,3 +48,61 @@ def list_bytes(column: pa.Array) -> list[bytes]:
         bytes(data[4 * a : 4 * b]) if ok else b""
         for a, b, ok in zip(offsets[:-1].tolist(), offsets[1:].tolist(), valid)
     ]
+
+
+class Units(NamedTuple):
+    """Texts cut at every space: the distinct units, the unit of each place, where each text ends."""
+
+    names: pa.Array
+    codes: np.ndarray
+    ends: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1]])
+
+    def texts_with(self, marked: np.ndarray) -> np.ndarray:
+        """Texts that have one of the ``marked`` units before their last place."""
+        hit = marked[self.codes]
+        hit[self.ends - 1] = False
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        return sums[self.ends] > sums[self.starts]
+
+
+def space_units(texts: list[str]) -> Units:
+    """Cuts texts at every space; an empty text is one empty unit."""
+    parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    ends = parts.offsets.to_numpy()[1:].astype(np.int64)
+    cut = parts.values.dictionary_encode()
+    return Units(cut.dictionary, cut.indices.to_numpy().astype(np.int64), ends)
+
+
+def listed_units(split: list[list[str]]) -> Units:
+    """The same for texts that are cut already, each into one unit at least."""
+    cut = pa.array([u for units in split for u in units], pa.large_string()).dictionary_encode()
+    ends = np.cumsum([len(units) for units in split]).astype(np.int64)
+    return Units(cut.dictionary, cut.indices.to_numpy().astype(np.int64), ends)
+
+
+class Pool(NamedTuple):
+    """The ids of several units end to end, and how many each has."""
+
+    values: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, ids: list[bytes]) -> Pool:
+        sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+        return cls(np.frombuffer(b"".join(ids), "<i4"), sizes)
+
+
+def joined(codes: np.ndarray, ends: np.ndarray, pool: Pool) -> list[bytes]:
+    """The ids of each text: those of the units at its places, one after the other."""
+    firsts = np.cumsum(pool.sizes) - pool.sizes
+    counts = pool.sizes[codes]
+    stops = np.cumsum(counts)
+    at = np.arange(int(stops[-1]) if len(stops) else 0)
+    at += np.repeat(firsts[codes] - (stops - counts), counts)
+    data = memoryview(pool.values[at].tobytes())
+    cuts = [0, *(4 * stops[ends - 1]).tolist()]
+    return [bytes(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,21 +205,40 @@ class Pieces:
                 found[part[k]] = self._ids(self._alone(symbols[ends[k] - lengths[k] : ends[k]], unit[k]))
         return found
 
-    def encode(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        split = [_UNIT.split(t) if t else [] for t in texts]
-        needed: dict[int, set[str]] = {}
-        for v, units in zip(variants, split):
-            needed.setdefault(v, set()).update(units)
+    def _known(self, variant: int, units: list[str]) -> list[bytes]:
+        """Ids of distinct units; those met before are looked up."""
         if sum(map(len, self.caches.values())) > CACHE_UNITS:
             self.caches.clear()
-        found: dict[int, dict[str, bytes]] = {}
-        for v, units in needed.items():
-            cache = self.caches.setdefault(v, {})
-            fresh = self._encode_units(v, list(units.difference(cache)))
-            cache.update({u: ids for u, ids in fresh.items() if len(u) <= WIDEST})
-            long = {u: ids for u, ids in fresh.items() if len(u) > WIDEST}
-            found[v] = {**cache, **long} if long else cache
-        return [b"".join(map(found[v].__getitem__, units)) for v, units in zip(variants, split)]
+        cache = self.caches.setdefault(variant, {})
+        fresh = self._encode_units(variant, [u for u in units if u not in cache])
+        cache.update((u, ids) for u, ids in fresh.items() if len(u) <= WIDEST)
+        return [cache[u] if u in cache else fresh[u] for u in units]
+
+    def _cut_alike(self, variant: int, texts: list[str]) -> list[bytes]:
+        def ids_of(cut: arrow.Units) -> list[bytes]:
+            found = self._known(variant, cut.names.to_pylist())
+            return arrow.joined(cut.codes, cut.ends, arrow.Pool.of(found))
+
+        cut = arrow.space_units(texts)
+        # a space at the start or behind another one does not cut
+        inexact = cut.texts_with(pc.equal(cut.names, "").to_numpy(zero_copy_only=False))
+        ids = ids_of(cut)
+        again = np.flatnonzero(inexact).tolist()
+        if again:
+            for k, x in zip(again, ids_of(arrow.listed_units([_UNIT.split(texts[k]) for k in again]))):
+                ids[k] = x
+        return ids
+
+    def encode(self, texts: list[str], variants: list[int]) -> list[bytes]:
+        out = [b""] * len(texts)
+        of: dict[int, list[int]] = {}
+        for k, (text, variant) in enumerate(zip(texts, variants)):
+            if text:
+                of.setdefault(variant, []).append(k)
+        for variant, rows in of.items():
+            for k, ids in zip(rows, self._cut_alike(variant, [texts[k] for k in rows])):
+                out[k] = ids
+        return out
 
     def decode(self, ids: bytes) -> str:
         text = b"".join(map(self.data.__getitem__, np.frombuffer(ids, "<i4").tolist()))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +25,13 @@ from aisle.llm.common import before_parts, shuffle_parts
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
-CACHE_UNITS = 200_000
+CACHE_UNITS = 300_000
 CACHED_CHARS = 48
 
 #: A space after anything but white space always starts a new token of the byte-level pattern.
 _UNIT = re.compile(r"(?<=\S) ")
-_BEHIND = re.compile(r"\s ")
 _TAILS = (",", ".")
-#: Units met lately and those of the generation before, which move on when met again.
+#: Parts of units met lately and those of the generation before, which move on when met again.
 _ENCODERS: dict[str, tuple[object, dict[str, dict[str, bytes]]]] = {}
 
 
@@ -51,39 +51,79 @@ def _encode(tokenizer, texts: list[str]) -> list[bytes]:
     return [array("i", e.ids).tobytes() for e in found]
 
 
+def _parts(unit: str) -> list[str]:
+    """Parts of a unit whose ids, end to end, are those of the unit.
+
+    A line feed between other characters than white space is a token of its own, and so is a comma
+    or full stop behind a letter or digit at the end of a line.
+    """
+    lines = unit.split("\n") if "\n" in unit else [unit]
+    if len(lines) > 1:
+        rest = lines[1:]
+        if not all(lines) or any(x[0].isspace() for x in rest) or any(x[-1].isspace() for x in lines[:-1]):
+            return [unit]
+    parts: list[str] = []
+    for line in lines:
+        if parts:
+            parts.append("\n")
+        if line[-1:] in _TAILS and line[-2:-1].isalnum():
+            parts += [line[:-1], line[-1]]
+        else:
+            parts.append(line)
+    return parts
+
+
+def _known(units: list[str], tokenizer, kept: dict[str, dict[str, bytes]]) -> list[bytes]:
+    """Ids of distinct units, from those of their parts; parts met before are looked up."""
+    if len(kept["new"]) > CACHE_UNITS:
+        kept["old"], kept["new"] = kept["new"], {}
+    cache, old = kept["new"], kept["old"]
+    cut = [(u,) if u in cache else _parts(u) for u in units]
+    missing = {p for parts in cut for p in parts if p not in cache}
+    cache.update((p, old[p]) for p in missing if p in old)
+    fresh = [p for p in missing if p not in old]
+    cache.update(zip(fresh, _encode(tokenizer, fresh)))
+    found = [cache[p[0]] if len(p) == 1 else b"".join(map(cache.__getitem__, p)) for p in cut]
+    for p in fresh:
+        if len(p) > CACHED_CHARS:
+            del cache[p]
+    return found
+
+
+def _encode_units(cut: lists.Units, tokenizer, kept: dict[str, dict[str, bytes]]) -> list[bytes]:
+    """Ids of texts from their units; a text's first unit has no space before it."""
+    size = len(cut.names)
+    heads, which = np.unique(cut.codes[cut.starts], return_inverse=True)
+    codes = cut.codes.copy()
+    codes[cut.starts] = size + which
+    inner = np.flatnonzero(np.bincount(codes, minlength=size)[:size])
+    place = np.zeros(size + len(heads), np.int64)
+    place[inner] = np.arange(len(inner))
+    place[size:] = np.arange(len(inner), len(inner) + len(heads))
+    spaced = [" " + u for u in cut.names.take(pa.array(inner)).to_pylist()]
+    units = spaced + cut.names.take(pa.array(heads)).to_pylist()
+    return lists.joined(place[codes], cut.ends, lists.Pool.of(_known(units, tokenizer, kept)))
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers.
 
     Texts are cut where the tokenizer's own pattern always cuts, and each distinct unit is encoded
     once, which gives the ids of the whole text.
     """
+    if not texts:
+        return []
     tokenizer, kept = _encoder(path)
-    if len(kept["new"]) > CACHE_UNITS:
-        kept["old"], kept["new"] = kept["new"], {}
-    cache, old = kept["new"], kept["old"]
-    split = []
-    heads = []
-    for text in texts:
-        # a plain split does where no space stands at the start or behind other white space
-        plain = not text.startswith(" ") and _BEHIND.search(text) is None
-        units = text.split(" ") if plain else _UNIT.split(text)
-        heads.append(units[0])
-        del units[0]
-        split.append(units)
-    units_here = set().union(*split)
-    cache.update((u, old[u]) for u in units_here.difference(cache).intersection(old))
-    missing = list(units_here.difference(cache))
-    # a comma or full stop behind a letter or digit is always a token of its own
-    ended = [u for u in missing if u[-1:] in _TAILS and u[-2:-1].isalnum()]
-    needed = list({*missing, *(u[:-1] for u in ended)}.difference(cache).difference(ended))
-    cache.update(zip(needed, _encode(tokenizer, [" " + u for u in needed])))
-    tails = dict(zip(_TAILS, _encode(tokenizer, list(_TAILS))))
-    cache.update((u, cache[u[:-1]] + tails[u[-1]]) for u in ended)
-    starts = _encode(tokenizer, heads)
-    ids = [a + b"".join(map(cache.__getitem__, units)) for a, units in zip(starts, split)]
-    for u in {*missing, *needed}:
-        if len(u) > CACHED_CHARS:
-            del cache[u]
+    cut = lists.space_units(texts)
+    # a space at the start or behind other white space does not cut
+    behind = pc.match_substring_regex(cut.names, r"\A\z|[\t\n\v\f\r\x1c-\x1f\x{85}\pZ]\z")
+    inexact = cut.texts_with(behind.to_numpy(zero_copy_only=False))
+    ids = _encode_units(cut, tokenizer, kept)
+    again = np.flatnonzero(inexact).tolist()
+    if again:
+        other = lists.listed_units([_UNIT.split(texts[k]) for k in again])
+        for k, found in zip(again, _encode_units(other, tokenizer, kept)):
+            ids[k] = found
     return ids
 
 
