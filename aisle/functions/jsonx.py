@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RECOMMENDATION_SCHEMA = (
-    "recommended_item_ids array<string>, "
-    "ranked_items array<struct<item_id:string,rank:int,reason:string,confidence:double>>"
-)
+#: Entries of the ranked list are read one by one, so that one of another type costs no other.
+RECOMMENDATION_SCHEMA = "recommended_item_ids array<string>, ranked_items array<string>"
+RANKED_ITEM_SCHEMA = "item_id string, rank int, reason string, confidence double"
 EXPLANATION_SCHEMA = (
     "explanations array<struct<item_id:string,explanation:string,evidence_item_ids:array<string>,"
     "evidence_fields:array<string>,confidence:double>>"

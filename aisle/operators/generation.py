@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aisle import skew
-from aisle.functions.jsonx import RECOMMENDATION_SCHEMA, extract_json, is_json_object
+from aisle.functions.jsonx import RANKED_ITEM_SCHEMA, RECOMMENDATION_SCHEMA, extract_json, is_json_object
 from aisle.functions.text import estimated_cost, token_count, truncate_text
 from aisle.operators.ranking import RANK_PRIORITY, SCORE_PRIORITY, top_candidates
 from aisle.session import cut_lineage
@@ -278,7 +278,8 @@ def parse_recommendations(answered: DataFrame, text: str = "output_text", top_k:
     """Ids, ranked items and flags of each output text.
 
     Ids listed first come first, then those of the ranked items; blanks and repeats are dropped
-    and at most ``top_k`` stay. A list field of another type counts as empty.
+    and at most ``top_k`` stay. A list field of another type counts as empty, and so does an entry of
+    the ranked items that is no object.
     """
     body = extract_json(text)
     parsed = answered.withColumn("_body", body).withColumn(
@@ -287,9 +288,9 @@ def parse_recommendations(answered: DataFrame, text: str = "output_text", top_k:
     ok = is_json_object(F.col("_body"))
     none = F.array().cast(STRINGS)
     listed = F.coalesce("_o.recommended_item_ids", none)
-    ranked = F.filter(
-        F.coalesce("_o.ranked_items", F.array().cast(RANKED)), lambda r: r["item_id"].isNotNull()
-    )
+    entries = F.filter(F.coalesce("_o.ranked_items", none), lambda e: e.startswith("{"))
+    read = F.transform(entries, lambda e: F.from_json(e, RANKED_ITEM_SCHEMA))
+    ranked = F.filter(read, lambda r: r["item_id"].isNotNull())
     merged = F.transform(
         F.filter(F.concat(listed, F.transform(ranked, lambda r: r["item_id"])), lambda x: x.isNotNull()),
         lambda x: F.trim(x),

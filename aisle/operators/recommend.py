@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
 
-from pyspark.ml.recommendation import ALS, ALSModel
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,16 +98,19 @@ def rank_unseen(
 ) -> DataFrame:
     """Top ``k`` unseen catalog items per user; items without a score count as 0 in id order.
 
-    Scores of items outside the catalog are left out.
+    Scores of items outside the catalog are left out. Negative scores come behind the items
+    without a score; without ``fill`` only positive scores are listed.
     """
     wanted = skew.join(scores, users.select("user_id"), "user_id", "left_semi")
     wanted = wanted.join(catalog.select("item_id"), "item_id", "left_semi")
     if seen is not None:
         wanted = wanted.join(seen, ["user_id", "item_id"], "left_anti")
-    positive = wanted.where("score > 0")
     order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "item_id")
+    if fill:
+        wanted = cut_lineage(wanted.where("score <> 0").select("user_id", "item_id", "score"))
     top = (
-        positive.withColumn("rank", F.row_number().over(order))
+        wanted.where("score > 0")
+        .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
         .select("user_id", "item_id", "score", "rank")
     )
@@ -120,12 +124,14 @@ def rank_unseen(
         .withColumn("_m", F.coalesce("_m", F.lit(0)))
         .where(F.col("_m") < k)
     )
+    below = wanted.where("score < 0").join(short, "user_id")
     index = item_index(catalog)
     size = index.agg(F.count("*")).scalar()
-    taken = top.select("user_id", "item_id")
+    taken = top.select("user_id", "item_id").unionByName(below.select("user_id", "item_id"))
     if seen is not None:
-        taken = taken.unionByName(seen.select("user_id", "item_id")).distinct()
-    taken = cut_lineage(skew.join(taken, short.select("user_id"), "user_id", "left_semi"))
+        taken = taken.unionByName(seen.select("user_id", "item_id"))
+    taken = skew.join(taken.distinct(), short.select("user_id"), "user_id", "left_semi")
+    taken = cut_lineage(taken)
     listed = skew.join(taken, index, "item_id", keys_from=taken).select("user_id", "item_idx")
     slots = _slots(short, listed, size, k).where(F.col("_at") < k - F.col("_m"))
     slots = slots.withColumn("rank", (F.col("_m") + F.col("_at") + 1).cast("int"))
@@ -133,7 +139,29 @@ def rank_unseen(
     named = skew.join(filler, index, "item_idx").select(
         "user_id", "item_id", F.lit(0.0).alias("score"), "rank"
     )
-    return top.unionByName(named)
+    held = listed.groupBy("user_id").agg(F.count("*").alias("_held"))
+    behind = F.col("_m") + size - F.col("_held") + F.row_number().over(order)
+    last = below.join(held, "user_id").withColumn("rank", behind.cast("int"))
+    last = last.where(F.col("rank") <= k).select("user_id", "item_id", "score", "rank")
+    return top.unionByName(named).unionByName(last)
+
+
+def with_unscored(
+    top: DataFrame, scored: DataFrame, users: DataFrame, seen: DataFrame | None, catalog: DataFrame, k: int
+) -> DataFrame:
+    """Completes the ``k`` best ``scored`` items per user by catalog items outside ``scored``.
+
+    Those count as 0 in id order, so they stand before negative scores.
+    """
+    top = cut_lineage(top.select("user_id", "item_id", "score"))
+    above = top.where("score > 0").groupBy("user_id").agg(F.count("*").alias("_m"))
+    short = users.select("user_id").join(above, "user_id", "left")
+    short = short.where(F.coalesce("_m", F.lit(0)) < k).select("user_id")
+    others = catalog.select("item_id").join(scored.select("item_id"), "item_id", "left_anti")
+    zeros = rank_unseen(top.limit(0), short, seen, others, k).select("user_id", "item_id", "score")
+    order = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "item_id")
+    both = top.unionByName(zeros).withColumn("rank", F.row_number().over(order))
+    return both.where(F.col("rank") <= k)
 
 
 def itemcf_similarity(
@@ -227,31 +255,55 @@ def itemcf_recs(
     return with_popularity(scored, train, catalog, users, k, exclude_seen)
 
 
-def mf_model(train: DataFrame, factors: int = 16, iterations: int = 10, reg: float = 0.01, seed: int = 42) -> ALSModel:
-    """Implicit matrix factorisation of summed weights; ids must be integers below 2^31."""
-    weights = user_item_weights(train).select(
-        F.col("user_id").cast("int").alias("user_id"), F.col("item_id").cast("int").alias("item_id"), "weight"
-    )
+class Factors(NamedTuple):
+    """Learned vectors: users (user_id, vec) and items (item_id, vec)."""
+
+    users: DataFrame
+    items: DataFrame
+
+
+def mf_model(
+    train: DataFrame, factors: int = 16, iterations: int = 20, reg: float = 0.01, seed: int = 42
+) -> Factors:
+    """Implicit matrix factorisation of summed weights; ids of any type are numbered first."""
+    weights = cut_lineage(user_item_weights(train))
+    places = {}
+    for key in ("user_id", "item_id"):
+        ids = weights.select(key).distinct()
+        places[key] = cut_lineage(skew.row_number(ids, [], [F.col(key)], f"{key}_at", [key]))
+        places[key] = places[key].withColumn(f"{key}_at", F.col(f"{key}_at").cast("int"))
+    rated = skew.join(weights, places["user_id"], "user_id", keys_from=weights, row_id=["item_id"])
+    rated = skew.join(rated, places["item_id"], "item_id", keys_from=weights, row_id=["user_id"])
     als = ALS(
         rank=factors, maxIter=iterations, regParam=reg, implicitPrefs=True, seed=seed,
-        userCol="user_id", itemCol="item_id", ratingCol="weight",
+        userCol="user_id_at", itemCol="item_id_at", ratingCol="weight",
+    )
+    model = als.fit(rated.select("user_id_at", "item_id_at", "weight"))
+    return Factors(
+        *[
+            places[key]
+            .join(learned.select(F.col("id").alias(f"{key}_at"), F.col("features").alias("vec")), f"{key}_at")
+            .select(key, "vec")
+            for key, learned in (("user_id", model.userFactors), ("item_id", model.itemFactors))
+        ]
     )
-    return als.fit(weights)
 
 
 def mf_recs(
-    model: ALSModel, train: DataFrame, catalog: DataFrame, users: DataFrame, k: int = 10,
+    model: Factors, train: DataFrame, catalog: DataFrame, users: DataFrame, k: int = 10,
     exclude_seen: bool = True,
 ) -> DataFrame:
-    """Factor products of known users over trained catalog items; others get popularity lists."""
-    ids = {c: train.schema[c].dataType for c in ("user_id", "item_id")}
-    reached = model.userFactors.select(F.col("id").cast(ids["user_id"]).alias("query_id"), F.col("features").alias("vec"))
-    reached = reached.join(users.select(F.col("user_id").alias("query_id")), "query_id", "left_semi")
-    items = model.itemFactors.select(F.col("id").cast(ids["item_id"]).alias("item_id"), F.col("features").alias("vec"))
-    items = items.join(catalog.select("item_id"), "item_id", "left_semi")
-    exclude = user_history(train).withColumnRenamed("user_id", "query_id") if exclude_seen else None
+    """Factor products of known users over the catalog; others get popularity lists.
+
+    Items without a vector count as 0.
+    """
+    known = users.select("user_id").join(model.users.select("user_id"), "user_id", "left_semi")
+    reached = model.users.join(known, "user_id", "left_semi").withColumnRenamed("user_id", "query_id")
+    items = model.items.join(catalog.select("item_id"), "item_id", "left_semi")
+    seen = user_history(train) if exclude_seen else None
+    exclude = None if seen is None else seen.withColumnRenamed("user_id", "query_id")
     top = block_topk(reached, items, k, exclude=exclude).withColumnRenamed("query_id", "user_id")
-    known = reached.select(F.col("query_id").alias("user_id"))
+    top = with_unscored(top, items, known, seen, catalog, k)
     others = users.select("user_id").join(known, "user_id", "left_anti")
     return top.unionByName(popularity_recs(train, catalog, others, k, exclude_seen))
 
