@@ -5,7 +5,8 @@ and a column per n-gram. Two sets can only reach the similarity if they share a
 one's first columns in a common order, rare ones first; the size of a set tells how many. Spark
 shuffles these incidences by column, so that each task multiplies blocks of columns, and adds the
 products up per pair. A pair whose sum, with all that sizes leave possible, stays below the overlap
-its sizes call for is discarded; the others are compared on their whole sets.
+its sizes call for is discarded, as is one whose bitmaps differ in more bits than its sizes allow; the others are compared
+on their whole sets.
 
 Columns with many rows (passages that thousands of documents share, groups of near copies) are put
 last in the order. Where they are needed all the same, rows are first compared with one row of the
@@ -17,6 +18,7 @@ N-grams are held as 64-bit hashes and sets as the 128 bits of two sums over them
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,14 @@ PERCENT = 85
 FREQUENT = 64
 #: Rounds in which frequent columns are looked for and put last.
 ROUNDS = 2
-#: So often the rows of frequent columns are linked with one row of the column.
+#: At most so often the rows of frequent columns are linked with one row of the column.
 STARS = 3
+#: They are, as long as a row of them meets more others than this on average.
+STAR_PARTNERS = 256
 PIECE_BYTES = 1 << 21
+#: 64-bit words of a set's bitmap.
+MAP_WORDS = 4
+MAP = [f"bits{k}" for k in range(MAP_WORDS)]
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -70,13 +77,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[size]
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each white-space separated word of the bytes, A-Z lower-cased.
+def _hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each white-space separated word of the bytes, A-Z lower-cased, and its place.
 
     A word's bytes are weighed by powers of an odd base, summed as a difference of running sums and
     divided by the first power, all modulo 2**64.
     """
-    found = []
+    found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     start = 0
     while start < len(data):
         stop = min(start + PIECE_BYTES, len(data))
@@ -97,90 +104,155 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
         np.cumsum(_BYTES[_LOWER[part]] * power[: len(part)], out=sums[1:])
         value = (sums[ends] - sums[begins]) * unpower[begins]
         found.append(_mix(value + (ends - begins).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        places.append(begins + start)
         start = stop
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return np.concatenate(found), np.concatenate(places)
+
 
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """The hashes alone."""
+    return _hashed_words(data)[0]
 
-def shingle_set(text: str, ngram: int = NGRAM) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams; of fewer words, of all as one."""
-    words = word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))
-    if not len(words):
-        return words
-    width = min(ngram, len(words))
+
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
     out = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
         out = _mix(out * np.uint64(0xE7037ED1A0B428DB) + words[k : len(words) - width + 1 + k])
-    return np.unique(out)
-
+    return out
 
-def signature(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart, independent of order."""
-    one = _mix(grams ^ np.uint64(0x8EBC6AF09C88C6E3)).sum(dtype=np.uint64)
-    two = _mix(grams + np.uint64(0x589965CC75374CC3)).sum(dtype=np.uint64)
-    return int(one.astype(np.int64)), int(two.astype(np.int64))
 
+def shingle_sets(texts: list[str], ngram: int = NGRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams end to end, and where each text ends.
 
-def first_columns(grams: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first columns of a set: rare before frequent, then by hash.
+    A text of fewer words has one n-gram of all of them; one without words has none.
+    """
+    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    words, places = _hashed_words(np.frombuffer(b"\n".join(encoded), np.uint8))
+    sizes = np.fromiter((len(e) + 1 for e in encoded), np.int64, len(encoded))
+    firsts = np.searchsorted(places, np.cumsum(sizes) - sizes)
+    counts = np.diff(np.append(firsts, len(words)))
+    out = np.zeros(len(words), np.uint64)
+    if len(words) >= ngram:
+        out[: len(words) - ngram + 1] = _grams(words, ngram)
+    inside = np.ones(len(words), bool)
+    for k in range(1, ngram):
+        inside[(firsts + counts - k)[counts >= k]] = False
+    for i in np.flatnonzero((counts > 0) & (counts < ngram)).tolist():
+        at, n = int(firsts[i]), int(counts[i])
+        out[at] = _grams(words[at : at + n], n)[0]
+        inside[at] = True
+    grams = out[inside]
+    ends = np.concatenate([[0], np.cumsum(inside)])[firsts + counts]
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        grams[a:b].sort()
+    keep = np.ones(len(grams), bool)
+    keep[1:] = grams[1:] != grams[:-1]
+    keep[starts[starts < ends]] = True
+    return grams[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
+
+
+def _per_text(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+    return (sums[ends] - sums[starts]).view(np.int64)
+
+
+def signatures(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that tell the sets apart, independent of order."""
+    one = _mix(grams ^ np.uint64(0x8EBC6AF09C88C6E3))
+    two = _mix(grams + np.uint64(0x589965CC75374CC3))
+    return _per_text(one, starts, ends), _per_text(two, starts, ends)
+
+
+def parities(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Bitmaps of the sets: each n-gram turns one bit, so two maps differ in no more bits than sets
+    differ in n-grams."""
+    bit = np.uint64(1) << ((grams >> np.uint64(8)) & np.uint64(63))
+    word = grams & np.uint64(0xFF)
+    filled = starts < ends
+    maps = []
+    for k in range(MAP_WORDS):
+        bits = np.zeros(len(starts), np.uint64)
+        if filled.any():
+            turned = np.where(word % np.uint64(MAP_WORDS) == k, bit, np.uint64(0))
+            bits[filled] = np.bitwise_xor.reduceat(turned, starts[filled])
+        maps.append(bits.view(np.int64))
+    return maps
+
+
+def first_columns(grams: np.ndarray, last: np.ndarray | None, percent: int) -> np.ndarray:
+    """The first columns of a set: rare before frequent (``last``), then by hash.
 
     A set of n needs an overlap of ceil(percent * n / 100) with any partner; so one of its first
     n - that + 1 columns is shared.
     """
     n = len(grams)
     count = n - (percent * n + 99) // 100 + 1 if n else 0
-    if len(frequent) and n:
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        last = frequent[at] == grams
-        grams = np.concatenate([grams[~last], grams[last]])
+    if last is not None and last[:count].any():
+        return np.concatenate([grams[~last], grams[last]])[:count]
     return grams[:count]
 
 
 def _columns(docs: DataFrame, ngram: int, percent: int, frequent=None) -> DataFrame:
-    """``doc_id, n, c1, c2, columns`` of texts; with ``frequent`` only where it changes the columns."""
+    """``doc_id, n, c1, c2, bits0.., columns`` of texts; with ``frequent`` only where it changes the
+    columns."""
+    names = ["doc_id", "n", "c1", "c2", *MAP]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
-        last = none if frequent is None else frequent.value
         for piece, texts in arrow.chunks(batches, "text"):
-            rows = []
-            for key, text in zip(piece.column(0).to_pylist(), texts):
-                grams = shingle_set(text, ngram)
-                chosen = first_columns(grams, last, percent)
-                if frequent is None or len(np.setdiff1d(chosen, first_columns(grams, none, percent))):
-                    rows.append((key, len(grams), *signature(grams), chosen.view(np.int64)))
-            key, n, c1, c2, chosen = zip(*rows) if rows else ((), (), (), (), ())
+            grams, ends = shingle_sets(texts, ngram)
+            starts = np.concatenate([[0], ends[:-1]])
+            last = None
+            if frequent is not None:
+                known = frequent.value
+                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                last = known[at] == grams
+            chosen, changed = [], []
+            for a, b in zip(starts.tolist(), ends.tolist()):
+                mine = first_columns(grams[a:b], None if last is None else last[a:b], percent)
+                differ = last is not None and not np.array_equal(np.sort(mine), grams[a : a + len(mine)])
+                chosen.append(mine)
+                changed.append(last is None or differ)
             offsets = np.cumsum([0, *map(len, chosen)]).astype(np.int32)
-            values = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+            values = np.concatenate(chosen).view(np.int64)
+            sides = [ends - starts, *signatures(grams, starts, ends), *parities(grams, starts, ends)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[pa.array(x, pa.int64()) for x in (key, n, c1, c2)],
+                    piece.column(0).cast(pa.int64()),
+                    *[pa.array(x, pa.int64()) for x in sides],
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
-                ["doc_id", "n", "c1", "c2", "columns"],
-            )
+                [*names, "columns"],
+            ).filter(pa.array(changed, pa.bool_()))
 
-    return docs.mapInArrow(pick, "doc_id long, n long, c1 long, c2 long, columns array<long>")
+    return docs.mapInArrow(pick, ", ".join(f"{c} long" for c in names) + ", columns array<long>")
 
 
 def _sets(docs: DataFrame, ngram: int) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in arrow.chunks(batches, "text", 1_000_000):
-            sets = [s for s in (shingle_set(t, ngram) for t in texts) if len(s)]
-            signs = [signature(s) for s in sets]
+            grams, ends = shingle_sets(texts, ngram)
+            starts = np.concatenate([[0], ends[:-1]])
+            sets = [grams[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+            c1, c2 = signatures(grams, starts, ends)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([s[0] for s in signs], pa.int64()),
-                    pa.array([s[1] for s in signs], pa.int64()),
-                    pa.array([s.tobytes() for s in sets], pa.binary()),
-                ],
-                ["c1", "c2", "grams"],
-            )
+                [pa.array(c1), pa.array(c2), pa.array(sets, pa.binary())], ["c1", "c2", "grams"]
+            ).filter(pa.array(ends > starts))
 
     return docs.mapInArrow(whole, "c1 long, c2 long, grams binary")
 
 
-def _compatible(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may_link(percent: int, a: str = "{}_a", b: str = "{}_b") -> Column:
+    """Whether sizes and bitmaps of two sets leave the similarity possible.
+
+    Sets that reach it differ in at most (100 - percent) / (100 + percent) of the sum of their sizes.
+    """
+    one, two = F.col(a.format("n")), F.col(b.format("n"))
+    differ = [F.bit_count(F.col(a.format(c)).bitwiseXOR(F.col(b.format(c)))) for c in MAP]
+    total = reduce(Column.__add__, differ)
+    return (F.least(one, two) * 100 >= F.greatest(one, two) * percent) & (
+        total * (100 + percent) <= (one + two) * (100 - percent)
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -237,7 +309,7 @@ def _classes(
     docs: DataFrame, signed: DataFrame, ngram: int, percent: int, frequent_rows: int, rounds: int
 ):
     """Distinct sets with their first columns, and the columns that two or more of them share."""
-    distinct = signed.where("n > 0").select("c1", "c2", "n", "columns").dropDuplicates(["c1", "c2"])
+    distinct = signed.where("n > 0").select("c1", "c2", "n", *MAP, "columns").dropDuplicates(["c1", "c2"])
     classes = materialise(distinct.withColumn("cid", F.monotonically_increasing_id()), "classes")
     known = np.zeros(0, np.uint64)
     for turn in range(rounds + 1):
@@ -262,7 +334,7 @@ def _classes(
         changed = changed.dropDuplicates(["c1", "c2"])
         classes = materialise(
             classes.join(changed, ["c1", "c2"], "left").select(
-                "c1", "c2", "n", "cid", F.coalesce("again", "columns").alias("columns")
+                "c1", "c2", "n", *MAP, "cid", F.coalesce("again", "columns").alias("columns")
             ),
             "classes",
         )
@@ -286,7 +358,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _side(rows: DataFrame, end: str) -> DataFrame:
-    names = {"cid": end, "n": f"n_{end}", "held": f"held_{end}", "root": f"root_{end}", "band": f"band_{end}"}
+    names = {"cid": end} | {c: f"{c}_{end}" for c in ("n", "held", "root", *MAP)}
     return rows.select("h", *[F.col(c).alias(names[c]) for c in rows.columns if c in names])
 
 
@@ -297,13 +369,21 @@ def _mixed(many: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(labelled.join(mixed.select("h"), "h"), "open")
 
 
+def _crowded(rows: DataFrame) -> bool:
+    """Whether a row meets many rows of other components in its columns, on average."""
+    sizes = rows.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h")
+    sizes = sizes.agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
+    met = sizes.agg(F.sum(F.col("all") * F.col("all") - F.col("same")).alias("met"), F.sum("all").alias("n")).first()
+    return bool(met.n) and met.met > STAR_PARTNERS * met.n
+
+
 def _stars(rows: DataFrame, star: int, percent: int) -> DataFrame:
     """Pairs of each row and the head of its column, in its own or the next smaller band.
 
     Heads go by a hash that differs from star to star. These pairs only save work later, so a pair
     that met in fewer than half of the columns it would have to share is left to the full product.
     """
-    lead = F.struct(F.xxhash64(F.lit(star), "cid").alias("lead"), "cid", "n", "root")
+    lead = F.struct(F.xxhash64(F.lit(star), "cid").alias("lead"), "cid", "n", "root", *MAP)
     heads = rows.groupBy("h", "band").agg(F.min(lead).alias("head"))
     met = []
     for step in (0, 1):
@@ -311,7 +391,7 @@ def _stars(rows: DataFrame, star: int, percent: int) -> DataFrame:
         met.append(
             rows.join(near, ["h", "band"])
             .where(F.col("root") != F.col("head.root"))
-            .where(_compatible(F.col("n"), F.col("head.n"), percent))
+            .where(_may_link(percent, "{}", "head.{}"))
             .select(
                 F.least("cid", "head.cid").alias("a"),
                 F.greatest("cid", "head.cid").alias("b"),
@@ -334,7 +414,7 @@ def class_roots(
 ) -> DataFrame:
     """``c1, c2, cid, root`` of all distinct sets."""
     classes, shared = _classes(docs, signed, ngram, percent, frequent_rows, rounds)
-    rows = classes.select("cid", "n", F.explode("columns").alias("h")).join(by_size(shared), "h")
+    rows = classes.select("cid", "n", *MAP, F.explode("columns").alias("h")).join(by_size(shared), "h")
     rows = materialise(rows, "incidence")
     often = F.col("m") > frequent_rows
     held = rows.where(often).groupBy("cid").agg(F.count("*").alias("held"))
@@ -345,13 +425,13 @@ def class_roots(
 
     # products of columns with few rows
     products = _side(few, "a").join(_side(few, "b"), "h").where(
-        (F.col("a") < F.col("b")) & _compatible(F.col("n_a"), F.col("n_b"), percent)
+        (F.col("a") < F.col("b")) & _may_link(percent)
     )
     pairs = _bounded(products, percent)
 
     # in the others each row meets one row of about its size, another one each time
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))))
-    many = materialise(many.select("h", "cid", "n", "held", band.alias("band")), "frequent")
+    many = materialise(many.select("h", "cid", "n", "held", *MAP, band.alias("band")), "frequent")
     pairs = materialise(pairs, "pairs")
     involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))
     involved = involved.union(many.select("cid")).distinct()
@@ -362,23 +442,23 @@ def class_roots(
     )
     links = _verified(pairs, sets, percent)
     roots = components(links)
+    open_rows = _mixed(many, roots)
     for star in range(STARS):
-        mixed = _mixed(many, roots)
-        if mixed.isEmpty():
+        if not _crowded(open_rows):
             break
-        tried = _stars(mixed, star, percent).join(pairs, ["a", "b"], "left_anti")
+        tried = _stars(open_rows, star, percent).join(pairs, ["a", "b"], "left_anti")
         tried = materialise(tried, "stars")
         pairs = materialise(pairs.union(tried), "pairs")
         links = materialise(links.union(_verified(tried, sets, percent)), "links")
         roots = components(links)
+        open_rows = _mixed(many, roots)
 
     # rows of one frequent column that are still in different components
-    open_rows = _mixed(many, roots)
     if not open_rows.isEmpty():
         products = _side(open_rows, "a").join(_side(open_rows, "b"), "h").where(
             (F.col("a") < F.col("b"))
             & (F.col("root_a") != F.col("root_b"))
-            & _compatible(F.col("n_a"), F.col("n_b"), percent)
+            & _may_link(percent)
         )
         # rare columns were multiplied before; at most all rare first columns are shared
         rare = F.expr(f"n_a - (({percent} * n_a) + 99) div 100 + 1 - held_a")
