@@ -33,14 +33,14 @@ PERCENT = 85
 #: A column with more rows than this counts as frequent.
 FREQUENT = 64
 #: Rounds in which frequent columns are looked for and put last.
-ROUNDS = 2
+ROUNDS = 1
 #: At most so often the rows of frequent columns are linked with one row of the column.
 STARS = 3
 #: They are, as long as a row of them meets more others than this on average.
 STAR_PARTNERS = 256
 PIECE_BYTES = 1 << 21
 #: 64-bit words of a set's bitmap.
-MAP_WORDS = 4
+MAP_WORDS = 8
 MAP = [f"bits{k}" for k in range(MAP_WORDS)]
 
 _SPACES = np.zeros(256, bool)
