@@ -62,6 +62,7 @@ def classify_intent(query: Column | str) -> Column:
 
 def extract_price(query: Column | str) -> Column:
     text = normalize_text(query)
+    # fixed pattern
     amount = F.regexp_extract(text, r"\bunder\s+\$?(\d+(?:\.\d+)?)\b", 1)
     result = F.when(
         amount != "", F.concat(F.lit("under_"), F.regexp_replace(amount, r"\.", "_"))

@@ -81,6 +81,7 @@ def user_profile(summary: DataFrame, model_failed: bool = False) -> DataFrame:
     """Profile text and fields; with ``model_failed`` the fallback wording and confidence 0."""
     categories = _first_two("top_categories", "observed products")
     brands = _first_two("top_brands", "observed brands")
+    # fixed sentences
     text = F.concat(
         F.lit("Interests: "), categories, F.lit(". Brands: "), brands,
         F.lit(". Price preference: "), "price_preference", F.lit("."),

@@ -84,11 +84,12 @@ def sweep_topk(items: DataFrame, queries: DataFrame, configs: DataFrame, k: int
             ).alias("weight"),
         )
     )
-    if skew.fits_broadcast(asked):
+    if skew.fits_broadcast(wanted):
         pairs = postings.join(F.broadcast(wanted), ["config_name", "term"])
     else:
         bar = skew.hot_rows(idf)
-        hot = idf.where(F.col("df") >= bar).select("config_name", "term").limit(skew.MAX_HOT_GROUPS)
+        most = idf.where(F.col("df") >= bar).orderBy(F.col("df").desc())
+        hot = most.select("config_name", "term").limit(skew.MAX_HOT_GROUPS)
         pairs = skew.join(postings, wanted, ["config_name", "term"], hot=hot, row_id=["item_id"])
     scored = pairs.groupBy("config_name", "query_text", "item_id").agg(
         F.round(F.sum(F.col("qw") * F.col("weight")), SCORE_DIGITS).alias("score")
