@@ -11,6 +11,11 @@ from aisle.llm.common import materialise
 from aisle.llm.queries import table, tokenizer_file
 
 
+#: Near duplicates share this percentage of their sets of so many words in a row.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
     return toxic_spans.without_toxic(docs, table(spark, sf_dir, "labels"))
@@ -23,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return shingle_join.one_per_group(docs)
+    return shingle_join.one_per_group(docs, ngram=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

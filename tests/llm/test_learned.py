@@ -191,3 +191,18 @@ def test_pipeline_stages(spark, insults, tmp_path):
             assert groups.where("doc_id <> component_id").isEmpty()
             assert now.groupBy("text").count().where("count > 1").isEmpty()
     assert counts[0] > counts[1] > counts[2] >= counts[3] and counts[4] == counts[5]
+
+
+def test_pipeline_drops_near_copies_from_eighty_percent_of_five_words(spark):
+    rows = []
+    for k, n in enumerate((48, 49, 50, 51, 52)):
+        words = [f"w{k}x{j}" for j in range(n)]
+        rows.append((2 * k, " ".join(words)))
+        words[n // 2] = "other"
+        rows.append((2 * k + 1, " ".join(words)))
+    docs = docs_of(spark, rows)
+    # one changed word leaves n - 9 of n + 1 five-word shingles and fewer than 85 percent of four words
+    assert shingle_join.one_per_group(docs).count() == 10
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert {0, 1} <= kept and len(kept) == 6
+    assert all(len({2 * k, 2 * k + 1} & kept) == 1 for k in range(1, 5))
