@@ -1,15 +1,19 @@
 """Main text of web pages by wrappers inferred per host.
 
-Some pages of a host are read as token streams and aligned one after the other with the wrapper
-found so far, a regular expression without unions: tags that agree stay, neighbours of one kind fold
-into a repeated group, tags of one side only become optional groups, and differing texts become
-slots. The element that holds most of the slots' text is the host's main part; optional or repeated
-groups inside it that are menus, adverts and the like, and texts that never change, are left out.
-Every page is then read with the wrapper of its host.
+All pages of a host are read as token streams and aligned with each other into wrappers, regular
+expressions without unions: tags that agree stay, neighbours of one kind fold into a repeated group,
+tags of one side only become optional groups, and differing texts become slots. Pages whose text lies
+in other elements get a wrapper of their own, so a host has one per template. Wrappers count the pages
+of every part, which makes them addable: groups of pages are aligned first, then their wrappers.
+
+Every page is matched against the wrapper of its template. The element that holds most of the slots'
+text is the main part. Inside it, texts that never change on any page are left out, and so are optional
+or repeated groups of links; names and classes only hint at menus, adverts and the like.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -21,27 +25,31 @@ from pyspark.sql import functions as F
 
 from aisle.llm.common import by_size, materialise
 
-#: A host's wrapper is fitted on at most so many of its pages, chosen by hash.
-PAGES_PER_HOST = 8
-RULES_SENT = 20_000
+#: So many wrappers meet in one step of the merge.
+FAN_IN = 64
+RULES_SENT = 5_000
+#: Wrappers that share at least this part of their text's places are of one template.
+ALIKE = 0.3
 
 #: Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset(
-    "nav header footer aside form button select option label input textarea script style noscript template "
-    "iframe svg canvas object dialog menu figcaption title head".split()
+UNSEEN = frozenset("head title script style noscript template iframe svg canvas object".split())
+ASIDE = frozenset(
+    "nav footer aside form button select option label input textarea dialog menu".split()
 )
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup "
     "time tt u var wbr br img".split()
 )
-#: Words in class, id or role that mark what is not main text.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|nav\w*|menu|"
+PROSE = frozenset("p blockquote pre figure figcaption h1 h2 h3 h4 h5 h6".split())
+#: Words in class, id or role that hint at what is not main text, as a whole name or a part of one.
+_WORDS = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|nav\w*|menu|"
     r"breadcrumbs?|sidebar|widget|header|masthead|footer|comments?|replies|disqus|share|social|related|recommended|"
-    r"newsletter|subscribe|login|search|pagination|pager|tags|skip)(?:$|[\s_-])",
-    re.I,
+    r"newsletter|subscribe|login|search|pagination|pager|tags|skip)"
 )
+MARKS = re.compile(rf"(?:^|\s){_WORDS}(?:$|\s)", re.I)
+PART_MARKS = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|$)"
@@ -50,35 +58,41 @@ _TOKEN = re.compile(
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_DIGITS = re.compile("[0-9]+")
 
 
 class Node:
-    """An element of a page or of a wrapper."""
+    """An element of a page or of a wrapper; ``seen`` counts pages."""
 
-    __slots__ = ("name", "mark", "children", "repeated", "optional")
+    __slots__ = ("name", "mark", "kind", "children", "repeated", "seen")
 
-    def __init__(self, name: str, mark: str = ""):
+    def __init__(self, name: str, mark: str = "", kind: str | None = None):
         self.name, self.mark = name, mark
+        if kind is None:
+            # further classes and numbers differ from page to page of one template
+            kind = name if name in ("html", "body") else f"{name} {_DIGITS.sub('0', mark.split(' ', 1)[0])}"
+        self.kind = kind
         self.children: list = []
-        self.repeated = self.optional = False
+        self.repeated, self.seen = False, 1
 
     @property
-    def kind(self) -> tuple[str, str]:
-        return self.name, self.mark
-
-    @property
-    def left_out(self) -> bool:
-        return self.name in SKIPPED or bool(self.mark and MARKS.search(self.mark))
+    def hint(self) -> int:
+        """2 for a name of what is not main text, 1 for a part of a name, else 0."""
+        if self.name in ("html", "body", "#page"):
+            return 0
+        if self.name in ASIDE or (self.mark and MARKS.search(self.mark)):
+            return 2
+        return int(self.name == "header" or bool(self.mark and PART_MARKS.search(self.mark)))
 
 
 class Text:
-    """A text of a wrapper: its value, or a slot after values differed."""
+    """A text of a wrapper: the hash of its value, or a slot after values differed."""
 
     __slots__ = ("value", "slot", "chars", "seen")
-    kind = ("#", "")
+    kind = "#"
 
-    def __init__(self, value: str):
-        self.value, self.slot, self.chars, self.seen = value, False, len(value), 1
+    def __init__(self, value: str, slot: bool = False, chars: int = 0, seen: int = 1):
+        self.value, self.slot, self.chars, self.seen = value, slot, chars, seen
 
 
 def parse(page: str) -> Node:
@@ -108,8 +122,9 @@ def parse(page: str) -> Node:
                     break
                 if stack[depth].name not in INLINE:
                     break
-        marks = [b or c or d for _, b, c, d in _ATTRIBUTE.findall(token)] if "=" in token else []
-        node = Node(name, " ".join(marks))
+        marks = [(a.lower() != "class", b or c or d) for a, b, c, d in _ATTRIBUTE.findall(token)] if "=" in token else []
+        kind = None if any(not other for other, _ in marks) else name
+        node = Node(name, " ".join(m for _, m in sorted(marks, key=lambda m: m[0])), kind)
         stack[-1].children.append(node)
         if name not in VOID and not token.endswith("/>"):
             stack.append(node)
@@ -121,7 +136,7 @@ def _fold(children: list) -> list:
     out: list = []
     for child in children:
         if out and isinstance(child, Node) and isinstance(out[-1], Node) and out[-1].kind == child.kind:
-            out[-1] = _align(out[-1], child)
+            out[-1] = _align(out[-1], child, False)
             out[-1].repeated = True
         else:
             out.append(child)
@@ -129,189 +144,337 @@ def _fold(children: list) -> list:
 
 
 def _wrapper(node: Node) -> Node:
-    made = Node(*node.kind)
+    made = Node(node.name, node.mark, node.kind)
     children: list = []
     for child in node.children:
         if isinstance(child, Node):
-            children.append(_wrapper(child))
+            if child.name not in UNSEEN:
+                children.append(_wrapper(child))
         elif child.strip():
-            children.append(Text(" ".join(child.split())))
+            text = " ".join(child.split())
+            children.append(Text(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), False, len(text)))
     made.children = _fold(children)
     return made
 
 
-def _match(a: list, b: list) -> list[tuple[int, int]]:
+def _packed(node) -> list:
+    if isinstance(node, Text):
+        return [node.value, node.slot, node.chars, node.seen]
+    return [node.name, node.mark, node.kind, node.repeated, node.seen, [_packed(c) for c in node.children]]
+
+
+def _unpacked(row: list):
+    if len(row) == 4:
+        return Text(*row)
+    made = Node(*row[:3])
+    made.repeated, made.seen = row[3], row[4]
+    made.children = [_unpacked(c) for c in row[5]]
+    return made
+
+
+def _match(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """A longest common subsequence of kinds."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            same = a[i].kind == b[j].kind
+    first = 0
+    while first < len(a) and first < len(b) and a[first] == b[first]:
+        first += 1
+    pairs = [(k, k) for k in range(first)]
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    tail = [(len(a) - k, len(b) - k) for k in range(last, 0, -1)]
+    m, n = len(a) - last, len(b) - last
+    best = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(m - 1, first - 1, -1):
+        for j in range(n - 1, first - 1, -1):
+            same = a[i] == b[j]
             best[i][j] = best[i + 1][j + 1] + 1 if same else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    pairs = []
-    while i < len(a) and j < len(b):
-        if a[i].kind == b[j].kind:
+    i = j = first
+    while i < m and j < n:
+        if a[i] == b[j]:
             pairs.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
             j += 1
-    return pairs
+    return pairs + tail
+
 
+def _align(a: Node, b: Node, pages: bool = True) -> Node:
+    """The wrapper of both: agreed parts, parts of either, slots for differing texts.
 
-def _align(a: Node, b: Node) -> Node:
-    """The wrapper of both: agreed parts, optional parts of either, slots for differing texts."""
-    made = Node(*a.kind)
-    made.repeated, made.optional = a.repeated or b.repeated, a.optional or b.optional
+    Counts of different pages add up; those of neighbours in the same pages do not.
+    """
+    made = Node(a.name, a.mark, a.kind)
+    made.repeated = a.repeated or b.repeated
+    made.seen = a.seen + b.seen if pages else max(a.seen, b.seen)
     i = j = 0
     children: list = []
-
-    def optional(part: list) -> None:
-        for child in part:
-            if isinstance(child, Node):
-                child.optional = True
-            children.append(child)
-
-    for x, y in [*_match(a.children, b.children), (len(a.children), len(b.children))]:
-        optional(a.children[i:x])
-        optional(b.children[j:y])
+    kinds = [c.kind for c in a.children], [c.kind for c in b.children]
+    for x, y in [*_match(*kinds), (len(a.children), len(b.children))]:
+        children += a.children[i:x] + b.children[j:y]
         if x < len(a.children):
             one, two = a.children[x], b.children[y]
             if isinstance(one, Text):
-                one.slot = one.slot or two.slot or one.value != two.value
-                one.chars += two.chars
-                one.seen += two.seen
-                children.append(one)
+                slot = one.slot or two.slot or one.value != two.value
+                seen = one.seen + two.seen if pages else max(one.seen, two.seen)
+                children.append(Text(one.value, slot, one.chars + two.chars, seen))
             else:
-                children.append(_align(one, two))
+                children.append(_align(one, two, pages))
         i, j = x + 1, y + 1
     made.children = _fold(children)
     return made
 
 
-def infer(pages: list[str]) -> dict:
-    """A host's rule: the kind of its main element and the texts inside that never change."""
-    wrapper, used = None, 0
-    for page in dict.fromkeys(pages):
-        stream = _wrapper(parse(page))
-        wrapper = stream if wrapper is None else _align(wrapper, stream)
-        used += 1
-    if wrapper is None:
-        return {"main": None, "constant": []}
-
-    def weight(node: Node) -> int:
-        if node.left_out:
-            return 0
-        return sum(
-            weight(c) if isinstance(c, Node) else c.chars * (c.slot or used == 1) for c in node.children
-        )
+def _places(wrapper: Node) -> dict[str, int]:
+    """Characters below each path of blocks; paths through a hint begin with an exclamation mark."""
+    out: dict[str, int] = {}
 
-    def named(node: Node):
-        if node.left_out:
-            return None
-        if (node.name in ("article", "main") or node.mark == "main") and weight(node):
-            inner = [n for n in map(named, (c for c in node.children if isinstance(c, Node))) if n]
-            return inner[0] if node.name == "main" and len(inner) == 1 else node
-        found = [n for n in map(named, (c for c in node.children if isinstance(c, Node))) if n]
-        return max(found, key=weight) if found else None
-
-    main = named(wrapper)
-    if main is None:
-        # go down while one element of its own kind holds nearly all of the slots
-        main = wrapper
-        while True:
-            inner = [c for c in main.children if isinstance(c, Node) and c.name not in INLINE]
-            heavy = max(inner, key=weight, default=None)
-            if heavy is None or heavy.repeated or heavy.name == "p" or weight(heavy) < 0.8 * weight(main):
-                break
-            main = heavy
-    constant, slots = [], 0
-
-    def texts(node: Node) -> None:
-        nonlocal slots
+    def add(node: Node, path: str) -> int:
+        total = 0
         for child in node.children:
-            if isinstance(child, Node):
-                if not child.left_out:
-                    texts(child)
-            elif child.slot or child.seen < used:
-                slots += child.chars
+            if isinstance(child, Text):
+                total += child.chars
+            elif child.name in INLINE or child.name in ("html", "body"):
+                total += add(child, path)
             else:
-                constant.append(child.value)
+                hinted = child.hint == 2 and path[:1] != "!"
+                below = f"{'!' if hinted else ''}{path}/{child.kind}"
+                chars = add(child, below)
+                out[below] = out.get(below, 0) + chars
+                total += chars
+        return total
+
+    out[""] = add(wrapper, "")
+    return out
+
 
-    if used >= 3:
-        texts(main)
-    # a host whose sampled pages all tell the same has no constant texts that could be told apart
-    if used * sum(map(len, constant)) > 0.2 * slots:
-        constant = []
-    return {"main": list(main.kind) if main.name != "#page" else None, "constant": constant}
+def _alike(a: dict[str, int], b: dict[str, int]) -> float:
+    """How much two wrappers' texts lie in the same places, from 0 to 1; long texts count by their root.
 
+    Places with a hint only count where there are no others.
+    """
+    if len(a) == 1 and len(b) == 1:
+        return 1.0
+
+    def shares(of: dict[str, int]) -> dict[str, float]:
+        plain = sum(n for p, n in of.items() if p[:1] != "!" and p)
+        inner = {p: n for p, n in of.items() if p[:1] != "!"} if plain > 0 else of
+        whole = sum(n for p, n in inner.items() if p)
+        return {p: (n / whole) ** 0.5 for p, n in inner.items() if n and p}
+
+    one, two = shares(a), shares(b)
+    least = sum(min(one[p], two[p]) for p in one.keys() & two.keys())
+    most = sum(max(one.get(p, 0), two.get(p, 0)) for p in one.keys() | two.keys())
+    return least / most if most else float(one == two)
+
+
+def _nearest(places: dict[str, int], known: list[dict[str, int]]) -> tuple[float, int]:
+    """The likeness and the place of the wrapper that is most alike, the first of equal ones."""
+    alike, at = max(((_alike(places, k), -i) for i, k in enumerate(known)), default=(0.0, 0))
+    return alike, -at
+
+
+def merged(wrappers: list[Node]) -> list[Node]:
+    """One wrapper per template."""
+    kept: list[Node] = []
+    places: list[dict[str, int]] = []
+    for wrapper in wrappers:
+        mine = _places(wrapper)
+        alike, at = _nearest(mine, places)
+        if alike >= ALIKE:
+            kept[at] = _align(kept[at], wrapper)
+            for path, chars in mine.items():
+                places[at][path] = places[at].get(path, 0) + chars
+        else:
+            kept.append(wrapper)
+            places.append(mine)
+    return kept
 
-def extract(page: str, rule: dict) -> str:
+
+def rule(wrapper: Node) -> dict:
+    """What a wrapper decides: its kinds with the main element, groups left out and constant texts.
+
+    A node is ``[kind, flag, children]``, 1 for the main element, 2 if it is left out and 3 if it stays
+    whatever its names are; a text is 1 if it never changes.
+    """
+    pages = wrapper.seen
+
+    def slots(node, hints: bool) -> float:
+        if isinstance(node, Text):
+            return node.chars if node.slot or node.seen < pages or pages == 1 else 0
+        total = sum(slots(c, hints) for c in node.children)
+        # elements for other things weigh next to nothing, names of classes a tenth
+        return total / (1000 if node.name in ASIDE else 10) if hints and node.hint == 2 else total
+
+    main = wrapper
+    while main.name not in ("article", "main"):
+        inner = [c for c in main.children if isinstance(c, Node) and c.name not in INLINE]
+        heavy = max(inner, key=lambda c: slots(c, True), default=None)
+        if heavy is None or heavy.repeated and heavy.name not in ("article", "main") or heavy.name in PROSE:
+            break
+        # names lower the bar
+        least = 0.5 if heavy.name in ("article", "main") or heavy.mark == "main" else 0.8
+        weight = sum(slots(c, True) for c in main.children)
+        if not weight or slots(heavy, True) < least * weight:
+            break
+        # a heading or paragraph next to it belongs to the same text
+        if heavy.name not in ("article", "main") and any(c.name in PROSE and slots(c, True) for c in inner):
+            break
+        main = heavy
+    if main.name == "main":
+        articles = [c for c in main.children if isinstance(c, Node) and c.name == "article"]
+        if len(articles) == 1 and 2 * slots(articles[0], False) >= slots(main, False):
+            main = articles[0]
+    whole = sum(slots(c, False) for c in main.children)
+
+    def constant(node) -> int:
+        if isinstance(node, Text):
+            return 0 if node.slot or node.seen < pages else node.chars
+        return sum(map(constant, node.children))
+
+    # pages that all tell the same have no constant texts that could be told apart
+    tells = pages >= 3 and constant(main) <= 0.2 * whole
+
+    def links(node, inside: bool = False) -> int:
+        if isinstance(node, Text):
+            return node.chars if inside else 0
+        return sum(links(c, inside or node.name == "a") for c in node.children)
+
+    def chars(node) -> int:
+        return node.chars if isinstance(node, Text) else sum(map(chars, node.children))
+
+    def left_out(node: Node) -> bool:
+        mine = slots(node, False)
+        if 2 * mine >= whole and whole:
+            return False
+        group = node.repeated or node.seen < pages
+        linked = 10 * links(node) >= 8 * max(chars(node), 1)
+        if node.hint:
+            return node.hint == 2 or group or linked or not mine
+        return pages > 1 and group and linked and node.name not in PROSE and node.name not in INLINE
+
+    def write(node, inside: bool):
+        if isinstance(node, Text):
+            return int(tells and not node.slot and node.seen == pages)
+        flag = 1 if node is main else (2 if left_out(node) else 3) if inside else 0
+        return [node.kind, flag, [write(c, inside or node is main) for c in node.children]]
+
+    return {"places": _places(wrapper), "wrapper": write(wrapper, False)}
+
+
+def _matched(children: list, wrapper: list | None) -> list[tuple]:
+    """Each child with its part of the wrapper or None; neighbours of one kind go to one group."""
+    runs: list[list] = []
+    for child in children:
+        if isinstance(child, Node):
+            if runs and isinstance(runs[-1][-1], Node) and runs[-1][-1].kind == child.kind:
+                runs[-1].append(child)
+            elif child.name not in UNSEEN:
+                runs.append([child])
+        elif child.strip():
+            runs.append([child])
+    parts = wrapper[2] if wrapper else []
+    kinds = [r[0].kind if isinstance(r[0], Node) else "#" for r in runs]
+    found = dict(_match(kinds, ["#" if isinstance(p, int) else p[0] for p in parts])) if parts else {}
+    at = {id(c): found.get(i) for i, run in enumerate(runs) for c in run if isinstance(c, Node)}
+    texts = iter([found.get(i) for i, run in enumerate(runs) if not isinstance(run[0], Node)])
+    out = []
+    for child in children:
+        k = at.get(id(child)) if isinstance(child, Node) else next(texts) if child.strip() else None
+        out.append((child, None if k is None else parts[k]))
+    return out
+
+
+def extract(page: str, rules: list[dict]) -> str:
     """The main text of a page: blocks in page order, joined by a line feed."""
     root = parse(page)
-    constant = set(rule["constant"])
-
-    def find(node: Node, kind) -> list[Node]:
-        if node.left_out:
-            return []
-        if kind(node):
-            return [node]
-        return [x for c in node.children if isinstance(c, Node) for x in find(c, kind)]
-
-    mains: list[Node] = []
-    if rule["main"] is not None:
-        mains = find(root, lambda n: [n.name, n.mark] == rule["main"])
-    if not mains:
-        mains = find(root, lambda n: n.name == "article") or find(root, lambda n: n.name == "main") or [root]
+    wrapper = rules[0]["wrapper"] if rules else None
+    if len(rules) > 1:
+        wrapper = rules[_nearest(_places(_wrapper(root)), [r["places"] for r in rules])[1]]["wrapper"]
+
+    def find(node: Node, part) -> list[tuple]:
+        if part[1] == 1:
+            return [(node, part)]
+        pairs = [(c, p) for c, p in _matched(node.children, part) if isinstance(c, Node) and p]
+        return [x for c, p in pairs for x in find(c, p)]
+
+    mains = find(root, wrapper) if wrapper else []
     blocks: list[str] = []
-    open_block: list[str] = []
+    open_block: list[tuple[str, bool]] = []
 
     def close() -> None:
-        text = " ".join("".join(open_block).split())
-        if text and text not in constant:
+        text = " ".join("".join(t for t, _ in open_block).split())
+        if text and not all(same for t, same in open_block if t.strip()):
             blocks.append(text)
         open_block.clear()
 
-    def walk(node: Node) -> None:
-        for child in node.children:
+    def walk(node: Node, part) -> None:
+        for child, its in _matched(node.children, part):
             if isinstance(child, str):
-                open_block.append(child)
+                open_block.append((child, its == 1))
             elif child.name == "br":
-                open_block.append(" ")
-            elif child.name in INLINE and not child.left_out:
-                walk(child)
-            elif not child.left_out:
+                open_block.append((" ", False))
+            elif child.name in UNSEEN or (its[1] == 2 if its and its[1] else child.hint == 2):
+                continue
+            elif child.name in INLINE:
+                walk(child, its)
+            else:
                 close()
-                walk(child)
+                walk(child, its)
                 close()
 
-    for main in mains:
-        walk(main)
+    # a page without the main element of its template is read by names alone
+    for main, part in mains or [(root, None)]:
+        walk(main, part)
         close()
     return "\n".join(blocks)
 
 
-def host_rules(pages: DataFrame, host: str, html: str, per_host: int = PAGES_PER_HOST) -> DataFrame:
-    """``host, rule`` of every host, from at most ``per_host`` pages of each.
+def host_rules(pages: DataFrame, host: str, html: str) -> DataFrame:
+    """``host, rule`` of every host, from all of its distinct pages.
 
-    A page is drawn per host and hash bucket, combined before the shuffle, so a host with a third of
-    all pages moves a page per bucket and task.
+    Pages become small wrappers where they are. Buckets of a hash split large hosts, and each step
+    merges ``FAN_IN`` neighbouring buckets, so that no task aligns all pages of a host.
     """
-    drawn = (
-        pages.select(F.col(host).alias("host"), F.xxhash64(html).alias("_hash"), F.col(html).alias("html"))
-        .where("html is not null")
-        .groupBy("host", F.pmod("_hash", F.lit(per_host)).alias("_bucket"))
-        .agg(F.min_by("html", "_hash").alias("html"))
-    )
-    samples = drawn.groupBy("host").agg(F.sort_array(F.collect_list("html")).alias("pages"))
+    rows = pages.select(F.col(host).alias("host"), F.col(html).alias("html")).where("html is not null")
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rules = [json.dumps(infer(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rules, pa.string())], ["host", "rule"])
+            made = [json.dumps([_packed(_wrapper(parse(x.as_py())))]) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(made, pa.string())], ["host", "hash", "found"]
+            )
 
-    return samples.mapInArrow(fit, "host string, rule string")
+    hashed = rows.select("host", F.xxhash64("html").alias("hash"), "html")
+    found = hashed.mapInArrow(read, "host string, hash long, found string").dropDuplicates(["host", "hash"])
+    found = materialise(found, "wrappers")
+    most = found.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+
+    def merge(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for lists in batch.column(2):
+                    kept = merged([_unpacked(w) for x in lists for w in json.loads(x.as_py())])
+                    out.append(json.dumps([rule(w) for w in kept] if last else [_packed(w) for w in kept]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(out, pa.string())], ["host", "hash", "found"]
+                )
+
+        return run
+
+    buckets = 1
+    while buckets * FAN_IN < most:
+        buckets *= FAN_IN
+    while True:
+        grouped = found.groupBy("host", F.pmod("hash", F.lit(buckets)).alias("hash")).agg(
+            F.sort_array(F.collect_list("found")).alias("found")
+        )
+        found = grouped.mapInArrow(merge(buckets == 1), "host string, hash long, found string")
+        if buckets == 1:
+            return found.select("host", F.col("found").alias("rule"))
+        buckets //= FAN_IN
 
 
 def main_texts(
@@ -319,12 +482,11 @@ def main_texts(
     page_id: str = "page_id",
     url: str = "url",
     html: str = "html",
-    per_host: int = PAGES_PER_HOST,
 ) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``.
 
     Null, empty and blank pages give an empty text; pages without a url share a wrapper; a page that
-    its host's wrapper does not fit is read by element names alone. Repeated rows give repeated
+    lacks the main element of its wrapper is read by names alone. Repeated rows give repeated
     rows, an empty table an empty result. Other columns are not read.
     """
     rows = pages.select(
@@ -333,16 +495,16 @@ def main_texts(
         F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"),
         F.col(html).alias("html"),
     )
-    rules = materialise(host_rules(rows, "host", "html", per_host), "rules")
+    rules = materialise(host_rules(rows, "host", "html"), "rules")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[str, list] = {}
         for batch in batches:
             texts = []
             for page, rule in zip(batch.column(2), batch.column(3)):
                 page, rule = page.as_py(), rule.as_py()
                 if rule not in known:
-                    known[rule] = json.loads(rule) if rule else {"main": None, "constant": []}
+                    known[rule] = json.loads(rule) if rule else []
                 texts.append(extract(page, known[rule]) if page else "")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]

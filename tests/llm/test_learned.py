@@ -166,6 +166,33 @@ def test_wrappers_read_main_text(spark):
     assert wrappers.main_texts(pages.where("false")).count() == 0
 
 
+def texts_of(spark, pages):
+    rows = [(k, "http://w.example/" + str(k), html) for k, html in enumerate(pages)]
+    got = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [t for _, t in sorted((r.page_id, r.text) for r in got)]
+
+
+def test_names_of_pages_and_articles_do_not_remove_text(spark):
+    story = lambda k: f"<h1>Title {k}</h1><p>{'word ' * (30 + k)}end {k}</p><figure><img><figcaption>seen {k}</figcaption></figure>"
+    want = [f"Title {k}\n{'word ' * (30 + k)}end {k}\nseen {k}" for k in range(6)]
+    for body, mark in (("has-sidebar", "post has-comments"), ("header-fixed", "share-price"), ("menu", "related")):
+        got = texts_of(spark, [
+            f"<html><body class='{body}'><nav><a>m{k}</a></nav><article class='{mark}'>{story(k)}"
+            f"<div class='comments'><p>first {k}</p></div></article><footer>f</footer></body></html>"
+            for k in range(6)
+        ])
+        assert got == want, (body, mark)
+
+
+def test_groups_of_the_wrapper_decide_without_names(spark):
+    menu = lambda k: "".join(f"<li><a href='/{j}'>go {j * k}</a></li>" for j in range(1 + k % 3))
+    pages = [
+        f"<body><div class='x'><h1>T{k}</h1><p>{'word ' * (30 + k)}</p><p>more {k}</p><ul class='y'>{menu(k)}</ul></div></body>"
+        for k in range(8)
+    ]
+    assert texts_of(spark, pages) == [f"T{k}\n{('word ' * (30 + k)).strip()}\nmore {k}" for k in range(8)]
+
+
 def test_registry():
     assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(n) for n in range(1, 11)}
     assert set(ORACLES) <= set(QUERIES)
