@@ -193,6 +193,23 @@ def test_groups_of_the_wrapper_decide_without_names(spark):
     assert texts_of(spark, pages) == [f"T{k}\n{('word ' * (30 + k)).strip()}\nmore {k}" for k in range(8)]
 
 
+def test_wrappers_come_from_all_pages_of_a_host(spark):
+    """A rare template has its wrapper, and a heading of some articles stays."""
+    pages, want = [], []
+    for k in range(150):
+        text = [f"Title {k}", f"{'word ' * (40 + k % 7)}end {k}"]
+        if k % 10 == 3:
+            side = "".join(f"<div class='z'><a href='/{j}'>pick {j} {k}</a></div>" for j in range(3))
+            pages.append(f"<body><div class='top'>{side}</div><div class='text'><h2>{text[0]}</h2><div>{text[1]}</div></div></body>")
+        else:
+            if k != 75:
+                text.insert(1, "In short")
+            heads = "<h3>In short</h3>" if k != 75 else ""
+            pages.append(f"<body><article><h1>{text[0]}</h1>{heads}<p>{text[-1]}</p><h4>All rights kept</h4></article></body>")
+        want.append("\n".join(text))
+    assert texts_of(spark, pages) == want
+
+
 def test_registry():
     assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(n) for n in range(1, 11)}
     assert set(ORACLES) <= set(QUERIES)
