@@ -2,10 +2,12 @@
 
 Generators with high recall propose overlapping candidates: everything around an at sign (also a
 spelled one) and every run of digits and separators. Inside each run the exact patterns of a kind
-name the base spans. Boosted trees learn from a bounded sample of candidates, labelled by the base
-patterns, with features of format and context that do not repeat those patterns' checks; per kind
-the lowest threshold that keeps the precision on a held-out part is taken, and candidates above it
-that overlap no base span are added.
+name the base spans. Boosted trees learn from a bounded sample per kind, with features of format and
+context that do not repeat the patterns' checks. A candidate is labelled whatever its surface: it is
+private if it is a base span, has the digits or the address of one elsewhere, or passes its kind's
+check in normal form next to a word of its kind; it is not if it fails that check. Others have no
+label and count in no precision. Per kind the lowest threshold that keeps the precision on all
+held-out labels is taken, and candidates above it that overlap no base span are added.
 
 Positions come from cutting the text at the matches of a pattern: gaps and matches add up.
 """
@@ -18,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisle.llm.common import materialise
+from aisle.llm.common import by_size, materialise
 
 #: Kinds in the order that breaks ties, and their exact patterns. Possessive repeats
 #: and the look-behinds start and end where the plain patterns do, in time linear in the text.
@@ -35,31 +37,46 @@ SPELLED_AT = (
     r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++"
     r"(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++"
 )
-DIGITS = r"[0-9+][0-9 ().+-]*[0-9]"
+DIGITS = r"(?:\((?=[0-9]))?[0-9+][0-9 ().+-]*[0-9]"
 #: Separate numbers inside a run of digits, as further, overlapping candidates.
 NUMBERS = r"\(?[0-9]++(?:[ .()-]{1,2}[0-9]++)*+"
 
-SAMPLE_ROWS = 20_000
+#: Words before a candidate that tell its kind.
+CONTEXT = {
+    "email": r"(?i)\b(?:e-?mail|mail|write|contact|reach)\b",
+    "ip": r"(?i)\b(?:ip|host|server|address)\b",
+    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|paid)\b",
+    "phone": r"(?i)\b(?:phone|call|tel|telephone|fax|mobile|cell|dial|ring|text)\b",
+}
+BEFORE_CHARS = 24
+
+#: Rows that the trees learn from, of each kind and label.
+SAMPLE_ROWS = 5_000
 TREES = 12
 DEPTH = 3
 PRECISION = 0.98
-LEAST_SCORE = 0.9
+LEAST_SCORE = 0.5
+#: Steps of the scores among which the thresholds are looked for.
+LEVELS = 1000
 SEED = 7
 
 
 def _cut(text: Column, pattern: str) -> Column:
     """The gap before each match and the match, in order; the rest of the text comes with null."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    before = lambda x: F.substring(x, -BEFORE_CHARS, BEFORE_CHARS)
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.struct(F.length(x).alias("n"), before(x).alias("b")))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.zip_with(gaps, found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    return F.zip_with(
+        gaps, found, lambda gap, match: F.struct(gap["n"].alias("gap"), match.alias("match"), gap["b"].alias("before"))
+    )
 
 
 def _one(match: Column) -> Column:
-    return F.array(F.struct(F.lit(0).alias("gap"), match.alias("match")))
+    return F.array(F.struct(F.lit(0).alias("gap"), match.alias("match"), F.lit("").alias("before")))
 
 
 def _where(condition: Column, found: Column) -> Column:
-    return F.when(condition, found).otherwise(F.array().cast("array<struct<gap:int,match:string>>"))
+    return F.when(condition, found).otherwise(F.array().cast("array<struct<gap:int,match:string,before:string>>"))
 
 
 def _placed(rows: DataFrame, keys: list[str], origin: Column) -> DataFrame:
@@ -110,7 +127,7 @@ def _runs(docs: DataFrame) -> DataFrame:
     runs = F.array(*[F.struct(F.lit(k).alias("run"), g.alias("found")) for k, g in groups.items()])
     each = docs.select("row", "doc_id", F.explode(runs).alias("g"))
     each = each.select("row", "doc_id", "g.run", F.posexplode("g.found").alias("at", "f"))
-    each = each.where("f.match is not null").select("row", "doc_id", "run", "at", "f.gap", "f.match")
+    each = each.where("f.match is not null").select("row", "doc_id", "run", "at", "f.gap", "f.match", "f.before")
     # later windows and groups keep to the row, so the rows move once
     return _placed(each.repartition("row"), ["row", "run"], F.lit(0)).drop("gap", "at")
 
@@ -133,17 +150,50 @@ def candidates(docs: DataFrame) -> DataFrame:
     all_tries = F.array(
         *[F.struct(k.alias("kind"), F.lit(e).alias("exact"), f.alias("found")) for k, e, f in tries]
     )
-    each = runs.select("row", "doc_id", "run", "origin", F.explode(all_tries).alias("t"))
+    each = runs.select("row", "doc_id", "run", "origin", "before", F.explode(all_tries).alias("t"))
     each = each.select(
-        "row", "doc_id", "run", "origin", "t.kind", "t.exact", F.posexplode("t.found").alias("at", "f")
+        "row", "doc_id", "run", "origin", "before", "t.kind", "t.exact", F.posexplode("t.found").alias("at", "f")
     )
+    # what stands before a run also stands before what is inside of it
     each = each.where("f.match is not null").select(
-        "row", "doc_id", "run", "origin", "kind", "exact", "at", "f.gap", "f.match"
+        "row", "doc_id", "run", "origin", "before", "kind", "exact", "at", "f.gap", "f.match"
     )
     placed = _placed(each, ["row", "run", "origin", "kind", "exact"], F.col("origin"))
     kept = F.col("kind").isNull() | ~F.col("exact") | _valid(F.col("kind"), F.col("match"))
     return placed.where(kept).select(
-        "row", "doc_id", "kind", "start", "end", "match", F.col("exact").alias("base"), "run"
+        "row", "doc_id", "kind", "start", "end", "match", F.col("exact").alias("base"), "run", "before"
+    )
+
+
+def _address(match: Column) -> Column:
+    """An address with its at sign and dots spelled as signs."""
+    signs = F.regexp_replace(F.lower(match), r" ?[\[(]at[\])] ?", "@")
+    return F.btrim(F.regexp_replace(signs, r" ?(?:[\[(]dot[\])]|\.) ?", "."), F.lit("."))
+
+
+def _normal(kind: Column, match: Column) -> Column:
+    """What equal data share in whatever form: the address, the digits, of a phone its last ten."""
+    digits = _digits(match)
+    return (
+        F.when(kind == "email", _address(match))
+        .when(kind == "ip", F.regexp_replace(match, r"(?<![0-9])0+(?=[0-9])", ""))
+        .when(kind == "phone", F.substring(digits, -10, 10))
+        .otherwise(digits)
+    )
+
+
+def _passes(kind: Column, match: Column) -> Column:
+    """Whether a candidate passes its kind's check in normal form."""
+    digits = _digits(match)
+    n = F.length(digits)
+    grouped = match.rlike(r"[0-9][ .()-]+[0-9]")
+    national = digits.rlike(r"^1?[2-9][0-9]{2}[2-9][0-9]{6}$") & grouped
+    abroad = digits.rlike(r"^00[1-9]") & n.between(11, 17) & grouped
+    mail = r"^[a-z0-9._%+-]+@(?:[a-z0-9-]+\.)+[a-z]{2,}$"
+    return (
+        F.when(kind == "email", _address(match).rlike(mail))
+        .when(kind == "phone", national | abroad)
+        .otherwise(_valid(kind, match))
     )
 
 
@@ -176,9 +226,21 @@ def featured(found: DataFrame) -> DataFrame:
     rows = found.where("kind is not null").withColumns({"siblings": siblings, "_base": spans}).where("not base")
     inside = lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))
     like = lambda b: (b["kind"] == F.col("kind")) & (b["start"] >= F.col("start") - 1) & (b["end"] == F.col("end"))
+    passes = _passes(F.col("kind"), F.col("match"))
+    context = F.lit(False)
+    for kind, words in CONTEXT.items():
+        context = context | ((F.col("kind") == kind) & F.col("before").rlike(words))
     rows = rows.withColumns(
-        {"taken": F.exists("_base", inside), "label": F.exists("_base", like).cast("double")}
+        {"taken": F.exists("_base", inside), "_same": F.exists("_base", like), "_passes": passes, "_context": context}
     ).drop("_base")
+    key = F.xxhash64("kind", _normal(F.col("kind"), F.col("match")))
+    known = found.where("kind is not null and base").select(key.alias("_key")).distinct()
+    known = by_size(materialise(known, "known").withColumn("_known", F.lit(True)))
+    rows = rows.withColumn("_key", key).join(known, "_key", "left")
+    spelled = (F.col("kind") == "email") & (F.col("run") == "spelled")
+    sure = F.col("_same") | (F.col("_passes") & (F.coalesce("_known", F.lit(False)) | F.col("_context") | spelled))
+    label = F.when(sure, 1.0).when(~F.col("_passes"), 0.0)
+    rows = rows.withColumn("label", label).drop("_key", "_known", "_same", "_passes", "_context")
     return rows.withColumns({f"f_{name}": F.coalesce(F.expr(sql).cast("double"), F.lit(-1.0)) for name, sql in FEATURES.items()})
 
 
@@ -186,25 +248,36 @@ def _boosted(rows: DataFrame, trees: int, depth: int, sample: int, precision: fl
     """The candidates that the calibrated model adds: ``row, doc_id, kind, start, end``."""
     empty = rows.where("false").select("row", "doc_id", "kind", "start", "end")
     order = F.xxhash64(F.lit(SEED), "match", "kind", "doc_id", "start")
-    drawn = materialise(rows.orderBy(order).limit(sample).withColumn("_fold", F.pmod(order, F.lit(4))), "sample")
-    train, rest = drawn.where("_fold <> 0"), drawn.where("_fold = 0")
+    known = rows.where("label is not null").withColumn("_fold", F.pmod(order, F.lit(4)))
+    # each kind and label has about as many rows in the sample, at most all it has
+    sizes = known.where("_fold <> 0").groupBy("kind", "label").count().collect()
+    if len({r.label for r in sizes}) < 2:
+        return empty
+    share = F.lit(0)
+    for r in sizes:
+        share = F.when((F.col("kind") == r.kind) & (F.col("label") == r.label), int(1e6 * min(1, sample / r["count"]))).otherwise(share)
+    picked = F.pmod(F.xxhash64(F.lit(SEED + 1), "match", "kind", "doc_id", "start"), F.lit(1_000_000)) < share
+    train = materialise(known.where("_fold <> 0").where(picked), "sample")
     if train.select("label").distinct().count() < 2:
         return empty
     names = [f"f_{n}" for n in FEATURES]
     vectors = VectorAssembler(inputCols=names, outputCol="features")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=SEED, labelCol="label").fit(vectors.transform(train))
     score = lambda df: model.transform(vectors.transform(df)).withColumn("score", vector_to_array("probability")[1])
-    # per kind the lowest score above which the held-out candidates keep the precision
-    above = Window.partitionBy("kind").orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    # per kind the lowest score above which all held-out labels keep the precision
+    above = Window.partitionBy("kind").orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
     levels = (
-        score(rest)
-        .withColumns({"hits": F.sum("label").over(above), "all": F.count("*").over(above)})
-        .where((F.col("hits") >= precision * F.col("all")) & (F.col("all") >= 20))
+        score(known.where("_fold = 0"))
+        .groupBy("kind", F.floor(F.col("score") * LEVELS).alias("level"))
+        .agg(F.sum("label").alias("hits"), F.count("*").alias("all"))
+        .withColumns({"hits": F.sum("hits").over(above), "all": F.sum("all").over(above)})
+        .where(F.col("hits") >= precision * F.col("all"))
         .groupBy("kind")
-        .agg(F.greatest(F.min("score"), F.lit(LEAST_SCORE)).alias("bar"))
+        .agg(F.greatest(F.min("level") / LEVELS, F.lit(LEAST_SCORE)).alias("bar"))
     )
-    # at most one row per kind
-    chosen = score(rows.where("not taken")).join(F.broadcast(levels), "kind").where("score >= bar")
+    # at most one row per kind; what fails its kind's check is not added
+    addable = rows.where("not taken").where("label is null or label > 0")
+    chosen = score(addable).join(F.broadcast(levels), "kind").where("score >= bar")
     best = Window.partitionBy("row", "start", "end").orderBy(F.col("score").desc(), "kind")
     return chosen.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("row", "doc_id", "kind", "start", "end")
 

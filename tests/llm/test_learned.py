@@ -132,6 +132,26 @@ def test_boosting_adds_confident_spans(spark):
     assert {r.doc_id for r in got} == {1000} and {r.kind for r in got} == {"phone"}
 
 
+def test_national_and_spelled_forms_are_added(spark):
+    rng = random.Random(5)
+    number = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    rows, want = [], {}
+    for i in range(400):
+        parts = ["+1 " + number(), f"ann{i}@mail{i}.example.com", f"part {rng.randrange(10**4, 10**7)}"]
+        if i % 5 == 0:
+            parts.append(number())
+            want[i] = [("phone", parts[-1])]
+        elif i % 5 == 1:
+            parts.append(f"bob{i} [at] mail{i} [dot] example [dot] com")
+            want[i] = [("email", parts[-1])]
+        rng.shuffle(parts)
+        rows.append((i, " ; or ".join(parts)))
+    text, got = dict(rows), {}
+    for r in private_data.private_spans(docs_of(spark, rows)).where("not base").collect():
+        got.setdefault(r.doc_id, []).append((r.kind, text[r.doc_id][r.start : r.end]))
+    assert got == want
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(0, 5, "mail a@b.cd or +49 30 1234567."), (1, 6, None)], "row long, doc_id long, text string")
     spans = spark.createDataFrame(
