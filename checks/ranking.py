@@ -300,7 +300,7 @@ def mixed_rank(spark, sf):
 
 def _scored(spark, sf, method):
     frame = cut_lineage(candidate_frame(spark, sf))
-    model = k.train_ranker(frame, method, **({"maxIter": 10} if method == "gbt" else {}))
+    model = k.train_ranker(frame, method)
     return k.score_candidates(model, frame).select("query_id", "candidate_item_id", "split", "label", "model_score")
 
 
@@ -317,7 +317,7 @@ def gbt_ranker(spark, sf):
 @check("mlp_ranker")
 def mlp_ranker(spark, sf):
     frame = cut_lineage(candidate_frame(spark, sf))
-    model = k.mlp_ranker(frame, maxIter=20)
+    model = k.mlp_ranker(frame)
     return k.score_candidates(model, frame).select("query_id", "candidate_item_id", "split", "label", "model_score")
 
 

@@ -183,3 +183,22 @@ def test_registry_pairs_names():
     from __spark_entry__ import oracle_sql, queries as registered
 
     assert set(oracle_sql()) <= set(registered()) and len(registered()) > 100
+
+
+def test_registered_rankers_keep_the_operators_iterations(monkeypatch):
+    from checks import ranking
+
+    class Stop(Exception):
+        pass
+
+    def train(frame, *method, **settings):
+        assert not settings
+        raise Stop
+
+    monkeypatch.setattr(ranking, "candidate_frame", lambda spark, sf: None)
+    monkeypatch.setattr(ranking, "cut_lineage", lambda frame: frame)
+    monkeypatch.setattr(ranking.k, "train_ranker", train)
+    monkeypatch.setattr(ranking.k, "mlp_ranker", train)
+    for query in (ranking.gbt_ranker, ranking.mlp_ranker):
+        with pytest.raises(Stop):
+            query(None, "")
