@@ -171,3 +171,6 @@ def op9_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_private_data")
 def op8_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.private_digest(private_data.private_spans(table(spark, sf_dir, "documents")))
+
+
+from aisle.llm import audit_queries  # noqa: E402, F401  registers operators 11 to 13
