@@ -317,31 +317,25 @@ def _united_groups(found: DataFrame, keys: list[str], groups: int) -> DataFrame:
         F.collect_set(F.when(F.size("items") > 0, F.col("items"))).alias("_items"),
         (F.count("*") / groups).cast("int").alias("_times"),
     )
-    ordered = F.array_sort(F.flatten("_spans"))
-    start = F.array().cast("array<struct<first:int,past:int>>")
-    spans = F.aggregate(
-        ordered,
-        start,
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (s["first"] <= F.element_at(out, -1)["past"]),
-            F.concat(
-                F.slice(out, 1, F.size(out) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(out, -1)["first"].alias("first"),
-                        F.greatest(s["past"], F.element_at(out, -1)["past"]).alias("past"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(out, F.array(s))),
-    )
-    return merged.select(
+    each = merged.select(
         *keys,
         "n_words",
-        F.when(F.size("_spans") > 0, spans).otherwise(start).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten("_items"))).alias("items"),
         F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"),
-    ).drop("_copy")
+        F.flatten("_spans").alias("spans"),
+    )
+    return each.mapInArrow(_unite, each.schema)
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unites the spans of the last column."""
+    for batch in batches:
+        last = batch.num_columns - 1
+        spans = [
+            [{"first": a, "past": b} for a, b in united((s["first"], s["past"]) for s in row)]
+            for row in batch.column(last).to_pylist()
+        ]
+        yield batch.set_column(last, "spans", pa.array(spans, _SPANS))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
@@ -403,10 +397,12 @@ def decontaminated(
     Rows of whose words more than the share ``coverage`` is hit go altogether. The columns and their
     order are those of ``docs``.
     """
-    columns = tuple(docs.columns)
-    found = find_passages(docs, benchmark, window, columns, text, group_words)
+    at = docs.columns.index(text)
+    own = tuple(f"_c{i}" for i in range(len(docs.columns)))
+    plain = docs.toDF(*own)
+    found = find_passages(plain, benchmark, window, own, own[at], group_words)
     size = F.aggregate("spans", F.lit(0), lambda n, s: n + s["past"] - s["first"])
     kept = found.where(size <= F.lit(coverage) * F.col("n_words")).select(
-        *columns, F.filter("spans", lambda s: s["past"] - s["first"] > longest).alias("_cut")
+        *own, F.filter("spans", lambda s: s["past"] - s["first"] > longest).alias("_cut")
     )
-    return kept.mapInArrow(_cleaner(columns.index(text)), docs.schema)
+    return kept.mapInArrow(_cleaner(at), plain.schema).toDF(*docs.columns)
