@@ -365,7 +365,7 @@ def content_recs(
     items = items.withColumns({"idx": F.coalesce("idx", none_i), "val": F.coalesce("val", none_d)})
     exclude = user_history(train).withColumnRenamed("user_id", "query_id") if exclude_seen else None
     top = block_topk(
-        wanted.withColumnRenamed("user_id", "query_id"), items, k, dim=max(places.count(), 1), exclude=exclude
+        wanted.withColumnRenamed("user_id", "query_id"), items, k, exclude=exclude
     ).withColumnRenamed("query_id", "user_id")
     others = users.select("user_id").join(wanted.select("user_id"), "user_id", "left_anti")
     return top.unionByName(popularity_recs(train, catalog, others, k, exclude_seen))

@@ -1,21 +1,22 @@
-"""Exact and cell-probing vector search by blocks of queries and items."""
+"""Exact vector search: items stay in blocks, queries stream past them."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisle import skew
 from aisle.operators.retrieval import SCORE_DIGITS
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 512
 ITEM_BLOCK = 4096
+LEAST_BLOCK = 512
 
 
 def l2_normalize(vector):
@@ -25,85 +26,165 @@ def l2_normalize(vector):
     return F.when(norm > 0, F.transform(values, lambda x: x / norm)).otherwise(values)
 
 
-def _blocks(df: DataFrame, size: int) -> int:
-    return max(1, math.ceil(df.count() / size))
+def matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """The rows of a list column as one matrix; shorter rows end in zeros."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    sizes = np.diff(offsets)
+    if len(sizes) and (sizes == dims).all():
+        return values[offsets[0] : offsets[-1]].reshape(-1, dims).astype(float)
+    out = np.zeros((len(sizes), dims))
+    for row, (start, size) in enumerate(zip(offsets[:-1], np.minimum(sizes, dims))):
+        out[row, :size] = values[start : start + size]
+    return out
 
 
-def _dense(frame: pd.DataFrame, dim: int) -> np.ndarray:
-    if "vec" in frame:
-        return np.stack(frame["vec"].to_numpy()).astype(float)
-    out = np.zeros((len(frame), dim))
-    for row, (places, values) in enumerate(zip(frame["idx"], frame["val"])):
-        out[row, places] = values
-    return out
+def first_k(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores, equal ones in order of their place."""
+    if k < len(scores):
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        places = np.flatnonzero(scores >= least)
+    else:
+        places = np.arange(len(scores))
+    return places[np.argsort(-scores[places], kind="stable")[:k]]
 
 
-def _block_search(k: int, dim: int):
-    """Best rows of one query block against one item block by a single matrix product."""
-
-    def search(queries: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or items.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        items = items.sort_values("item_id", kind="stable")
-        scores = np.round(_dense(queries, dim) @ _dense(items, dim).T, SCORE_DIGITS)
-        wanted = np.minimum(k + queries["extra"].to_numpy(), len(items))
-        ids = items["item_id"].to_numpy()
-        found = []
-        for row, (query, count) in enumerate(zip(queries["query_id"], wanted)):
-            best = np.argsort(-scores[row], kind="stable")[:count]
-            found.append(
-                pd.DataFrame({"query_id": query, "item_id": ids[best], "score": scores[row][best]})
-            )
-        return pd.concat(found, ignore_index=True)
+def streamed(held: DataFrame, asking: DataFrame, keys: Sequence[str], task, schema: str) -> DataFrame:
+    """Rows of ``held`` meet all rows of ``asking`` that share their ``keys``, block by block.
+
+    Each row moves once. A task keeps the held rows of one block, which the caller bounds, and lets
+    the asking rows stream past: ``task`` gets the batches of a block, the asking batch and gives
+    batches of ``schema``.
+    """
+    names = [f"_{c}" for c in held.columns if c not in keys]
+    left = held.select(*keys, F.lit(0).alias("_kind"), *[F.col(n[1:]).alias(n) for n in names])
+    right = asking.select(*keys, F.lit(1).alias("_kind"), *[c for c in asking.columns if c not in keys])
+    both = left.unionByName(right, allowMissingColumns=True)
+    own = [both.columns.index(n) for n in names]
+    others = [i for i, c in enumerate(both.columns) if i > len(keys) and c not in names]
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width + 1)]
+            turns = np.zeros(batch.num_rows - 1, bool)
+            for mark in marks:
+                turns |= mark[1:] != mark[:-1]
+            cuts = [0, *(np.flatnonzero(turns) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                here = tuple(mark[a] for mark in marks[:width])
+                if here != block:
+                    block, parts = here, []
+                piece = batch.slice(a, b - a)
+                if marks[width][a] == 0:
+                    parts.append(piece.select(own))
+                elif parts:
+                    if len(parts) > 1:
+                        whole = pa.Table.from_batches(parts).combine_chunks()
+                        parts = whole.to_batches()
+                    yield from task(parts[0], piece.select(others), here)
+
+    placed = both.repartition(*keys).sortWithinPartitions(*keys, "_kind")
+    return placed.mapInArrow(run, schema)
+
+
+def _dense_scores(dims: int):
+    """Scores of a batch of dense queries against the items of a block, as one matrix product."""
+
+    def prepare(held: pa.RecordBatch):
+        vectors = matrix(held.column(1), dims).T
+        return lambda asking: matrix(asking.column(2), dims) @ vectors
+
+    return prepare
+
+
+def _sparse_scores(held: pa.RecordBatch):
+    """The same for sparse vectors: the block's entries by place, summed up per query."""
+    places = held.column(1).values.to_numpy(zero_copy_only=False)
+    weights = held.column(2).values.to_numpy(zero_copy_only=False)
+    bounds = held.column(1).offsets.to_numpy()
+    places, weights = places[bounds[0] : bounds[-1]], weights[bounds[0] : bounds[-1]]
+    items = np.repeat(np.arange(held.num_rows), np.diff(bounds))
+    order = np.argsort(places, kind="stable")
+    places, weights, items = places[order], weights[order], items[order]
+
+    def score(asking: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((asking.num_rows, held.num_rows))
+        for row, (own, values) in enumerate(zip(asking.column(2), asking.column(3))):
+            own, values = own.values.to_numpy(), values.values.to_numpy(zero_copy_only=False)
+            firsts, ends = np.searchsorted(places, own), np.searchsorted(places, own, "right")
+            sizes = ends - firsts
+            at = np.arange(sizes.sum()) + np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes)
+            parts = np.repeat(values, sizes) * weights[at]
+            out[row] = np.bincount(items[at], parts, held.num_rows)
+        return out
+
+    return score
+
+
+def _best_of_block(k: int, prepare):
+    """Best rows of a block for each query of a batch, a bounded number of queries at a time."""
+
+    def search(held: pa.RecordBatch, asking: pa.RecordBatch, _) -> Iterator[pa.RecordBatch]:
+        held = held.take(pc.sort_indices(held.column(0)))
+        items, scores_of = held.column(0), prepare(held)
+        wanted = np.minimum(k + asking.column(1).to_numpy(), len(items))
+        for start in range(0, asking.num_rows, QUERY_BLOCK):
+            part = asking.slice(start, QUERY_BLOCK)
+            scores = np.round(scores_of(part), SCORE_DIGITS)
+            places = [first_k(row, count) for row, count in zip(scores, wanted[start:])]
+            sizes = [len(p) for p in places]
+            rows = np.repeat(np.arange(len(places)), sizes)
+            at = np.concatenate(places)
+            columns = [part.column(0).take(pa.array(rows)), items.take(pa.array(at)), pa.array(scores[rows, at])]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "item_id", "score"])
 
     return search
 
 
+def item_blocks(items: DataFrame, count: int) -> int:
+    """Blocks of at most about ``ITEM_BLOCK`` items, and enough of them to keep the cores busy."""
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(count / ITEM_BLOCK), min(cores, count // LEAST_BLOCK))
+
+
 def block_topk(
-    queries: DataFrame,
-    items: DataFrame,
-    k: int,
-    dim: int = 0,
-    exclude: DataFrame | None = None,
-    cells: tuple[str, ...] = (),
+    queries: DataFrame, items: DataFrame, k: int, exclude: DataFrame | None = None
 ) -> DataFrame:
     """Top ``k`` items per query by inner product, ranked by score down, then item id.
 
-    ``queries`` (query_id) and ``items`` (item_id) carry a dense ``vec`` or sparse ``idx``/``val``
-    with ``dim`` places. Both sides are hashed into blocks of bounded size; each task multiplies
-    one pair of blocks and keeps the best rows only. ``exclude`` (query_id, item_id) pairs are
-    removed: every block returns as many rows more as the query has exclusions in it. With
-    ``cells``, blocks meet only where those columns agree.
+    ``queries`` (query_id) and ``items`` (item_id) hold dense ``vec`` or sparse ``idx``/``val``, whose
+    cost follows the stored entries and not the number of places. Items are hashed into blocks of
+    bounded size and move once; queries stream past every block, which gives its best rows only.
+    ``exclude`` (query_id, item_id) pairs are removed: every block returns as many rows more as the
+    query has exclusions in it.
     """
-    query_blocks = _blocks(queries, QUERY_BLOCK)
-    item_blocks = _blocks(items, ITEM_BLOCK)
-    vector = ["vec"] if "vec" in items.columns else ["idx", "val"]
-    placed_items = items.withColumn(
-        "_ib", F.pmod(F.xxhash64("item_id"), F.lit(item_blocks))
-    ).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    placed = queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    placed = placed.withColumn(
-        "_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(item_blocks - 1).cast("long")))
-    )
+    dense = "vec" in items.columns
+    vector = ["vec"] if dense else ["idx", "val"]
+    count, dims = items.agg(F.count("*"), F.max(F.size(vector[0]))).first()
+    blocks = item_blocks(items, count)
+    place = F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")
+    held = items.select(place.alias("block"), "item_id", *vector)
+    asking = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     if exclude is not None:
-        counted = (
-            exclude.withColumn("_ib", F.pmod(F.xxhash64("item_id"), F.lit(item_blocks)))
-            .groupBy("query_id", "_ib")
-            .agg(F.count("*").alias("extra"))
+        counted = exclude.withColumn("block", place).groupBy("query_id", "block").agg(
+            F.count("*").alias("extra")
         )
-        placed = placed.join(counted, ["query_id", "_ib"], "left")
-        placed = placed.withColumn("extra", F.coalesce("extra", F.lit(0)))
+        asking = asking.join(counted, ["query_id", "block"], "left")
+        asking = asking.withColumn("extra", F.coalesce("extra", F.lit(0)))
     else:
-        placed = placed.withColumn("extra", F.lit(0).cast("long"))
-    keys = [*cells, "_qb", "_ib"]
-    left = placed.select(*keys, "query_id", "extra", *vector)
-    right = placed_items.select(*keys, "item_id", *vector)
+        asking = asking.withColumn("extra", F.lit(0).cast("long"))
     ids = {f.name: f.dataType.simpleString() for f in (*queries.schema, *items.schema)}
     schema = f"query_id {ids['query_id']}, item_id {ids['item_id']}, score double"
-    found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInPandas(lambda q, i: _block_search(k, dim)(q, i), schema)
+    found = streamed(
+        held,
+        asking.select("block", "query_id", "extra", *vector),
+        ["block"],
+        _best_of_block(k, _dense_scores(dims or 0) if dense else _sparse_scores),
+        schema,
     )
     if exclude is not None:
         found = found.join(exclude, ["query_id", "item_id"], "left_anti")
@@ -120,35 +201,6 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     )
 
 
-def ann_topk(
-    queries: DataFrame, items: DataFrame, k: int = 50, cells: int = 16, probes: int = 4, seed: int = 42
-) -> DataFrame:
-    """Approximate cosine search: items in k-means cells, queries look into the nearest ones.
-
-    Within the probed cells the search is exact; a large cell is split into blocks like any other.
-    """
-    unit_items = items.select("item_id", l2_normalize("vec").alias("vec"))
-    unit_queries = queries.select("query_id", l2_normalize("vec").alias("vec"))
-    featured = unit_items.withColumn("features", array_to_vector("vec"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(featured)
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    assigned = model.transform(featured).select("item_id", "vec", F.col("prediction").alias("cell"))
-    listed = F.lit(centers)
-    near = F.transform(
-        listed,
-        lambda c, i: F.struct(
-            F.aggregate(
-                F.zip_with("vec", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x
-            ).alias("d"),
-            i.alias("cell"),
-        ),
-    )
-    probing = unit_queries.withColumn(
-        "_n", F.explode(F.slice(F.array_sort(near), 1, probes))
-    ).select("query_id", "vec", F.col("_n.cell").alias("cell"))
-    return block_topk(probing, assigned, k, cells=("cell",))
-
-
 def recall_against(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact list that the approximate one contains, per query."""
     hit = found.select("query_id", "item_id", F.lit(1).alias("hit"))

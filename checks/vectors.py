@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from aisle.operators import profiles as p
 from aisle.operators import representation as rep
 from aisle.operators import retrieval as r
+from aisle.operators import vector_index as vi
 from aisle.operators import vectors as v
+from aisle.session import cut_lineage, scratch_dir
 from checks.base import Inputs, check, cte, flat
 
 
@@ -39,9 +41,44 @@ def vector_topk(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
+def _loaded_index(spark, sf, k):
+    """An index built over all items, saved and read back, and the queries."""
+    queries, items = _vectors(spark, sf)
+    path = scratch_dir(spark, "vector-index")
+    vi.save_vector_index(vi.build_vector_index(items, k), path)
+    return vi.load_vector_index(spark, path), queries, items
+
+
 @check("ann_topk")
 def ann_topk(spark, sf):
-    return v.ann_topk(*_vectors(spark, sf), k=10)
+    index, queries, _ = _loaded_index(spark, sf, 10)
+    return vi.ann_topk(index, queries, k=10)
+
+
+@check(
+    "ann_topk_recall",
+    """SELECT count(*) AS queries, CAST(sum(least(50, (SELECT count(*) FROM embeddings))) AS BIGINT) AS listed,
+ true AS ranks_complete, true AS scores_exact, true AS recall_reached FROM embeddings""",
+)
+def ann_topk_recall(spark, sf):
+    """Lists of a saved and loaded index: full, with exact scores, recall at 50 of 0.9 or more."""
+    index, queries, items = _loaded_index(spark, sf, 50)
+    found = cut_lineage(vi.ann_topk(index, queries, 50))
+    exact = cut_lineage(v.vector_topk(queries, items, 50))
+    both = found.join(exact.withColumnsRenamed({"score": "true", "rank": "_r"}), ["query_id", "item_id"], "left")
+    per_query = both.groupBy("query_id").agg(
+        F.count("*").alias("n"),
+        (F.max("rank") == F.count_distinct("rank")).alias("complete"),
+        F.max(F.abs(F.col("score") - F.coalesce("true", "score"))).alias("off"),
+        F.count("true").alias("hits"),
+    )
+    return per_query.agg(
+        F.count("*").alias("queries"),
+        F.sum("n").alias("listed"),
+        F.every("complete").alias("ranks_complete"),
+        (F.max("off") < 1e-8).alias("scores_exact"),
+        (F.sum("hits") >= 0.9 * F.lit(exact.count())).alias("recall_reached"),
+    )
 
 
 @check("text_vectors", "SELECT item_id, term, round(w, 6) AS weight FROM item_weights", "item_weights")
