@@ -301,23 +301,6 @@ def hybrid_scores(
     )
 
 
-def hybrid_topk(
-    bm25: TermIndex,
-    tfidf: TermIndex,
-    queries: DataFrame,
-    k: int = 50,
-    bm25_weight: float = 0.5,
-    dense_weight: float = 0.5,
-    normalization: str = "minmax",
-) -> DataFrame:
-    texts = distinct_texts(queries)
-    scores = hybrid_scores(bm25, tfidf, texts, bm25_weight, dense_weight, normalization)
-    top = best_first("query_text", "score", k, scores.where("score > 0"))
-    columns = ["score", "bm25_score", "dense_score"]
-    filled = fill_with_zeros(top, texts, bm25.item_ids, k, columns)
-    return to_queries(filled, queries.select("query_id", "query_text"))
-
-
 # Default weights of the overlap re-rank.
 RERANK_WEIGHTS = {
     "bm25": 1.0,

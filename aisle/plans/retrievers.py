@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from aisle.operators import representation, retrieval
+from aisle.operators import hybrid, representation, retrieval
 
 
 def build_retriever(method: str, items: DataFrame, **settings) -> Callable[[DataFrame, int], DataFrame]:
@@ -23,7 +23,8 @@ def build_retriever(method: str, items: DataFrame, **settings) -> Callable[[Data
     if method == "hybrid":
         bm25 = retrieval.bm25_index(items, **settings.pop("bm25", {}))
         tfidf = retrieval.tfidf_index(items, **settings.pop("tfidf", {}))
-        return lambda queries, k=50: retrieval.hybrid_topk(bm25, tfidf, queries, k, **settings)
+        index = hybrid.fused_index(bm25, tfidf)
+        return lambda queries, k=50: hybrid.hybrid_topk(index, queries, k, **settings)
     if method == "overlap_rerank":
         index = retrieval.bm25_index(items, **settings.pop("bm25", {}))
         return lambda queries, k=50: retrieval.overlap_rerank(index, items, queries, k, **settings)

@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aisle.operators import hybrid as h
 from aisle.operators import queries as q
 from aisle.operators import retrieval as r
 from aisle.operators import splits
@@ -124,6 +125,10 @@ class Inputs:
     def tfidf(self) -> r.TermIndex:
         return r.tfidf_index(self.items).persist()
 
+    @cached_property
+    def fused(self) -> h.FusedIndex:
+        return h.fused_index(self.bm25, self.tfidf)
+
 
 cte(
     "items",

@@ -10,6 +10,7 @@ from aisle.operators import queries as q
 from aisle.operators import recommend as rec
 from aisle.operators import reports as rp
 from aisle.operators import representation as rep
+from aisle.operators import hybrid as h
 from aisle.operators import retrieval as r
 from aisle.operators import sequence as seq
 from aisle.operators import tuning
@@ -46,7 +47,7 @@ def retrieval_metrics(spark, sf):
 @check("retrieval_metrics_hybrid", _retrieval_sql("hybrid_top"), "pairs", "hybrid_top")
 def retrieval_metrics_hybrid(spark, sf):
     x = Inputs(spark, sf)
-    results = r.hybrid_topk(x.bm25, x.tfidf, x.pairs, 50)
+    results = h.hybrid_topk(x.fused, x.pairs, 50)
     return rounded(m.retrieval_metrics(m.retrieval_per_query(results, x.pairs)))
 
 
@@ -489,7 +490,7 @@ def _board(spark, sf):
     lists = {
         "bm25": r.topk(bm25, x.pairs, 50),
         "dense": r.topk(tfidf, x.pairs, 50),
-        "hybrid": r.hybrid_topk(bm25, tfidf, x.pairs, 50),
+        "hybrid": h.hybrid_topk(h.fused_index(bm25, tfidf), x.pairs, 50),
     }
     retrieval = None
     for name, results in lists.items():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aisle.operators import hybrid as h
 from aisle.operators import retrieval as r
 from aisle.sources import testdata
 from checks.base import Inputs, bm25_ctes, check, cte, tokens_sql
@@ -150,7 +151,7 @@ def minmax_normalize(spark, sf):
 )
 def hybrid_topk(spark, sf):
     x = Inputs(spark, sf)
-    top = r.hybrid_topk(x.bm25, x.tfidf, x.pairs, 50)
+    top = h.hybrid_topk(x.fused, x.pairs, 50)
     columns = ["query_id", "item_id", "score", "bm25_score", "dense_score", "rank"]
     return _rounded(top.select(*columns), "score", "bm25_score", "dense_score")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aisle.functions import query_rules as rules
 from aisle.functions import text as t
 from aisle.operators import clean, explanations, generation as g, metrics as m
+from aisle.operators import hybrid as h
 from aisle.operators import representation as rep
 from aisle.operators import retrieval as r
 from aisle.operators import splits
@@ -38,7 +39,7 @@ def test_retrieval_orders_and_fills(spark, items):
         top = r.topk(index, asked, 3)
         assert ids(top, "q0")[0] == 1
         assert ids(top, "q1") == [1, 2, 3] and ids(top, "q2") == [1, 2, 3]
-    hybrid = r.hybrid_topk(r.bm25_index(items), r.tfidf_index(items), asked, 3)
+    hybrid = h.hybrid_topk(h.fused_index(r.bm25_index(items), r.tfidf_index(items)), asked, 3)
     assert ids(hybrid, "q0")[0] == 1 and len(ids(hybrid, "q2")) == 3
 
 
