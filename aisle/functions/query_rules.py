@@ -115,7 +115,12 @@ def rewrite_query(
 
 
 def _distinct_texts(options: Sequence[Column], limit: int) -> Column:
-    texts = F.transform(F.array(*options), lambda x: normalize_text(x))
+    return bounded_queries(F.array(*options), limit)
+
+
+def bounded_queries(options: Column, limit: int) -> Column:
+    """The first ``limit`` distinct normalised texts of an array."""
+    texts = F.transform(options, lambda x: normalize_text(x))
     kept = F.filter(texts, lambda x: x.isNotNull() & (x != ""))
     return F.slice(F.array_distinct(kept), 1, limit)
 

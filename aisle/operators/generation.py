@@ -154,17 +154,30 @@ def build_prompt(task: str, top_k: int = 10, pool: int | None = None) -> Column:
     return _lines(*head)
 
 
-def build_query_prompt(categories: list[str], brands: list[str], max_expanded: int = 3) -> Column:
-    """Prompt text asking for the structure of ``query_text``."""
-    return _lines(
+def build_query_prompts(queries: DataFrame, items: DataFrame, max_expanded: int = 3) -> DataFrame:
+    """``queries`` with a ``prompt`` that asks for the structure of ``query_text``.
+
+    The known values are one text of the catalog, made once and the same in every prompt.
+    """
+    known = items.agg(
+        *[
+            F.coalesce(
+                F.nullif(F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), " | "), F.lit("")),
+                F.lit("None"),
+            ).alias(c)
+            for c in ("category", "brand")
+        ]
+    )
+    prompt = _lines(
         "TASK: QUERY_UNDERSTANDING",
         _labelled("Query", F.col("query_text")),
-        f"Known categories: {' | '.join(sorted(categories)) or 'None'}",
-        f"Known brands: {' | '.join(sorted(brands)) or 'None'}",
+        _labelled("Known categories", known.select("category").scalar()),
+        _labelled("Known brands", known.select("brand").scalar()),
         f"Max expanded queries: {max_expanded}",
         "Answer as JSON with intent, category, brand, constraints, rewritten_query, "
         "expanded_queries and confidence.",
     )
+    return queries.withColumn("prompt", prompt)
 
 
 def build_profile_prompt() -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisle import skew
+from aisle.functions import jsonx
+from aisle.functions.jsonx import extract_json
 from aisle.functions.scores import price_preference
 from aisle.functions.text import tokenize
 from aisle.operators.recommend import top_values
@@ -106,6 +108,53 @@ def user_profile(summary: DataFrame, model_failed: bool = False) -> DataFrame:
     )
 
 
+# The fields that a model may write.
+PROFILE_TEXTS = ("user_id", "summary", "price_preference", "profile_text")
+PROFILE_LISTS = ("top_categories", "top_brands", "behavior_signals", "recent_interests")
+
+
+def read_profiles(summary: DataFrame, answered: DataFrame, text: str = "output_text") -> DataFrame:
+    """Profiles as a model wrote them over those that the summary alone gives.
+
+    ``answered`` (user_id, text) has at most one output per user. A text field counts when it is not
+    blank, a list field when it is a list; blank entries go. Confidence is 0 where it is missing, no
+    number, or the output is no object; users without an output keep the fallback.
+    """
+    own = F.try_parse_json(extract_json(text))
+    outputs = answered.select(
+        "user_id",
+        own.alias("_o"),
+        *[c for c in ("provider", "model", "latency_ms", "estimated_cost_usd") if c in answered.columns],
+    )
+    given = [c for c in outputs.columns if c not in ("user_id", "_o")]
+    fallback = user_profile(summary, model_failed=True).drop(*given)
+    rows = fallback.join(outputs, "user_id", "left").withColumn("_valid", jsonx.is_object(F.col("_o")))
+    fields = {}
+    for name in PROFILE_TEXTS:
+        kind = fallback.schema[name].dataType.simpleString()
+        written = F.nullif(F.trim(jsonx.text_of(jsonx.member("_o", name))), F.lit(""))
+        fields[name] = F.coalesce(F.when(F.col("_valid"), written.try_cast(kind)), F.col(name))
+    for name in PROFILE_LISTS:
+        value = jsonx.member("_o", name)
+        written = F.filter(
+            F.transform(
+                F.try_variant_get(value, "$", "array<variant>"),
+                lambda x: F.coalesce(jsonx.text_of(x), F.lit("None")),
+            ),
+            lambda t: F.trim(t) != "",
+        )
+        is_list = F.col("_valid") & F.schema_of_variant(value).startswith("ARRAY")
+        fields[name] = F.when(is_list, written).otherwise(F.col(name))
+    number = jsonx.number_of(jsonx.member("_o", "confidence"))
+    fields["confidence"] = F.when(F.col("_valid"), F.coalesce(number, F.lit(0.0))).otherwise(F.lit(0.0))
+    fields["parse_success"] = F.col("_valid")
+    fields["schema_valid"] = F.col("_valid")
+    fields["parse_error"] = F.when(F.col("_o").isNull(), "output is not JSON").when(
+        ~F.col("_valid"), "output is not a JSON object"
+    )
+    return rows.withColumns(fields).drop("_o", "_valid")
+
+
 def profile_vectors(profiles: DataFrame, max_features: int = 512, normalize: bool = True) -> DataFrame:
     """(user_id, term, weight): token counts over the most widespread terms, unit length."""
     counts = (

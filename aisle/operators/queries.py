@@ -7,9 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aisle.functions import query_rules as rules
 from aisle import skew
+from aisle.functions import jsonx
+from aisle.functions import query_rules as rules
+from aisle.functions.jsonx import extract_json
 from aisle.functions.text import hashed_order, normalize_text, tokenize
+from aisle.operators import phrases
 from aisle.operators.splits import query_split
 
 # Use cases per category label and the ones for any other category.
@@ -22,8 +25,6 @@ USE_CASES_BY_CATEGORY = {
 }
 OTHER_USE_CASES = ("gift", "travel", "beginner")
 
-DIM_LIMIT = 10_000
-
 
 def query_price_label(price: Column | str) -> Column:
     value = F.col(price) if isinstance(price, str) else price
@@ -119,39 +120,34 @@ def generate_queries(
     ).withColumn("split", query_split("query_id", seed))
 
 
-def known_values(items: DataFrame, column: str) -> list[str]:
-    """Sorted distinct values of a small dimension column; refuses one that is not small."""
-    rows = items.where(F.col(column).isNotNull()).select(column).distinct().limit(DIM_LIMIT + 1)
-    values = sorted(str(r[0]) for r in rows.collect())
-    if len(values) > DIM_LIMIT:
-        raise ValueError(f"{column} has more than {DIM_LIMIT} values, too many for query rules")
-    return values
+_PARSED = ("normalized_query", "intent", "category", "brand", "price_constraint", "use_case")
+
 
+def parse_queries(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Intent, category, brand, price constraint and use case of every query text.
 
-def parse_queries(queries: DataFrame, categories: list[str], brands: list[str]) -> DataFrame:
-    """Intent, category, brand, price constraint and use case of every query text."""
-    return queries.select(
+    Categories and brands are those of ``items``, the first one in order of value wins.
+    """
+    known = phrases.with_known(queries, items)
+    return known.select(
         *[c for c in queries.columns if c not in _PARSED],
         normalize_text("query_text").alias("normalized_query"),
         rules.classify_intent("query_text").alias("intent"),
-        rules.extract_category("query_text", categories).alias("category"),
-        rules.extract_brand("query_text", brands).alias("brand"),
+        F.col("known_category").alias("category"),
+        F.col("known_brand").alias("brand"),
         rules.extract_price("query_text").alias("price_constraint"),
         rules.extract_use_case("query_text").alias("use_case"),
     )
 
 
-_PARSED = ("normalized_query", "intent", "category", "brand", "price_constraint", "use_case")
-
-
 def apply_query_understanding(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Generated pairs whose fields are replaced by the parsed ones where those exist."""
-    categories, brands = known_values(items, "category"), known_values(items, "brand")
-    return pairs.select(
+    known = phrases.with_known(pairs, items)
+    return known.select(
         *[c for c in pairs.columns if c not in _PARSED],
         rules.classify_intent("query_text").alias("intent"),
-        F.coalesce(rules.extract_category("query_text", categories), "category").alias("category"),
-        F.coalesce(rules.extract_brand("query_text", brands), "brand").alias("brand"),
+        F.coalesce("known_category", "category").alias("category"),
+        F.coalesce("known_brand", "brand").alias("brand"),
         F.coalesce(rules.extract_price("query_text"), "price_constraint").alias("price_constraint"),
         F.coalesce(rules.extract_use_case("query_text"), "use_case").alias("use_case"),
     )
@@ -159,25 +155,18 @@ def apply_query_understanding(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 def query_understanding(pairs: DataFrame, items: DataFrame, max_expanded: int = 3) -> DataFrame:
     """Source fields next to parsed fields with rewrite, expansion and confidence."""
-    categories, brands = known_values(items, "category"), known_values(items, "brand")
-    parsed = pairs.select(
-        "query_id",
-        "query_text",
-        "split",
-        "target_item_id",
-        *[F.col(c).alias(f"source_{c}") for c in _PARSED[1:]],
+    parsed = phrases.with_known(pairs, items).select(
+        *_identity(pairs),
+        *_sources(pairs),
         rules.classify_intent("query_text").alias("intent"),
-        rules.extract_category("query_text", categories).alias("category"),
-        rules.extract_brand("query_text", brands).alias("brand"),
+        F.col("known_category").alias("category"),
+        F.col("known_brand").alias("brand"),
         rules.extract_price("query_text").alias("price"),
         rules.extract_use_case("query_text").alias("use_case"),
     )
     fields = [F.col(c) for c in ("price", "brand", "category", "use_case")]
     return parsed.select(
-        "query_id",
-        "query_text",
-        "split",
-        "target_item_id",
+        *_identity(pairs),
         *[f"source_{c}" for c in _PARSED[1:]],
         rules.null_if_unset(F.col("intent")).alias("parsed_intent"),
         rules.null_if_unset(F.col("category")).alias("parsed_category"),
@@ -196,6 +185,82 @@ def query_understanding(pairs: DataFrame, items: DataFrame, max_expanded: int =
     )
 
 
+def _identity(pairs: DataFrame) -> list[str]:
+    return ["query_id", "query_text", *[c for c in ("split", "target_item_id") if c in pairs.columns]]
+
+
+def _sources(pairs: DataFrame) -> list[Column]:
+    none = F.lit(None).cast("string")
+    return [(F.col(c) if c in pairs.columns else none).alias(f"source_{c}") for c in _PARSED[1:]]
+
+
+def read_query_understanding(
+    answered: DataFrame, items: DataFrame, max_expanded: int = 3, text: str = "output_text"
+) -> DataFrame:
+    """Query fields as a model wrote them, row by row replaced by the rules where it failed.
+
+    ``text`` holds an object in plain, fenced or surrounded form. Values of any type are read as text,
+    price and use case from ``constraints`` first. An output that is no object gives the fields of the
+    rules with confidence 0; a missing rewrite is made from the fields, expansions always start with
+    the query itself. Confidence that is no number stays null.
+    """
+    rows = phrases.with_known(answered, items).withColumn("_o", F.try_parse_json(extract_json(text)))
+    valid = jsonx.is_object(F.col("_o"))
+    inner = F.when(
+        jsonx.is_object(jsonx.member("_o", "constraints")), jsonx.member("_o", "constraints")
+    )
+    rows = rows.withColumns({"_valid": valid, "_inner": inner})
+
+    def field(name: str, rule: Column, under: str | None = None) -> Column:
+        own = jsonx.text_of(jsonx.member("_o", name))
+        if under is not None:
+            own = F.coalesce(jsonx.truthy_text(jsonx.member("_inner", under)), own)
+        return F.when(F.col("_valid"), rules.null_if_unset(own)).otherwise(rule)
+
+    rows = rows.withColumns(
+        {
+            "_intent": field("intent", rules.classify_intent("query_text")),
+            "_category": field("category", F.col("known_category")),
+            "_brand": field("brand", F.col("known_brand")),
+            "_price": field("price_constraint", rules.extract_price("query_text"), "price"),
+            "_use": field("use_case", rules.extract_use_case("query_text"), "use_case"),
+        }
+    )
+    fields = [F.col(c) for c in ("_price", "_brand", "_category", "_use")]
+    given = F.trim(jsonx.truthy_text(jsonx.member("_o", "rewritten_query")))
+    rewritten = F.coalesce(
+        F.when(F.col("_valid"), F.nullif(given, F.lit(""))), rules.rewrite_query("query_text", *fields)
+    )
+    listed = F.when(F.col("_valid"), jsonx.texts_of(jsonx.member("_o", "expanded_queries")))
+    rows = rows.withColumns({"_rewritten": rewritten, "_listed": listed})
+    expanded = F.when(
+        F.col("_valid"), rules.bounded_queries(F.concat(F.array("query_text"), "_listed"), max_expanded)
+    ).otherwise(
+        rules.expand_query("query_text", F.col("_rewritten"), F.col("_category"), F.col("_use"), max_expanded)
+    )
+    known = F.col("_o").isNotNull()
+    return rows.select(
+        *_identity(answered),
+        *_sources(answered),
+        F.col("_intent").alias("parsed_intent"),
+        F.col("_category").alias("parsed_category"),
+        F.col("_brand").alias("parsed_brand"),
+        F.col("_price").alias("parsed_price_constraint"),
+        F.col("_use").alias("parsed_use_case"),
+        F.col("_rewritten").alias("rewritten_query"),
+        expanded.alias("expanded_queries"),
+        F.when(F.col("_valid"), jsonx.number_of(jsonx.member("_o", "confidence")))
+        .otherwise(F.lit(0.0))
+        .alias("confidence"),
+        F.col("_valid").alias("parse_success"),
+        F.col("_valid").alias("schema_valid"),
+        F.when(~known, "output is not JSON").when(~F.col("_valid"), "output is not a JSON object").alias(
+            "parse_error"
+        ),
+        *[c for c in ("provider", "model", "latency_ms", "estimated_cost_usd") if c in answered.columns],
+    )
+
+
 def bag_of_words_vocabulary(texts: DataFrame, text: str) -> DataFrame:
     """Distinct tokens numbered alphabetically from 0."""
     tokens = texts.select(F.explode(tokenize(text)).alias("term")).distinct()

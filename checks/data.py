@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from aisle.functions import query_rules as rules
 from aisle.functions import scores
 from aisle.functions import text as t
-from aisle.operators import clean, queries as q, splits
+from aisle.operators import clean, phrases, queries as q, splits
 from aisle.plans import dataset
 from aisle.session import scratch_dir
 from aisle.sources import files
@@ -662,14 +662,14 @@ def extract_use_case(spark, sf):
 
 @check("extract_category", f"SELECT id, {category_sql('text')} AS category FROM rule_texts", "rule_texts")
 def extract_category(spark, sf):
-    known = q.known_values(Inputs(spark, sf).items, "category")
-    return rule_texts(spark, sf).select("id", rules.extract_category("text", known).alias("category"))
+    asked = rule_texts(spark, sf).withColumnRenamed("text", "query_text")
+    return phrases.with_known(asked, Inputs(spark, sf).items).select("id", F.col("known_category").alias("category"))
 
 
 @check("extract_brand", f"SELECT id, {brand_sql('text')} AS brand FROM rule_texts", "rule_texts")
 def extract_brand(spark, sf):
-    known = q.known_values(Inputs(spark, sf).items, "brand")
-    return rule_texts(spark, sf).select("id", rules.extract_brand("text", known).alias("brand"))
+    asked = rule_texts(spark, sf).withColumnRenamed("text", "query_text")
+    return phrases.with_known(asked, Inputs(spark, sf).items).select("id", F.col("known_brand").alias("brand"))
 
 
 PARSED = f"""{intent_sql('query_text')} AS intent,
@@ -702,7 +702,7 @@ REWRITE = f"""coalesce(nullif({norm_sql("concat_ws(' ', p_price, p_brand, p_cate
 @check("rewrite_query", f"SELECT query_id, {REWRITE} AS rewritten_query FROM parsed", "parsed")
 def rewrite_query(spark, sf):
     x = Inputs(spark, sf)
-    parsed = q.parse_queries(x.pairs, q.known_values(x.items, "category"), q.known_values(x.items, "brand"))
+    parsed = q.parse_queries(x.pairs, x.items)
     fields = [F.col(c) for c in ("price_constraint", "brand", "category", "use_case")]
     return parsed.select("query_id", rules.rewrite_query("query_text", *fields).alias("rewritten_query"))
 
@@ -720,7 +720,7 @@ def _uniq(*options):
 )
 def expand_query(spark, sf):
     x = Inputs(spark, sf)
-    parsed = q.parse_queries(x.pairs, q.known_values(x.items, "category"), q.known_values(x.items, "brand"))
+    parsed = q.parse_queries(x.pairs, x.items)
     c = {n: F.col(n) for n in ("price_constraint", "brand", "category", "use_case")}
     rewritten = rules.rewrite_query("query_text", *c.values())
     out = parsed.select(
@@ -789,3 +789,73 @@ def token_count(spark, sf):
 )
 def generate_queries(spark, sf):
     return Inputs(spark, sf).pairs
+
+
+def _written_queries(spark, sf):
+    """Model outputs over all queries: plain, fenced, cut off, a list, or with values of other types."""
+    pairs = Inputs(spark, sf).pairs
+    category, text = F.col("category"), F.col("query_text")
+    constraints = F.struct(F.lit("cheap").alias("price"), F.col("use_case"))
+    plain = F.to_json(
+        F.struct(
+            F.lit("product_search").alias("intent"),
+            category,
+            F.lit(" Acme ").alias("brand"),
+            constraints.alias("constraints"),
+            F.lit("a: ").alias("note"),
+            F.concat(text, F.lit(" plus")).alias("rewritten_query"),
+            F.array(F.upper("query_text"), F.lit("Second  one"), F.lit("third"), F.lit("fourth")).alias(
+                "expanded_queries"
+            ),
+            F.lit(0.8).alias("confidence"),
+        )
+    )
+    odd = F.concat(
+        F.lit('{"intent": "unknown", "category": "NULL", "brand": true, "constraints": "none", '),
+        F.lit('"price_constraint": 30, "rewritten_query": null, "expanded_queries": "Gift Ideas", '),
+        F.lit('"confidence": ["high"], "use_case": null}'),
+    )
+    output = F.array(
+        plain,
+        F.concat(F.lit("Sure:\n```json\n"), F.replace(plain, F.lit("0.8"), F.lit('"0.7"')), F.lit("\n``` done")),
+        F.substring(plain, 1, 40),
+        F.concat(F.lit("["), F.lit("1, 2]")),
+        F.concat(F.lit("Answer: "), odd),
+    )[F.col("target_item_id") % 5]
+    return pairs.withColumn("output_text", output)
+
+
+cte(
+    "written",
+    f"""SELECT *, target_item_id % 5 AS kind, kind IN (0, 1) AS good, kind IN (2, 3) AS failed,
+ CASE WHEN good THEN 'product_search' WHEN failed THEN p_intent END AS w_intent,
+ CASE WHEN good THEN source_category WHEN failed THEN p_category END AS w_category,
+ CASE WHEN good THEN 'Acme' WHEN failed THEN p_brand ELSE 'True' END AS w_brand,
+ CASE WHEN good THEN 'cheap' WHEN failed THEN p_price ELSE '30' END AS w_price,
+ CASE WHEN good THEN source_use_case WHEN failed THEN p_use END AS w_use,
+ {norm_sql("concat_ws(' ', w_price, w_brand, w_category, w_use)")} AS w_joined,
+ CASE WHEN good THEN query_text || ' plus' ELSE coalesce(nullif(w_joined, ''), {norm_sql('query_text')}) END AS w_rewritten
+FROM parsed""",
+    "parsed",
+)
+
+
+@check(
+    "read_query_understanding",
+    f"""SELECT query_id, w_intent AS parsed_intent, w_category AS parsed_category, w_brand AS parsed_brand,
+ w_price AS parsed_price_constraint, w_use AS parsed_use_case, w_rewritten AS rewritten_query,
+ CASE WHEN good THEN {_uniq('query_text', "'second one'", "'third'")} WHEN kind = 4 THEN {_uniq('query_text', "'gift ideas'")}
+  ELSE {_uniq('query_text', 'w_rewritten', chr(39).join(['concat_ws(', ' ', ', w_category, w_use)']))} END AS expanded_queries,
+ CASE kind WHEN 0 THEN 0.8e0 WHEN 1 THEN 0.7e0 WHEN 4 THEN NULL ELSE 0e0 END AS confidence,
+ NOT failed AS schema_valid, CASE kind WHEN 2 THEN 'output is not JSON' WHEN 3 THEN 'output is not a JSON object' END AS parse_error
+FROM written""",
+    "written",
+)
+def read_query_understanding(spark, sf):
+    """Fields of plain, fenced, cut off, listed and mistyped outputs over every query."""
+    out = q.read_query_understanding(_written_queries(spark, sf), Inputs(spark, sf).items)
+    names = ("intent", "category", "brand", "price_constraint", "use_case")
+    return out.select(
+        "query_id", *[f"parsed_{n}" for n in names], "rewritten_query", flat("expanded_queries"), "confidence",
+        "schema_valid", "parse_error",
+    )

@@ -114,14 +114,14 @@ def build_prompts(spark, sf):
     """SELECT query_id, 'TASK: QUERY_UNDERSTANDING' || chr(10) || 'Query: ' || query_text || chr(10)
  || 'Known categories: ' || (SELECT string_agg(DISTINCT category, ' | ' ORDER BY category) FROM items) || chr(10)
  || 'Known brands: ' || (SELECT string_agg(DISTINCT brand, ' | ' ORDER BY brand) FROM items) || chr(10)
- || 'Max expanded queries: 3' AS head FROM pairs""",
+ || 'Max expanded queries: 3' || chr(10) || 'Answer as JSON with intent, category, brand, constraints, '
+ || 'rewritten_query, expanded_queries and confidence.' AS prompt FROM pairs""",
     "pairs",
     "items",
 )
 def build_query_prompts(spark, sf):
     x = Inputs(spark, sf)
-    prompt = g.build_query_prompt(q.known_values(x.items, "category"), q.known_values(x.items, "brand"))
-    return x.pairs.select("query_id", F.substring_index(prompt, "\n", 5).alias("head"))
+    return g.build_query_prompts(x.pairs, x.items).select("query_id", "prompt")
 
 
 @check(

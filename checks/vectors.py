@@ -331,6 +331,39 @@ def user_profile(spark, sf):
     return out.select("user_id", "profile_text", "summary", "confidence")
 
 
+@check(
+    "read_profiles",
+    """SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'Likes "' || c2 || '"' ELSE
+  'Profile based only on observed synthetic product interactions.' END AS summary,
+ CASE user_id % 4 WHEN 0 THEN '12' ELSE profile_text END AS profile_text,
+ CASE user_id % 4 WHEN 0 THEN 'A|7|None' WHEN 1 THEN '' ELSE array_to_string(cats, '|') END AS top_categories,
+ array_to_string(brands, '|') AS top_brands, CASE user_id % 4 WHEN 0 THEN 0.5e0 ELSE 0e0 END AS confidence,
+ user_id % 4 IN (0, 1) AS schema_valid FROM profiles""",
+    "profiles",
+)
+def read_profiles(spark, sf):
+    """Profiles from plain, mistyped, cut off and missing outputs of all users."""
+    x = Inputs(spark, sf)
+    summary = p.behavior_summary(x.train, x.items)
+    plain = F.to_json(
+        F.struct(
+            F.concat(F.lit('Likes "'), F.array_join(F.slice("top_categories", 1, 2), ", "), F.lit('"')).alias("summary"),
+            F.lit(12).alias("profile_text"),
+            F.lit(" ").alias("price_preference"),
+        )
+    )
+    full = F.concat(
+        F.substring(plain, 1, F.length(plain) - 1),
+        F.lit(', "top_categories": ["A", 7, " ", null], "top_brands": "Nova", "confidence": "0.5"}'),
+    )
+    odd = F.lit('```json\n{"summary": null, "top_categories": [], "confidence": "high"}\n```')
+    output = F.array(full, odd, F.substring(full, 1, 30))[(F.col("user_id") % 4).cast("int")]
+    answers = summary.where("user_id % 4 < 3").select("user_id", output.alias("output_text"))
+    out = p.read_profiles(summary, answers)
+    lists = [flat(c) for c in ("top_categories", "top_brands")]
+    return out.select("user_id", "summary", "profile_text", *lists, "confidence", "schema_valid")
+
+
 @check(
     "profile_vectors",
     """SELECT user_id, term, round(n / sqrt(sum(n * n) OVER (PARTITION BY user_id)), 6) AS weight FROM (
