@@ -122,40 +122,53 @@ def _undominated(
 _FOUND = "bm25_score double, dense_score double, n long, least_bm25 double, least_dense double"
 
 
-def _block_scores(k: int, weights: tuple[float, float]):
-    """Task that adds up both scores of each query in a block."""
+class _Block:
+    """Postings of a block by term; items stand in order of their ids."""
 
-    def search(held: pa.RecordBatch, asking: pa.RecordBatch, _) -> Iterator[pa.RecordBatch]:
+    def __init__(self, held: pa.RecordBatch):
         held = held.take(pc.sort_indices(held.column(0)))
+        self.items = held.column(0)
         terms = held.column(1)
         bounds = terms.offsets.to_numpy()
         span = slice(bounds[0], bounds[-1])
         coded = terms.values[bounds[0] : bounds[-1]].dictionary_encode()
         codes = coded.indices.to_numpy()
         order = np.argsort(codes, kind="stable")
-        codes, items = codes[order], np.repeat(np.arange(held.num_rows), np.diff(bounds))[order]
-        own = [held.column(i).values.to_numpy()[span][order] for i in (2, 3)]
-        lists = asking.column(1)
+        self.terms, self.codes = coded.dictionary, codes[order]
+        self.rows = np.repeat(np.arange(held.num_rows), np.diff(bounds))[order]
+        self.weights = [held.column(i).values.to_numpy()[span][order] for i in (2, 3)]
+
+    def scores(self, asking: pa.RecordBatch):
+        """(row, items hit, both scores of all items) for each asking row that hits any."""
+        lists = asking.column("query_terms")
         cuts = lists.offsets.to_numpy()
-        wanted = pc.index_in(lists.values, value_set=coded.dictionary)
+        wanted = pc.index_in(lists.values, value_set=self.terms)
         wanted = wanted.fill_null(-1).to_numpy(zero_copy_only=False)
-        asked = [asking.column(i).values.to_numpy() for i in (2, 3)]
-        margins = [asking.column(i).to_numpy() for i in (4, 5)]
-        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        asked = [asking.column(c).values.to_numpy() for c in ("qb", "qd")]
         for row in range(asking.num_rows):
             mine = slice(cuts[row], cuts[row + 1])
-            firsts = np.searchsorted(codes, wanted[mine])
-            sizes = np.searchsorted(codes, wanted[mine], "right") - firsts
+            firsts = np.searchsorted(self.codes, wanted[mine])
+            sizes = np.searchsorted(self.codes, wanted[mine], "right") - firsts
             total = int(sizes.sum())
             if not total:
                 continue
             at = np.arange(total) + np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes)
-            rows, scores = items[at], []
-            for q, w in zip(asked, own):
-                summed = np.bincount(rows, np.repeat(q[mine], sizes) * w[at], held.num_rows)
-                scores.append(np.round(summed, r.SCORE_DIGITS))
-            hit = np.unique(rows)
-            bm25, dense = scores[0][hit], scores[1][hit]
+            rows, out = self.rows[at], []
+            for q, w in zip(asked, self.weights):
+                summed = np.bincount(rows, np.repeat(q[mine], sizes) * w[at], len(self.items))
+                out.append(np.round(summed, r.SCORE_DIGITS))
+            yield row, np.unique(rows), *out
+
+
+def _block_scores(k: int, weights: tuple[float, float]):
+    """Task that adds up both scores of each query in a block and keeps what may be among the best."""
+
+    def search(held: pa.RecordBatch, asking: pa.RecordBatch, _) -> Iterator[pa.RecordBatch]:
+        block = _Block(held)
+        margins = [asking.column(f"_margin_{c}").to_numpy() for c in ("cap_bm25", "cap_dense")]
+        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for row, hit, bm25, dense in block.scores(asking):
+            bm25, dense = bm25[hit], dense[hit]
             keep = _undominated(bm25, dense, k, (margins[0][row], margins[1][row]), weights)
             count = int(keep.sum())
             first = np.zeros(count, np.int64)
@@ -167,23 +180,34 @@ def _block_scores(k: int, weights: tuple[float, float]):
         if not out[0]:
             return
         flat = [np.concatenate(c) for c in out]
-        arrays = [asking.column(0).take(pa.array(flat[0])), held.column(0).take(pa.array(flat[1]))]
+        arrays = [asking.column("query_text").take(pa.array(flat[0])), block.items.take(pa.array(flat[1]))]
         names = ["query_text", "item_id", "bm25_score", "dense_score", "n", "least_bm25", "least_dense"]
         yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(c) for c in flat[2:]]], names)
 
     return search
 
 
+def _id_type(index: FusedIndex) -> str:
+    return index.rows.schema["item_id"].dataType.simpleString()
+
+
+def _listed(encoded: DataFrame) -> DataFrame:
+    """One row per text with its terms and their weights."""
+    entries = F.collect_list(F.struct("term", "qb", "qd")).alias("e")
+    return encoded.groupBy("query_text").agg(entries).select(
+        "query_text", F.col("e.term").alias("query_terms"), F.col("e.qb").alias("qb"), F.col("e.qd").alias("qd")
+    )
+
+
 def _read(index: FusedIndex, chosen: DataFrame, encoded: DataFrame, k: int, weights) -> DataFrame:
     """Rows of the chosen (query_text, block) pairs that may be among the best."""
-    kind = index.rows.schema["item_id"].dataType.simpleString()
-    listed = encoded.groupBy("query_text").agg(F.collect_list(F.struct("term", "qb", "qd")).alias("e"))
-    asking = chosen.join(listed, "query_text").select(
+    kind = _id_type(index)
+    asking = chosen.join(_listed(encoded), "query_text").select(
         "block",
         "query_text",
-        F.col("e.term").alias("query_terms"),
-        F.col("e.qb").alias("qb"),
-        F.col("e.qd").alias("qd"),
+        "query_terms",
+        "qb",
+        "qd",
         *[
             (F.lit(MARGIN) * F.col(cap) / F.lit(w) if w > 0 else F.lit(0.0)).alias(f"_margin_{cap}")
             for cap, w in zip(("cap_bm25", "cap_dense"), weights)
@@ -199,15 +223,33 @@ def _ratio(score: Column | str, most: Column | str) -> Column:
     return F.when(most > 0, score / most).otherwise(F.lit(0.0))
 
 
-def fused_topk_texts(
+@dataclass
+class FusedSearch:
+    """What a search of texts found: ``top`` lists, ``encoded`` texts, ``bounds`` per text and block.
+
+    ``scale`` has the largest and least score of each kind per text, as the normalisation uses them.
+    """
+
+    top: DataFrame
+    encoded: DataFrame
+    bounds: DataFrame
+    scale: DataFrame
+    weights: tuple[float, float]
+
+
+def fused_topk_texts(index: FusedIndex, texts: DataFrame, k: int = 50, **settings) -> DataFrame:
+    """Best ``k`` matches per text: (query_text, item_id, score, bm25_score, dense_score, rank)."""
+    return fused_search(index, texts, k, **settings).top
+
+
+def fused_search(
     index: FusedIndex,
     texts: DataFrame,
     k: int = 50,
     bm25_weight: float = 0.5,
     dense_weight: float = 0.5,
     normalization: str = "minmax",
-) -> DataFrame:
-    """Best ``k`` matches per text: (query_text, item_id, score, bm25_score, dense_score, rank)."""
+) -> FusedSearch:
     if normalization not in ("minmax", "none", "raw"):
         raise ValueError(f"unsupported normalization: {normalization}")
     if min(bm25_weight, dense_weight) < 0:
@@ -252,22 +294,165 @@ def fused_topk_texts(
         *[F.max(f"{s}_score").alias(f"_most_{s}") for s in ("bm25", "dense")],
         *[F.min(f"least_{s}").alias(f"_least_{s}") for s in ("bm25", "dense")],
     )
-    if scaled:
-        parts = []
-        rows = found.join(stats, "query_text")
-        for s in ("bm25", "dense"):
-            least = F.when(F.col("_n") >= index.size, F.col(f"_least_{s}")).otherwise(F.lit(0.0))
-            parts.append(_ratio(F.col(f"{s}_score") - least, F.col(f"_most_{s}") - least))
-    else:
-        rows, parts = found, [F.col("bm25_score"), F.col("dense_score")]
-    scored = rows.select(
+    lows = [
+        F.when(F.col("_n") >= index.size, F.col(f"_least_{s}")).otherwise(F.lit(0.0)).alias(f"low_{s}")
+        for s in ("bm25", "dense")
+    ]
+    spans = [(F.col(f"_most_{s}") - F.col(f"low_{s}")).alias(f"span_{s}") for s in ("bm25", "dense")]
+    scale = stats.select("*", *lows).select("query_text", "low_bm25", "low_dense", *spans)
+    if not scaled:
+        one, zero = F.lit(1.0), F.lit(0.0)
+        scale = stats.select(
+            "query_text", zero.alias("low_bm25"), zero.alias("low_dense"), one.alias("span_bm25"), one.alias("span_dense")
+        )
+    scored = found.join(scale, "query_text").select(
         "query_text",
         "item_id",
         "bm25_score",
         "dense_score",
-        F.round(_blend(weights, *parts), r.SCORE_DIGITS).alias("score"),
+        F.round(
+            _blend(
+                weights,
+                *[_ratio(F.col(f"{s}_score") - F.col(f"low_{s}"), f"span_{s}") for s in ("bm25", "dense")],
+            ),
+            r.SCORE_DIGITS,
+        ).alias("score"),
+    )
+    top = r.best_first("query_text", "score", k, scored.where("score > 0"))
+    return FusedSearch(top, encoded, bounds, scale, weights)
+
+
+KINDS = ("bm25", "dense", "hybrid")
+#: Items of a text that are ranked side by side.
+RANKED_AT_ONCE = 1024
+
+
+def _all_scores(row: int, bm25: np.ndarray, dense: np.ndarray, asking: pa.RecordBatch, weights):
+    """The three scores of a block's items for one asking row."""
+    mixed = np.zeros(len(bm25))
+    matched = (bm25 > 0) | (dense > 0)
+    for values, name, weight in zip((bm25, dense), ("bm25", "dense"), weights):
+        low, span = (asking.column(f"{what}_{name}")[row].as_py() for what in ("low", "span"))
+        if span > 0:
+            mixed[matched] += weight * ((values[matched] - low) / span)
+    return bm25, dense, np.round(mixed, r.SCORE_DIGITS)
+
+
+def _wanted_scores(weights: tuple[float, float]):
+    """Task that gives the scores of the asked items of a block."""
+
+    def search(held: pa.RecordBatch, asking: pa.RecordBatch, _) -> Iterator[pa.RecordBatch]:
+        block = _Block(held)
+        ids = np.array(block.items.to_pylist())
+        rows, places, scores = [], [], []
+        for row, _, bm25, dense in block.scores(asking):
+            at = np.searchsorted(ids, np.array(asking.column("wanted")[row].as_py()))
+            rows.append(np.full(len(at), row))
+            places.append(at)
+            scores.append(np.stack([x[at] for x in _all_scores(row, bm25, dense, asking, weights)]))
+        if rows:
+            arrays = [
+                asking.column("query_text").take(pa.array(np.concatenate(rows))),
+                block.items.take(pa.array(np.concatenate(places))),
+                *[pa.array(x) for x in np.concatenate(scores, axis=1)],
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["query_text", "item_id", *[f"{k}_score" for k in KINDS]])
+
+    return search
+
+
+def _before(scores: np.ndarray, own: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many of a block's matches stand before each asked item; items stand in order of ids.
+
+    Behind all matches an item without a score stands at its place among the rest, so its count is
+    that of the matches at later places.
+    """
+    hit = np.flatnonzero(scores > 0)
+    values, codes = np.unique(-scores[hit], return_inverse=True)
+    width = len(scores) + 1
+    keys = np.sort(codes * width + hit)
+    at = np.searchsorted(values, -own)
+    equal = np.zeros(len(own), bool)
+    inside = at < len(values)
+    equal[inside] = values[at[inside]] == -own[inside]
+    ahead = np.searchsorted(keys, at * width + np.where(equal, places, 0))
+    return np.where(own > 0, ahead, len(hit) - np.searchsorted(hit, places))
+
+
+def _counts_before(weights: tuple[float, float]):
+    """Task that counts the matches of a block before the asked items."""
+
+    def search(held: pa.RecordBatch, asking: pa.RecordBatch, _) -> Iterator[pa.RecordBatch]:
+        block = _Block(held)
+        ids = np.array(block.items.to_pylist())
+        rows, counts, wanted = [], [], []
+        for row, _, bm25, dense in block.scores(asking):
+            names = asking.column("wanted")[row].values
+            places = np.searchsorted(ids, np.array(names.to_pylist()))
+            three = _all_scores(row, bm25, dense, asking, weights)
+            own = [asking.column(f"{k}_score")[row].values.to_numpy() for k in KINDS]
+            counts.append(np.stack([_before(x, o, places) for x, o in zip(three, own)]))
+            rows.append(np.full(len(places), row))
+            wanted.append(names)
+        if rows:
+            arrays = [
+                asking.column("query_text").take(pa.array(np.concatenate(rows))),
+                pa.concat_arrays(wanted),
+                *[pa.array(x) for x in np.concatenate(counts, axis=1)],
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["query_text", "item_id", *KINDS])
+
+    return search
+
+
+def catalog_ranks(index: FusedIndex, search: FusedSearch, wanted: DataFrame, places: DataFrame) -> DataFrame:
+    """Scores and ranks in the whole catalog of ``wanted`` (query_text, item_id) pairs.
+
+    A rank is counted, not looked up: the scores of the wanted items stream past the blocks that
+    share a term with the text, and each block adds how many of its items come before. No pair but
+    the wanted ones leaves its task. ``places`` (item_id, item_idx) numbers the catalog from 1.
+    """
+    kind = _id_type(index)
+    texts = _listed(search.encoded).join(search.scale, "query_text")
+    settings = ["query_terms", "qb", "qd", "low_bm25", "low_dense", "span_bm25", "span_dense"]
+    held = skew.join(wanted, index.rows.select("item_id", "block"), "item_id", keys_from=wanted)
+    in_blocks = held.groupBy("query_text", "block").agg(F.collect_list("item_id").alias("wanted"))
+    asking = in_blocks.join(texts, "query_text").select("block", "query_text", "wanted", *settings)
+    names = [f"{k}_score" for k in KINDS]
+    schema = f"query_text string, item_id {kind}"
+    found = streamed(
+        index.rows, asking, ["block"], _wanted_scores(search.weights),
+        f"{schema}, {', '.join(f'{n} double' for n in names)}",
+    )
+    scored = cut_lineage(
+        wanted.join(found, ["query_text", "item_id"], "left").na.fill({n: 0.0 for n in names})
+    )
+    sizes = scored.groupBy("query_text").agg(F.ceil(F.count("*") / RANKED_AT_ONCE).alias("_parts"))
+    entry = F.collect_list(F.struct("item_id", *names)).alias("e")
+    grouped = (
+        scored.join(sizes, "query_text")
+        .groupBy("query_text", F.pmod(F.xxhash64("item_id"), F.col("_parts")).alias("part"))
+        .agg(entry)
+        .select("query_text", F.col("e.item_id").alias("wanted"), *[F.col(f"e.{n}").alias(n) for n in names])
+    )
+    asking = (
+        grouped.join(search.bounds.select("query_text", "block"), "query_text")
+        .join(texts, "query_text")
+        .select("block", "query_text", "wanted", *names, *settings)
+    )
+    counted = streamed(
+        index.rows, asking, ["block"], _counts_before(search.weights),
+        f"{schema}, {', '.join(f'{k} long' for k in KINDS)}",
     )
-    return r.best_first("query_text", "score", k, scored.where("score > 0"))
+    before = counted.groupBy("query_text", "item_id").agg(*[F.sum(k).alias(k) for k in KINDS])
+    out = skew.join(scored, places, "item_id", keys_from=wanted).join(before, ["query_text", "item_id"], "left")
+    ranks = [
+        (F.coalesce(k, F.lit(0)) + F.when(F.col(f"{k}_score") > 0, F.lit(1)).otherwise(F.col("item_idx")))
+        .cast("long")
+        .alias(f"{k}_rank")
+        for k in KINDS
+    ]
+    return out.select("query_text", "item_id", *names, *ranks)
 
 
 def _blend(weights: tuple[float, float], bm25: Column, dense: Column) -> Column:
@@ -314,7 +499,7 @@ def hybrid_topk(
 ) -> DataFrame:
     """Ranked items per query; lists shorter than ``k`` are completed by unmatched ids with score 0."""
     texts = cut_lineage(r.distinct_texts(queries))
-    top = cut_lineage(fused_topk_texts(index, texts, k, bm25_weight, dense_weight, normalization))
+    top = cut_lineage(fused_search(index, texts, k, bm25_weight, dense_weight, normalization).top)
     columns = ["score", "bm25_score", "dense_score"]
     filled = r.fill_with_zeros(top, texts, index.item_ids, k, columns)
     return r.to_queries(filled, queries.select("query_id", "query_text"))

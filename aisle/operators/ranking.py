@@ -19,15 +19,14 @@ from pyspark.sql import types as T
 from aisle import skew
 from aisle.functions.scores import authority_score, cold_start_score, price_bucket
 from aisle.functions.text import hashed_int, item_text, shares_token, token_overlap, tokenize
+from aisle.operators import hybrid
 from aisle.operators.clean import filter_split
-from aisle.operators.counting import count_at_or_below, draw_unlisted
+from aisle.operators.counting import draw_unlisted
 from aisle.operators.retrieval import (
     SCORE_DIGITS,
     TermIndex,
-    best_first,
     distinct_texts,
     fill_with_zeros,
-    hybrid_scores,
 )
 from aisle.operators.splits import item_index
 from aisle.session import cut_lineage
@@ -180,70 +179,6 @@ def candidate_pool(
     )
 
 
-def _catalog_ranks(scores: DataFrame, wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """Scores and full-catalog ranks of the wanted (query_text, item_id) pairs.
-
-    Matched items are ranked among the matched. An item with score 0 stands behind all m matched
-    ones at its id order among the rest: m + place - matched places at or below it.
-    """
-    items_bound = index.count()
-    size = F.lit(items_bound)
-    ranked = scores
-    for name in ("bm25", "dense", "hybrid"):
-        score = f"{name}_score"
-        order = [(-F.col(score)).alias("s"), F.col("item_id")]
-        ranked = skew.row_number(
-            ranked, "query_text", order, f"{name}_rank", ["item_id"], at_most=items_bound
-        )
-    found = skew.join(wanted, index, "item_id").join(
-        ranked, ["query_text", "item_id"], "left"
-    )
-    zero = {f"{n}_score": 0.0 for n in ("bm25", "dense", "hybrid")}
-    found = found.na.fill(zero)
-    kinds = ("bm25", "dense", "hybrid")
-
-    def stacked(df: DataFrame, keep: list[str], zero_only: bool) -> DataFrame:
-        parts = [
-            F.when(
-                (F.col(f"{n}_score") == 0) if zero_only else (F.col(f"{n}_score") > 0), F.lit(n)
-            )
-            for n in kinds
-        ]
-        return df.withColumn("kind", F.explode(F.array_compact(F.array(*parts)))).select(
-            "kind", "query_text", *keep
-        )
-
-    absent = stacked(found, ["item_id", "item_idx"], True)
-    touched = absent.select("query_text").distinct()
-    present = stacked(scores, ["item_id"], False).join(touched, "query_text", "left_semi")
-    matched = present.groupBy("kind", "query_text").agg(F.count("*").alias("m"))
-    marks = skew.join(present, index, "item_id").select("kind", "query_text", "item_idx")
-    groups = ["kind", "query_text"]
-    hot = skew.find_hot(present, groups, at_most=items_bound)
-    placed = count_at_or_below(absent, marks, groups, "item_idx", size, "under", hot)
-    late = (
-        placed.join(matched, ["kind", "query_text"], "left")
-        .groupBy("query_text", "item_id")
-        .agg(
-            *[
-                F.max(
-                    F.when(
-                        F.col("kind") == n,
-                        F.coalesce("m", F.lit(0)) + F.col("item_idx") - F.col("under"),
-                    )
-                ).alias(f"_{n}")
-                for n in kinds
-            ]
-        )
-    )
-    out = found.join(late, ["query_text", "item_id"], "left")
-    ranks = [
-        F.when(F.col(f"{n}_score") > 0, F.col(f"{n}_rank")).otherwise(F.col(f"_{n}")).alias(f"{n}_rank")
-        for n in kinds
-    ]
-    return out.select("query_text", "item_id", *zero, *ranks)
-
-
 def ranking_features(
     pairs: DataFrame,
     items: DataFrame,
@@ -260,12 +195,10 @@ def ranking_features(
     Everything that depends on the text and the item alone is computed once per distinct text and
     handed to the queries at the end. Ranks cover the catalog, so the hybrid list fills the pool.
     """
-    texts = distinct_texts(pairs)
-    scores = hybrid_scores(bm25, tfidf, texts, bm25_weight, dense_weight).withColumnRenamed(
-        "score", "hybrid_score"
-    )
-    scores = cut_lineage(scores)
-    top = best_first("query_text", "hybrid_score", pool, scores.where("hybrid_score > 0"))
+    texts = cut_lineage(distinct_texts(pairs))
+    index = hybrid.fused_index(bm25, tfidf)
+    search = hybrid.fused_search(index, texts, pool, bm25_weight, dense_weight)
+    top = cut_lineage(search.top.withColumnRenamed("score", "hybrid_score"))
     pooled = fill_with_zeros(top, texts, bm25.item_ids, pool, ["hybrid_score"]).select(
         "query_text", "item_id", F.lit(True).alias("pooled")
     )
@@ -277,8 +210,9 @@ def ranking_features(
         wanted = pooled.unionByName(targets).groupBy("query_text", "item_id").agg(
             F.max("pooled").alias("pooled")
         )
-    index = cut_lineage(item_index(items))
-    ranked = _catalog_ranks(scores, wanted.drop("pooled"), index)
+    wanted = cut_lineage(wanted)
+    places = cut_lineage(item_index(items))
+    ranked = hybrid.catalog_ranks(index, search, wanted.drop("pooled"), places)
     details = business_proxies(train, items).join(items, "item_id")
     rating = F.coalesce("avg_rating", F.lit(0.0))
     count = F.coalesce("rating_count", F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aisle.operators import hybrid as h
 from aisle.operators import retrieval as r
+from aisle.operators.splits import item_index
 
 
 @pytest.fixture(scope="module")
@@ -45,7 +46,7 @@ def test_blocks_give_the_exact_lists(spark, catalog, queries, monkeypatch, norma
     plain = h._read
     monkeypatch.setattr(h, "_read", lambda index, chosen, *a: read.append(chosen.count()) or plain(index, chosen, *a))
     index = h.fused_index(bm25, tfidf)
-    got = ranked(h.fused_topk_texts(index, texts, 7, *weights, normalization))
+    got = ranked(h.fused_search(index, texts, 7, *weights, normalization).top)
     assert got == want
     blocks = index.bounds.join(h.encoded_texts(index, texts), "term").select("query_text", "block").distinct()
     assert sum(read) < blocks.count()
@@ -58,3 +59,27 @@ def test_full_lists_and_bad_settings(spark, catalog, queries):
     for wrong in ({"normalization": "rank"}, {"bm25_weight": -1.0}):
         with pytest.raises(ValueError):
             h.hybrid_topk(index, queries, 5, **wrong)
+
+
+def test_catalog_ranks_are_counted(spark, catalog, queries, monkeypatch):
+    monkeypatch.setattr(h, "BLOCK_ITEMS", 40)
+    monkeypatch.setattr(h, "RANKED_AT_ONCE", 9)
+    bm25, tfidf = r.bm25_index(catalog), r.tfidf_index(catalog, max_features=30)
+    texts = r.distinct_texts(queries)
+    index = h.fused_index(bm25, tfidf)
+    search = h.fused_search(index, texts, 7)
+    places = item_index(catalog)
+    wanted = texts.crossJoin(catalog.where("item_id % 7 = 0").select("item_id"))
+    got = h.catalog_ranks(index, search, wanted, places).collect()
+    every = r.hybrid_scores(bm25, tfidf, texts).withColumnRenamed("score", "hybrid_score")
+    full = texts.crossJoin(catalog.select("item_id")).join(every, ["query_text", "item_id"], "left").na.fill(0.0)
+    by_text = {}
+    for x in full.collect():
+        by_text.setdefault(x["query_text"], []).append(x)
+    assert len(got) == wanted.count()
+    for kind in h.KINDS:
+        want = {}
+        for text, rows in by_text.items():
+            rows = sorted(rows, key=lambda x: (-x[f"{kind}_score"], x["item_id"]))
+            want.update({(text, x["item_id"]): n for n, x in enumerate(rows, 1)})
+        assert all(x[f"{kind}_rank"] == want[x["query_text"], x["item_id"]] for x in got), kind
