@@ -8,15 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisle import skew
+from aisle.operators.quantiles import exact_quantile
 
 
 def _latency(df: DataFrame) -> list[Column]:
     if "latency_ms" not in df.columns:
         return []
-    return [
-        F.avg("latency_ms").alias("avg_latency_ms"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("p95_latency_ms"),
-    ]
+    return [F.avg("latency_ms").alias("avg_latency_ms")]
+
+
+def _with_p95(summary: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``summary`` (one row per group) with the 95th percentile of the rows' latency."""
+    if "latency_ms" not in rows.columns:
+        return summary
+    found = exact_quantile(rows, "latency_ms", 0.95, by, "p95_latency_ms")
+    if not by:
+        return summary.join(found, how="left")
+    same = [summary[c].eqNullSafe(found[c]) for c in by]
+    return summary.join(found, same, "left").drop(*[found[c] for c in by])
 
 
 def _rank_columns(rank: Column, k_values: Sequence[int], names: Sequence[str]) -> list[Column]:
@@ -63,12 +72,13 @@ def _means(df: DataFrame, prefixes: Sequence[str]) -> list[Column]:
 
 def retrieval_metrics(per_query: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
     """Means over queries, query coverage and latency per group."""
-    return per_query.groupBy(*by).agg(
+    summary = per_query.groupBy(*by).agg(
         F.count("*").alias("num_queries"),
         F.avg(F.col("has_results").cast("double")).alias("query_coverage"),
         *_means(per_query, ("recall_at_", "mrr_at_")),
         *_latency(per_query),
     )
+    return _with_p95(summary, per_query, by)
 
 
 def _ideal_dcg(count: Column, k: int) -> Column:
@@ -421,7 +431,7 @@ def genrec_metrics(per_query: DataFrame, faithful: DataFrame | None = None) -> D
         rows = per_query.unionByName(faithful, allowMissingColumns=True)
     has_faith = "explanation_faithful" in rows.columns
     flags = ("output_parse_success", "schema_valid", "used_fallback")
-    return rows.groupBy(*key).agg(
+    summary = rows.groupBy(*key).agg(
         F.count("*").alias("num_queries"),
         F.avg("valid_item_rate").alias("valid_item_rate"),
         F.avg("hallucination_rate").alias("hallucination_rate"),
@@ -434,6 +444,7 @@ def genrec_metrics(per_query: DataFrame, faithful: DataFrame | None = None) -> D
         ).alias("explanation_faithfulness"),
         *_latency(rows),
     )
+    return _with_p95(summary, rows, key)
 
 
 def multi_relevant_metrics(

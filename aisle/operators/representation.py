@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisle import skew
+from aisle.operators.quantiles import exact_quantile
 from aisle.operators.retrieval import TermIndex, encode_queries, tfidf_index
 from aisle.operators.vectors import l2_normalize
 
@@ -219,7 +220,7 @@ def interaction_counts(items: DataFrame, train: DataFrame) -> DataFrame:
 
 def _low_count(counted: DataFrame, quantile: float) -> Column:
     """The quantile of the counts; some item always reaches it, as it is at least the minimum."""
-    return counted.agg(F.percentile("interaction_count", F.lit(quantile))).scalar()
+    return exact_quantile(counted, "interaction_count", quantile, [], "q").scalar()
 
 
 def cold_start_items(items: DataFrame, train: DataFrame, quantile: float = 0.25) -> DataFrame:
