@@ -156,11 +156,10 @@ def matched_scores(index: TermIndex, texts: DataFrame, score: str = "score") ->
     )
 
 
-def frequent_terms(index: TermIndex) -> DataFrame:
+def frequent_terms(index: TermIndex) -> DataFrame | None:
     """Terms whose postings are too many for one task; the index already counted them."""
-    bar = skew.hot_rows(index.terms)
-    most = index.terms.where(F.col("df") >= bar).orderBy(F.col("df").desc())
-    return most.select("term").limit(skew.MAX_HOT_GROUPS)
+    counted = index.terms.select("term", F.col("df").alias("_rows"))
+    return skew.hot_of_counts(counted, skew.hot_rows(index.terms))
 
 
 def distinct_texts(queries: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from aisle.operators.retrieval import (
     distinct_texts,
     fill_with_zeros,
     query_terms,
-    to_queries,
 )
 
 
@@ -87,9 +86,8 @@ def sweep_topk(items: DataFrame, queries: DataFrame, configs: DataFrame, k: int
     if skew.fits_broadcast(wanted):
         pairs = postings.join(F.broadcast(wanted), ["config_name", "term"])
     else:
-        bar = skew.hot_rows(idf)
-        most = idf.where(F.col("df") >= bar).orderBy(F.col("df").desc())
-        hot = most.select("config_name", "term").limit(skew.MAX_HOT_GROUPS)
+        counted = idf.select("config_name", "term", F.col("df").alias("_rows"))
+        hot = skew.hot_of_counts(counted, skew.hot_rows(idf))
         pairs = skew.join(postings, wanted, ["config_name", "term"], hot=hot, row_id=["item_id"])
     scored = pairs.groupBy("config_name", "query_text", "item_id").agg(
         F.round(F.sum(F.col("qw") * F.col("weight")), SCORE_DIGITS).alias("score")
@@ -133,7 +131,3 @@ def sweep_summary(per_query: DataFrame) -> DataFrame:
     return per_query.groupBy("config_name").agg(
         F.count("*").alias("num_queries"), *[F.avg(c).alias(c) for c in metrics]
     )
-
-
-def sweep_results(results: DataFrame, queries: DataFrame) -> DataFrame:
-    return to_queries(results, queries.select("query_id", "query_text"))

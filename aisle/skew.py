@@ -1,8 +1,10 @@
 """Joins and numbering that stay balanced when one key holds a large share of the rows.
 
-A group counts as hot when it has at least ``spark.aisle.hotGroupRows`` rows. At most
-``MAX_HOT_GROUPS`` of the largest are treated specially, so the list of hot keys is a bounded
-table that may be broadcast; every group left out is below ``1 / MAX_HOT_GROUPS`` of the rows.
+A group counts as hot when it has at least ``spark.aisle.hotGroupRows`` rows and one in
+``SHARE`` of the rows of all such groups. No more than ``SHARE`` groups can reach that, so hot keys
+are a table of proven size that may be broadcast, and any other group is no more than a task's part of
+large data. Salts and cuts of a hot group follow from its count. The counts of a frame are taken once
+per application: they decide how rows are spread and never what a result is.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT_GROUPS = 10_000
+from aisle.session import cut_lineage
+
+SHARE = 10_000
 DEFAULT_HOT_ROWS = 1_000_000
-SALTS = 32
-CUTS_PER_GROUP = 63
-GLOBAL_CUTS = 255
+LEAST_CUTS = 63
 BROADCAST_ROWS = 100_000
+#: Frames whose hot keys are remembered.
+REMEMBERED = 256
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -28,25 +32,35 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.aisle.hotGroupRows", str(DEFAULT_HOT_ROWS)))
 
 
+def _remembered(df: DataFrame) -> dict:
+    """Hot keys of the frames of this application, by plan."""
+    context = df.sparkSession.sparkContext
+    if not hasattr(context, "_aisle_hot"):
+        context._aisle_hot = {}
+    return context._aisle_hot
+
+
 def hot_groups(
     df: DataFrame, keys: str | Sequence[str], rows: int | None = None
 ) -> DataFrame | None:
-    """The hot key values of ``df`` as a small frame, or None when there are none."""
+    """The hot key values of ``df`` and their ``_rows``, or None when there are none."""
     names = _names(keys)
     least = hot_rows(df) if rows is None else min(rows, hot_rows(df))
-    found = (
-        df.dropna(subset=names)
-        .groupBy(*names)
-        .count()
-        .where(F.col("count") >= least)
-        .orderBy(F.col("count").desc())
-        .limit(MAX_HOT_GROUPS)
-        .select(*names)
-    )
-    rows = found.collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, found.schema)
+    known = _remembered(df)
+    place = (df.semanticHash(), tuple(names), least)
+    if place not in known:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        counted = df.dropna(subset=names).groupBy(*names).agg(F.count("*").alias("_rows"))
+        known[place] = hot_of_counts(counted, least)
+    return known[place]
+
+
+def hot_of_counts(counted: DataFrame, least: int) -> DataFrame | None:
+    """The hot groups of a frame that has the number of rows of each group as ``_rows``."""
+    many = cut_lineage(counted.where(F.col("_rows") >= least))
+    total = many.agg(F.sum("_rows")).first()[0]
+    return None if total is None else many.where(F.col("_rows") >= total / SHARE)
 
 
 def find_hot(
@@ -63,11 +77,6 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast only after its row count was checked."""
-    return F.broadcast(df) if fits_broadcast(df, rows) else df
-
-
 def join(
     left: DataFrame,
     right: DataFrame,
@@ -81,8 +90,9 @@ def join(
     """Join where ``left`` may be hot on the key.
 
     ``keys_from`` is a cheap frame with the key distribution of ``left`` (a base table rather than
-    a long plan), ``hot`` a ready list of hot keys. Rows of hot keys are spread over ``SALTS`` parts
-    and only the matching ``right`` rows are repeated, so the result is the plain join. With
+    a long plan), ``hot`` a ready list of hot keys with their ``_rows``. Rows of a hot key are spread
+    over as many parts as it holds times the bar, and only the matching ``right`` rows are repeated,
+    so the result is the plain join. With
     neither given the join is left to the adaptive skew join, which splits large partitions of
     the left side. ``how`` is inner, left, left_semi or left_anti; ``rows`` lowers the bar where
     each left row meets many right rows.
@@ -92,20 +102,26 @@ def join(
         hot = hot_groups(keys_from, names, rows)
     if hot is None:
         return left.join(right, names, how)
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in (row_id or left.columns)]), F.lit(SALTS))
-    marks = F.broadcast(hot.select(*names).withColumn("_hot", F.lit(True)))
-    salted_left = left.join(marks, names, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int")
+    least = hot_rows(left) if rows is None else min(rows, hot_rows(left))
+    salts = F.ceil(F.col("_rows") / least).cast("int") + 1
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in (row_id or left.columns)]), F.col("_salts"))
+    marks = F.broadcast(hot.select(*names, salts.alias("_salts")))
+    salted_left = (
+        left.join(marks, names, "left")
+        .withColumn("_salt", F.coalesce(spread, F.lit(0)).cast("int"))
+        .drop("_salts")
     )
-    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    all_salts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     salted_right = (
-        right.join(marks, names, "left")
-        .withColumn(
-            "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))
-        )
-        .drop("_hot")
+        right.join(marks, names, "left").withColumn("_salt", F.explode(all_salts)).drop("_salts")
     )
-    return salted_left.join(salted_right, [*names, "_salt"], how).drop("_salt", "_hot")
+    return salted_left.join(salted_right, [*names, "_salt"], how).drop("_salt")
+
+
+def _cuts_of(hot: DataFrame, least: int, parts: int) -> int:
+    """Cuts for the largest hot group: a range for each bar that it holds, and no more than tasks need."""
+    most = hot.agg(F.max("_rows")).first()[0]
+    return max(LEAST_CUTS, min(-(-most // least), 4 * parts))
 
 
 def row_number(
@@ -127,17 +143,19 @@ def row_number(
     known bound ``at_most`` on the group size saves the lookup when it is below the bar.
     """
     names = _names(keys)
-    cut_count = CUTS_PER_GROUP
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if names:
         if hot is None:
             hot = find_hot(df if keys_from is None else keys_from, names, at_most)
         if hot is None:
             window = Window.partitionBy(*names).orderBy(*order)
             return df.withColumn(name, F.row_number().over(window).cast("long"))
-        marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), names, "left")
+        cut_count = _cuts_of(hot, hot_rows(df), parts)
+        marks = hot.select(*names, F.lit(True).alias("_hot"))
+        marked = df.join(F.broadcast(marks), names, "left")
     else:
         names = ["_all"]
-        cut_count = GLOBAL_CUTS
+        cut_count = max(LEAST_CUTS, 4 * parts)
         marked = df.withColumn("_all", F.lit(0)).withColumn("_hot", F.lit(True))
 
     keyed = marked.withColumn("_key", F.struct(*order))

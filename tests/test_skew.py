@@ -80,3 +80,24 @@ def test_popularity_and_itemcf_hot_equal_plain(spark):
         split = rows(run())
         spark.conf.unset("spark.aisle.hotGroupRows")
         assert plain == split and plain
+
+
+def test_hot_keys_are_counted_once_and_salts_follow_counts(spark, hot, monkeypatch):
+    left = events(spark).where("user_id >= 0")
+    counted = []
+    plain = skew.hot_of_counts
+    monkeypatch.setattr(skew, "hot_of_counts", lambda *a: counted.append(1) or plain(*a))
+    found = skew.hot_groups(left, "user_id")
+    again = skew.hot_groups(events(spark).where("user_id >= 0"), "user_id")
+    assert again is found and len(counted) == 1
+    assert {r["user_id"]: r["_rows"] for r in found.collect()}[0] == 60 + len(range(63, 120, 7))
+    right = spark.range(5).select(F.col("id").alias("user_id"))
+    plan = skew.join(left, right, "user_id", hot=found).select("user_id", "event_id")
+    assert rows(plan) == rows(left.join(right, "user_id").select("user_id", "event_id"))
+
+
+def test_only_groups_of_some_share_are_hot(spark):
+    counts = spark.createDataFrame([("a", 5), ("b", 3_000_000), ("c", 90_000_000_000)], "k string, _rows long")
+    assert [r["k"] for r in skew.hot_of_counts(counts, 1_000_000).collect()] == ["c"]
+    assert sorted(r["k"] for r in skew.hot_of_counts(counts.where("k <> 'c'"), 3).collect()) == ["b"]
+    assert skew.hot_of_counts(counts, 10**12) is None
