@@ -52,19 +52,24 @@ def sequence_positions(interactions: DataFrame, keys_from: DataFrame | None = No
     return skew.row_number(interactions, "user_id", order, "position", tie, keys_from=keys_from)
 
 
-def user_sequences(interactions: DataFrame) -> DataFrame:
+def user_sequences(interactions: DataFrame, part_rows: int | None = None) -> DataFrame:
     """One row per user holding parallel, time-ordered arrays.
 
-    This is the export shape, one array row per user by definition. Jobs that must bear users of
-    any size read ``sequence_positions``, the same content as rows.
+    This is the export shape, one array row per user by definition. With ``part_rows`` a history is cut
+    into rows of at most so many events with a ``part`` number from 0, so that no row or task grows
+    with a user; ``sequence_positions`` is the same content with a row per event.
     """
     event = F.struct(
         "timestamp", "item_id", *(["event_id"] if "event_id" in interactions.columns else []),
         "event_type", F.col("event_weight").cast("double").alias("event_weight"),
     )
-    grouped = interactions.groupBy("user_id").agg(F.sort_array(F.collect_list(event)).alias("e"))
+    keys = ["user_id"]
+    if part_rows is not None:
+        interactions = _cut(sequence_positions(interactions), part_rows).withColumnRenamed("_cut", "part")
+        keys.append("part")
+    grouped = interactions.groupBy(*keys).agg(F.sort_array(F.collect_list(event)).alias("e"))
     return grouped.select(
-        "user_id",
+        *keys,
         F.col("e.item_id").alias("item_sequence"),
         F.transform("e", lambda x: iso_timestamp(x["timestamp"])).alias("timestamp_sequence"),
         F.col("e.event_type").alias("event_type_sequence"),
@@ -73,6 +78,35 @@ def user_sequences(interactions: DataFrame) -> DataFrame:
     )
 
 
+#: Events of a history that one task looks at together.
+CUT_ROWS = 100_000
+
+
+def _cut(placed: DataFrame, rows: int) -> DataFrame:
+    """Numbers the pieces of ``rows`` positions that a history is cut into."""
+    return placed.withColumn("_cut", F.floor((F.col("position") - 1) / rows))
+
+
+def last_rows(placed: DataFrame, value: str, count: int, name: str, rows: int = CUT_ROWS) -> DataFrame:
+    """Adds the array of the ``count`` values before each position of its user, oldest first.
+
+    Histories are cut into pieces, and each piece also gets the last ``count`` rows of the one before,
+    so a window never spans a whole history.
+    """
+    rows = max(rows, count)
+    cut = _cut(placed, rows)
+    last = (F.col("position") - 1) % rows >= rows - count
+    pieces = F.array(F.struct(F.col("_cut"), F.lit(False).alias("_carried")))
+    carried = F.array(F.struct((F.col("_cut") + 1).alias("_cut"), F.lit(True).alias("_carried")))
+    spread = cut.withColumn("_in", F.explode(F.when(last, F.concat(pieces, carried)).otherwise(pieces)))
+    window = Window.partitionBy("user_id", "_in._cut").orderBy("position").rowsBetween(-count, -1)
+    return (
+        spread.withColumn(name, F.collect_list(value).over(window))
+        .where(~F.col("_in._carried"))
+        .drop("_in", "_cut")
+    )
+
+
 def item_index(*frames: DataFrame) -> DataFrame:
     """Sorted distinct item ids of all frames numbered from 1; 0 stays free for padding."""
     ids = frames[0].select("item_id")
@@ -102,15 +136,15 @@ def prefix_examples(
 ) -> DataFrame:
     """Every prefix of a history with its next item.
 
-    The padded input comes from a frame of ``max_seq_len`` rows. ``seen_ids`` repeats the whole
+    The padded input comes from pieces of a history that overlap by ``max_seq_len``. ``seen_ids`` repeats the whole
     prefix in each row by definition; ``first_seen`` is the linear-size form of the same facts.
     """
     encoded = sequence_positions(encode_interactions(train, index), keys_from=train)
-    by_user = Window.partitionBy("user_id").orderBy("position")
-    recent = F.collect_list("item_idx").over(by_user.rowsBetween(-max_seq_len, -1))
-    columns = ["user_id", "position", pad_left(recent, max_seq_len).alias("input_ids")]
+    encoded = last_rows(encoded, "item_idx", max_seq_len, "_recent")
+    columns = ["user_id", "position", pad_left(F.col("_recent"), max_seq_len).alias("input_ids")]
     columns.append(F.col("item_idx").alias("target_id"))
     if with_seen:
+        by_user = Window.partitionBy("user_id").orderBy("position")
         before = by_user.rowsBetween(Window.unboundedPreceding, -1)
         columns.append(F.array_sort(F.collect_set("item_idx").over(before)).alias("seen_ids"))
     out = encoded.select(*columns).where("position > 1")
@@ -127,9 +161,16 @@ def first_seen(train: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def eval_examples(
-    train: DataFrame, held_out: DataFrame, index: DataFrame, max_seq_len: int = 20
+    train: DataFrame,
+    held_out: DataFrame,
+    index: DataFrame,
+    max_seq_len: int = 20,
+    with_seen: bool = True,
 ) -> DataFrame:
-    """One row per held-out user that has train history."""
+    """One row per held-out user that has train history.
+
+    ``seen_ids`` lists the user's whole catalog; without it ``first_seen`` tells the same in rows.
+    """
     history = sequence_positions(encode_interactions(train, index), keys_from=train)
     latest = Window.partitionBy("user_id").orderBy(F.col("position").desc())
     recent = (
@@ -139,13 +180,16 @@ def eval_examples(
         .agg(F.sort_array(F.collect_list(F.struct("position", "item_idx"))).alias("e"))
         .select("user_id", pad_left(F.col("e.item_idx"), max_seq_len).alias("input_ids"))
     )
-    seen = history.groupBy("user_id").agg(F.array_sort(F.collect_set("item_idx")).alias("seen_ids"))
     targets = (
         encode_interactions(held_out, index)
         .groupBy("user_id")
         .agg(F.array_sort(F.collect_set("item_idx")).alias("target_ids"))
     )
-    return targets.join(recent, "user_id").join(seen, "user_id")
+    out = targets.join(recent, "user_id")
+    if not with_seen:
+        return out
+    seen = history.groupBy("user_id").agg(F.array_sort(F.collect_set("item_idx")).alias("seen_ids"))
+    return out.join(seen, "user_id")
 
 
 def negative_sampling(

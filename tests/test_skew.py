@@ -101,3 +101,25 @@ def test_only_groups_of_some_share_are_hot(spark):
     assert [r["k"] for r in skew.hot_of_counts(counts, 1_000_000).collect()] == ["c"]
     assert sorted(r["k"] for r in skew.hot_of_counts(counts.where("k <> 'c'"), 3).collect()) == ["b"]
     assert skew.hot_of_counts(counts, 10**12) is None
+
+
+def test_cut_histories_equal_whole_windows(spark, hot, monkeypatch):
+    df = events(spark)
+    catalog = spark.range(13).select(F.col("id").alias("item_id"))
+    index = splits.item_index(catalog)
+    whole = rows(splits.prefix_examples(df, index, 4, with_seen=False))
+    monkeypatch.setattr(splits.last_rows, "__defaults__", (5,))
+    assert rows(splits.prefix_examples(df, index, 4, with_seen=False)) == whole
+    inputs = {(r[0], r[1]): r[2] for r in whole}
+    placed = {(r["user_id"], r["position"]): r["item_idx"] for r in splits.encode_interactions(splits.sequence_positions(df), index).collect()}
+    for (user, position), got in inputs.items():
+        assert got == [placed.get((user, p), 0) for p in range(position - 4, position)]
+    full = {r["user_id"]: r for r in splits.user_sequences(df).collect()}
+    parts = sorted(splits.user_sequences(df, part_rows=7).collect(), key=lambda r: (r["user_id"], r["part"]))
+    assert max(r["sequence_length"] for r in parts) == 7
+    for user, want in full.items():
+        mine = [r for r in parts if r["user_id"] == user]
+        for name in ("item_sequence", "timestamp_sequence", "event_weight_sequence"):
+            assert sum((r[name] for r in mine), []) == want[name]
+    held = df.where("event_id % 10 = 0")
+    assert "seen_ids" not in splits.eval_examples(df, held, index, with_seen=False).columns
