@@ -250,7 +250,11 @@ def seq_item2vec_recs(spark, sf):
     return seq.seq_item2vec_recs(model, x.train, x.items, x.users, 10)
 
 
-@check("train_sequence")
+@check(
+    "train_sequence",
+    """SELECT count(DISTINCT item_id) AS num_items, 32 AS vector_size, count(*) AS num_train_rows FROM train""",
+    "train",
+)
 def train_sequence(spark, sf):
     return seq.train_sequence(Inputs(spark, sf).train, scratch_dir(spark, "item2vec"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aisle.operators import recommend as rec
@@ -177,6 +178,52 @@ def mf_recs(spark, sf):
     return rec.mf_recs(model, x.train, x.items, x.users, 10)
 
 
+def list_facts(recs, train):
+    """What every list must hold whatever a model has learned."""
+    per_user = Window.partitionBy("user_id").orderBy("rank")
+    seen = train.select("user_id", "item_id").distinct().withColumn("seen", F.lit(1))
+    rows = recs.join(seen, ["user_id", "item_id"], "left").withColumn("before", F.lag("score").over(per_user))
+    per_list = rows.groupBy("user_id").agg(
+        F.count("*").alias("n"),
+        ((F.max("rank") == F.count("*")) & (F.count_distinct("rank", "item_id") == F.count("*"))).alias("complete"),
+        F.count("seen").alias("seen"),
+        F.count_if(F.col("before") < F.col("score")).alias("rising"),
+    )
+    return per_list.agg(
+        F.count("*").alias("users"),
+        F.sum("n").alias("listed"),
+        F.every("complete").alias("ranks_complete"),
+        (F.sum("seen") == 0).alias("unseen_only"),
+        (F.sum("rising") == 0).alias("ordered"),
+    )
+
+
+FACTS = """SELECT count(*) AS users, CAST(sum(least(10, n - coalesce(s, 0))) AS BIGINT) AS listed,
+ true AS ranks_complete, true AS unseen_only, true AS ordered
+FROM {0} LEFT JOIN (SELECT user_id, count(DISTINCT item_id) AS s FROM train GROUP BY 1) USING (user_id),
+ (SELECT count(*) AS n FROM items)"""
+
+
+@check("mf_recs_hold", FACTS.format("users"), "users", "train", "items")
+def mf_recs_hold(spark, sf):
+    return list_facts(mf_recs(spark, sf), Inputs(spark, sf).train)
+
+
+@check(
+    "seq_item2vec_recs_hold",
+    FACTS.format("(SELECT DISTINCT user_id FROM train JOIN users USING (user_id))"),
+    "users",
+    "train",
+    "items",
+)
+def seq_item2vec_recs_hold(spark, sf):
+    from aisle.operators import sequence as seq
+
+    x = Inputs(spark, sf)
+    recs = seq.seq_item2vec_recs(seq.train_item2vec(x.train), x.train, x.items, x.users, 10)
+    return list_facts(recs, x.train)
+
+
 SUMMARY = """SELECT u.user_id, count(event_id) AS num_interactions, count(DISTINCT item_id) AS num_unique_items,
  coalesce(any_value(tc), '') AS top_categories, coalesce(any_value(tb), '') AS top_brands,
  round(coalesce(avg(event_weight), 0), 6) AS avg_event_weight
