@@ -32,7 +32,7 @@ _UNIT = re.compile(r"(?<=\S) ")
 _BEHIND = re.compile(r"\s ")
 _TAILS = (",", ".")
 #: Units met lately and those of the generation before, which move on when met again.
-_ENCODERS: dict[str, tuple[object, dict[str, dict[str, bytes]]]] = {}
+_ENCODERS: dict[str, tuple[object, np.ndarray, dict[str, dict[str, bytes]]]] = {}
 
 
 def _encoder(path: str):
@@ -42,7 +42,11 @@ def _encoder(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _ENCODERS[path] = (tokenizer, {"new": {}, "old": {}})
+        # a byte-level token has one character for each of its bytes
+        sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            sizes[i] = len(token)
+        _ENCODERS[path] = (tokenizer, sizes, {"new": {}, "old": {}})
     return _ENCODERS[path]
 
 
@@ -51,13 +55,32 @@ def _encode(tokenizer, texts: list[str]) -> list[bytes]:
     return [array("i", e.ids).tobytes() for e in found]
 
 
+def _encode_units(tokenizer, sizes: np.ndarray, units: list[str]) -> dict[str, bytes]:
+    """Ids of each unit with the space before it.
+
+    A space behind anything but white space starts a token, so units that do not end in white space
+    are encoded end to end in one call; the bytes that the ids stand for tell where each one ends.
+    """
+    last = [u for u in units if not u or u[-1].isspace()]
+    rest = [u for u in units if u and not u[-1].isspace()]
+    found = dict(zip(last, _encode(tokenizer, [" " + u for u in last])))
+    if rest:
+        ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(rest)], add_special_tokens=False)[0].ids, "<i4")
+        ends = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in rest), np.int64, len(rest)))
+        cuts = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
+        data = ids.tobytes()
+        starts = [0, *(4 * cuts[:-1]).tolist()]
+        found.update((u, data[a:b]) for u, a, b in zip(rest, starts, (4 * cuts).tolist()))
+    return found
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers.
 
     Texts are cut where the tokenizer's own pattern always cuts, and each distinct unit is encoded
     once, which gives the ids of the whole text.
     """
-    tokenizer, kept = _encoder(path)
+    tokenizer, sizes, kept = _encoder(path)
     if len(kept["new"]) > CACHE_UNITS:
         kept["old"], kept["new"] = kept["new"], {}
     cache, old = kept["new"], kept["old"]
@@ -76,7 +99,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     # a comma or full stop behind a letter or digit is always a token of its own
     ended = [u for u in missing if u[-1:] in _TAILS and u[-2:-1].isalnum()]
     needed = list({*missing, *(u[:-1] for u in ended)}.difference(cache).difference(ended))
-    cache.update(zip(needed, _encode(tokenizer, [" " + u for u in needed])))
+    cache.update(_encode_units(tokenizer, sizes, needed))
     tails = dict(zip(_TAILS, _encode(tokenizer, list(_TAILS))))
     cache.update((u, cache[u[:-1]] + tails[u[-1]]) for u in ended)
     starts = _encode(tokenizer, heads)
