@@ -9,8 +9,12 @@ its sizes call for is discarded, as is one whose bitmaps differ in more bits tha
 on their whole sets.
 
 Columns with many rows (passages that thousands of documents share, groups of near copies) are put
-last in the order. Where they are needed all the same, rows are first compared with one row of the
-column and linked, and only rows of different components are multiplied after that.
+last in the order. Where they are needed all the same, rows are first compared with some heads of the
+column and linked, again and again while that leaves fewer to meet, and only rows of different
+components are multiplied after that.
+
+Incidences carry a column, a set and its size alone; bitmaps join the pairs that the sizes and sums
+leave.
 
 N-grams are held as 64-bit hashes and sets as the 128 bits of two sums over them.
 """
@@ -34,10 +38,15 @@ PERCENT = 85
 FREQUENT = 64
 #: Rounds in which frequent columns are looked for and put last.
 ROUNDS = 1
-#: At most so often the rows of frequent columns are linked with one row of the column.
-STARS = 3
-#: They are, as long as a row of them meets more others than this on average.
+#: Rows of frequent columns are compared with heads of the column as long as a row of them meets more
+#: others than this on average and the last comparison found more than a pair per so many of these rows.
 STAR_PARTNERS = 256
+STAR_ROWS = 200
+#: Heads of a column and size band, and about how many columns of a row are looked at in each turn.
+HEADS = 8
+STAR_COLUMNS = 8
+#: Up to this size bitmaps tell most unlike sets apart.
+MAPPED_SIZE = 1200
 PIECE_BYTES = 1 << 21
 #: 64-bit words of a set's bitmap.
 MAP_WORDS = 8
@@ -308,13 +317,17 @@ def components(links: DataFrame) -> DataFrame:
 def _classes(
     docs: DataFrame, signed: DataFrame, ngram: int, percent: int, frequent_rows: int, rounds: int
 ):
-    """Distinct sets with their first columns, and the columns that two or more of them share."""
-    distinct = signed.where("n > 0").select("c1", "c2", "n", *MAP, "columns").dropDuplicates(["c1", "c2"])
-    classes = materialise(distinct.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    """``c1, c2, cid`` of distinct sets, their ``cid, n, bits0..``, their first columns ``cid, n,
+    columns``, and the columns that two or more of them share."""
+    filled = signed.where("n > 0")
+    classes = materialise(filled.groupBy("c1", "c2").agg(F.min("cid").alias("cid")), "classes")
+    named = by_size(classes)
+    kept = filled.drop("c1", "c2").join(by_size(classes.select("cid")), "cid")
+    first = columns = kept.select("cid", "n", "columns")
     known = np.zeros(0, np.uint64)
     for turn in range(rounds + 1):
         shared = materialise(
-            classes.select(F.explode("columns").alias("h"))
+            columns.select(F.explode("columns").alias("h"))
             .groupBy("h")
             .agg(F.count("*").alias("m"))
             .where("m > 1"),
@@ -323,22 +336,31 @@ def _classes(
         frequent = shared.where(F.col("m") > frequent_rows).select("h")
         # the order only decides how much work there is; a list too long to send stays as it is
         if turn == rounds or frequent.isEmpty() or not is_small(frequent, 2 * BROADCAST_ROWS):
-            return classes, shared
+            break
         new = np.array([r.h for r in frequent.toLocalIterator()], np.int64).view(np.uint64)
         joined = np.union1d(known, new)
         if len(joined) == len(known) or len(joined) > 2 * BROADCAST_ROWS:
-            return classes, shared
+            break
         known = joined
         sent = docs.sparkSession.sparkContext.broadcast(known)
-        changed = _columns(docs, ngram, percent, sent).select("c1", "c2", F.col("columns").alias("again"))
-        changed = changed.dropDuplicates(["c1", "c2"])
-        classes = materialise(
-            classes.join(changed, ["c1", "c2"], "left").select(
-                "c1", "c2", "n", *MAP, "cid", F.coalesce("again", "columns").alias("columns")
-            ),
-            "classes",
-        )
-    return classes, shared
+        again = _columns(docs, ngram, percent, sent).select("c1", "c2", "n", "columns")
+        again = again.dropDuplicates(["c1", "c2"]).join(named, ["c1", "c2"])
+        again = materialise(again.select("cid", "n", "columns"), "again")
+        columns = first.join(by_size(again.select("cid")), "cid", "left_anti").unionByName(again)
+    return classes, kept.select("cid", "n", *MAP), columns, shared
+
+
+def _similar_in_size(percent: int) -> Column:
+    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+
+
+def _mapped(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and bitmaps leave the similarity possible."""
+    one, two = (
+        maps.select(F.col("cid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", *MAP)])
+        for end in ("a", "b")
+    )
+    return pairs.join(one, "a").join(two, "b").where(_may_link(percent)).select("a", "b")
 
 
 def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
@@ -369,27 +391,35 @@ def _mixed(many: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(labelled.join(mixed.select("h"), "h"), "open")
 
 
-def _crowded(rows: DataFrame) -> bool:
-    """Whether a row meets many rows of other components in its columns, on average."""
+def _met(rows: DataFrame) -> tuple[int, int]:
+    """How many rows of other components the rows meet in their columns, and the number of rows."""
     sizes = rows.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h")
     sizes = sizes.agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"))
     met = sizes.agg(F.sum(F.col("all") * F.col("all") - F.col("same")).alias("met"), F.sum("all").alias("n")).first()
-    return bool(met.n) and met.met > STAR_PARTNERS * met.n
+    return met.met or 0, met.n or 0
 
 
 def _stars(rows: DataFrame, star: int, percent: int) -> DataFrame:
-    """Pairs of each row and the head of its column, in its own or the next smaller band.
+    """Pairs of rows and heads of some of their columns, in their own or the next smaller band.
 
-    Heads go by a hash that differs from star to star. These pairs only save work later, so a pair
-    that met in fewer than half of the columns it would have to share is left to the full product.
+    Heads go by a hash that differs from star to star. Those of small sets also differ from column to
+    column, so a row meets many, and their bitmaps decide. Large sets meet one head in all columns,
+    and a pair that met in fewer than half of the columns it would have to share is left out. These
+    pairs only save work later; what is left out here comes back in the full product.
     """
-    lead = F.struct(F.xxhash64(F.lit(star), "cid").alias("lead"), "cid", "n", "root", *MAP)
-    heads = rows.groupBy("h", "band").agg(F.min(lead).alias("head"))
+    small = F.col("n") <= MAPPED_SIZE
+    lead = F.xxhash64(F.lit(star), F.when(small, F.col("h")).otherwise(0), "cid")
+    lead = F.struct(lead.alias("lead"), "cid", "n", "root", *MAP)
+    group = F.when(small, F.pmod(F.xxhash64("cid", F.lit(star)), F.lit(HEADS))).otherwise(0)
+    heads = rows.groupBy("h", "band", group.alias("group")).agg(F.min(lead).alias("head"))
+    heads = by_size(materialise(heads, "heads"), BROADCAST_ROWS // 8)
+    turn = F.pmod(F.xxhash64(F.lit(star), "h"), F.lit(1000)) * F.col("held") < 1000 * STAR_COLUMNS
+    looked = rows.where(~small | turn)
     met = []
     for step in (0, 1):
         near = heads.select("h", (F.col("band") + step).alias("band"), "head")
         met.append(
-            rows.join(near, ["h", "band"])
+            looked.join(near, ["h", "band"])
             .where(F.col("root") != F.col("head.root"))
             .where(_may_link(percent, "{}", "head.{}"))
             .select(
@@ -404,7 +434,7 @@ def _stars(rows: DataFrame, star: int, percent: int) -> DataFrame:
     )
     return (
         met[0].union(met[1]).groupBy("a", "b", "most", "total").agg(F.count("*").alias("shared"))
-        .where(F.col("shared") * 2 >= share)
+        .where((F.col("most") <= MAPPED_SIZE) | (F.col("shared") * 2 >= share))
         .select("a", "b")
     )
 
@@ -413,29 +443,28 @@ def class_roots(
     docs: DataFrame, signed: DataFrame, ngram: int, percent: int, frequent_rows: int, rounds: int
 ) -> DataFrame:
     """``c1, c2, cid, root`` of all distinct sets."""
-    classes, shared = _classes(docs, signed, ngram, percent, frequent_rows, rounds)
-    rows = classes.select("cid", "n", *MAP, F.explode("columns").alias("h")).join(by_size(shared), "h")
+    classes, maps, columns, shared = _classes(docs, signed, ngram, percent, frequent_rows, rounds)
+    # merged at every size, as the list of shared columns grows with the input
+    rows = columns.select("cid", "n", F.explode("columns").alias("h")).join(shared.hint("merge"), "h")
     rows = materialise(rows, "incidence")
     often = F.col("m") > frequent_rows
-    held = rows.where(often).groupBy("cid").agg(F.count("*").alias("held"))
-    rows = materialise(
-        rows.join(held, "cid", "left").withColumn("held", F.coalesce("held", F.lit(0))), "incidence"
-    )
+    held = materialise(rows.where(often).groupBy("cid").agg(F.count("*").alias("held")), "held")
+    rows = rows.join(by_size(held), "cid", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     few, many = rows.where(~often), rows.where(often)
 
     # products of columns with few rows
     products = _side(few, "a").join(_side(few, "b"), "h").where(
-        (F.col("a") < F.col("b")) & _may_link(percent)
+        (F.col("a") < F.col("b")) & _similar_in_size(percent)
     )
-    pairs = _bounded(products, percent)
+    pairs = materialise(_mapped(_bounded(products, percent), maps, percent), "pairs")
 
-    # in the others each row meets one row of about its size, another one each time
+    # in the others each row meets heads of about its size, other ones each time
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))))
-    many = materialise(many.select("h", "cid", "n", "held", *MAP, band.alias("band")), "frequent")
-    pairs = materialise(pairs, "pairs")
+    many = many.select("h", "cid", "n", "held", band.alias("band")).join(maps.drop("n"), "cid")
+    many = materialise(many, "frequent")
     involved = pairs.select(F.col("a").alias("cid")).union(pairs.select("b"))
     involved = involved.union(many.select("cid")).distinct()
-    wanted = materialise(classes.select("cid", "c1", "c2").join(involved, "cid"), "involved")
+    wanted = materialise(classes.join(involved, "cid"), "involved")
     sets = materialise(
         _sets(docs, ngram).join(by_size(wanted), ["c1", "c2"]).dropDuplicates(["cid"]).select("cid", "grams"),
         "sets",
@@ -443,8 +472,10 @@ def class_roots(
     links = _verified(pairs, sets, percent)
     roots = components(links)
     open_rows = _mixed(many, roots)
-    for star in range(STARS):
-        if not _crowded(open_rows):
+    star, last = 0, None
+    while True:
+        met, count = _met(open_rows)
+        if met <= STAR_PARTNERS * count or (last is not None and last * STAR_ROWS <= count):
             break
         tried = _stars(open_rows, star, percent).join(pairs, ["a", "b"], "left_anti")
         tried = materialise(tried, "stars")
@@ -452,6 +483,7 @@ def class_roots(
         links = materialise(links.union(_verified(tried, sets, percent)), "links")
         roots = components(links)
         open_rows = _mixed(many, roots)
+        star, last = star + 1, tried.count()
 
     # rows of one frequent column that are still in different components
     if not open_rows.isEmpty():
@@ -468,9 +500,7 @@ def class_roots(
         found = _verified(rest, sets, percent)
         links = links.union(found)
         roots = components(links) if not found.isEmpty() else roots
-    return classes.select("c1", "c2", "cid").join(roots, "cid", "left").select(
-        "c1", "c2", F.coalesce("root", "cid").alias("root")
-    )
+    return classes.join(roots, "cid", "left").select("c1", "c2", F.coalesce("root", "cid").alias("root"))
 
 
 def near_duplicates(
@@ -490,7 +520,8 @@ def near_duplicates(
     rows link like copies. An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialise(_columns(rows, ngram, percent), "signed")
+    signed = _columns(rows, ngram, percent).withColumn("cid", F.monotonically_increasing_id())
+    signed = materialise(signed, "signed")
     roots = class_roots(rows, signed, ngram, percent, frequent_rows, rounds)
     lows = signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("low"))
     lows = materialise(lows.join(roots, ["c1", "c2"]), "lows")
