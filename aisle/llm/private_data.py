@@ -218,21 +218,36 @@ FEATURES = {
 }
 
 
+def overlaps(found: DataFrame) -> DataFrame:
+    """Adds ``siblings``, ``taken`` and ``_same``: overlap with a base span, or its kind and end.
+
+    In the order of the base spans' starts and the others' ends, the largest end of the base spans so
+    far tells whether one of them reaches into a candidate. The rows of a text move once.
+    """
+    base = F.col("base")
+    # base spans are not counted, as they would give the label away
+    siblings = F.count(F.when(~base, 1)).over(Window.partitionBy("row", "run"))
+    at = F.when(base, F.col("start")).otherwise(F.col("end") - 1)
+    earlier = Window.partitionBy("row").orderBy(at, base.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(base, F.col("end"))).over(earlier)
+    start = F.max(F.when(base, F.col("start"))).over(Window.partitionBy("row", "kind", "end"))
+    return found.repartition("row").withColumns(
+        {
+            "siblings": siblings,
+            "taken": F.coalesce(reach > F.col("start"), F.lit(False)),
+            "_same": F.coalesce(start >= F.col("start") - 1, F.lit(False)),
+        }
+    )
+
+
 def featured(found: DataFrame) -> DataFrame:
     """Candidates that are not base spans, with features, the label and overlap with base spans."""
-    # base spans are not counted, as they would give the label away
-    siblings = F.count(F.when(~F.col("base"), 1)).over(Window.partitionBy("row", "run"))
-    spans = F.collect_list(F.when(F.col("base"), F.struct("start", "end", "kind"))).over(Window.partitionBy("row"))
-    rows = found.where("kind is not null").withColumns({"siblings": siblings, "_base": spans}).where("not base")
-    inside = lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))
-    like = lambda b: (b["kind"] == F.col("kind")) & (b["start"] >= F.col("start") - 1) & (b["end"] == F.col("end"))
+    rows = overlaps(found.where("kind is not null")).where("not base")
     passes = _passes(F.col("kind"), F.col("match"))
     context = F.lit(False)
     for kind, words in CONTEXT.items():
         context = context | ((F.col("kind") == kind) & F.col("before").rlike(words))
-    rows = rows.withColumns(
-        {"taken": F.exists("_base", inside), "_same": F.exists("_base", like), "_passes": passes, "_context": context}
-    ).drop("_base")
+    rows = rows.withColumns({"_passes": passes, "_context": context})
     key = F.xxhash64("kind", _normal(F.col("kind"), F.col("match")))
     known = found.where("kind is not null and base").select(key.alias("_key")).distinct()
     known = by_size(materialise(known, "known").withColumn("_known", F.lit(True)))
