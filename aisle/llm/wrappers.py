@@ -28,6 +28,8 @@ from aisle.llm.common import by_size, materialise
 #: So many wrappers meet in one step of the merge.
 FAN_IN = 64
 RULES_SENT = 5_000
+#: Elements below this depth are put next to each other, with all their text.
+DEPTH = 120
 #: Wrappers that share at least this part of their text's places are of one template.
 ALIKE = 0.3
 
@@ -51,11 +53,10 @@ _WORDS = (
 MARKS = re.compile(rf"(?:^|\s){_WORDS}(?:$|\s)", re.I)
 PART_MARKS = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|<[!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
+_RAW = re.compile(r"<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*>", re.I)
+_START = re.compile("</?[a-zA-Z]")
+_PLAIN = re.compile(r"""</?[a-zA-Z][^<>"']*(?:"[^<>"]*"[^<>"']*)*>""")
+_STOP = re.compile("[>\"']")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _DIGITS = re.compile("[0-9]+")
@@ -95,39 +96,142 @@ class Text:
         self.value, self.slot, self.chars, self.seen = value, slot, chars, seen
 
 
+def tokens(page: str) -> Iterator[str]:
+    """Texts and tags of a page in order, without comments, declarations and raw elements.
+
+    A tag ends at the first closing sign outside of quotes; a sign that opens no such tag is text. What
+    one search has learnt serves the next, so pages of tags that never end take linear time as well.
+    """
+    at, size, last = 0, len(page), page.rfind(">")
+    searched, stop = 0, -1
+    failed: set[int] = set()
+
+    def tag_end(at: int) -> int:
+        nonlocal searched, stop
+        if not searched <= at <= stop:
+            searched, stop = at, found.start() if (found := _STOP.search(page, at)) else size
+        here, seen = stop, []
+        while here < size and here not in failed:
+            if page[here] == ">":
+                return here + 1
+            seen.append(here)
+            close = page.find(page[here], here + 1)
+            found = _STOP.search(page, close + 1) if close >= 0 else None
+            here = found.start() if found else size
+        failed.update(seen)
+        return -1
+
+    while at < size:
+        begin = page.find("<", at)
+        if begin != at:
+            yield page[at : begin if begin > 0 else size]
+            if begin < 0:
+                return
+            at = begin
+        plain = _PLAIN.match(page, at)
+        if plain and page[at + 1] not in "sntiSNTI":
+            yield plain[0]
+            at = plain.end()
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if at < last:
+            if raw := _RAW.match(page, at):
+                end = re.compile(rf"</{raw[1]}\s*>", re.I).search(page, raw.end())
+                at = end.end() if end else size
+                continue
+            if plain:
+                yield plain[0]
+                at = plain.end()
+                continue
+            if page[at + 1] in "!?":
+                at = page.find(">", at) + 1
+                continue
+            if start := _START.match(page, at):
+                end = tag_end(start.end())
+                if end > 0:
+                    yield page[at:end]
+                    at = end
+                    continue
+        yield "<"
+        at += 1
+
+
+class _Open:
+    """An open element: its node, the open block that holds it, and its name below ``DEPTH``."""
+
+    __slots__ = ("name", "node", "block", "deep")
+
+    def __init__(self, name: str, node: Node | None, block: int, deep: Node | None = None):
+        self.name, self.node, self.block, self.deep = name, node, block, deep
+
+
 def parse(page: str) -> Node:
-    """The page as a tree; open elements end where their parent or a rival begins or ends."""
+    """The page as a tree; open elements end where their parent or a rival begins or ends.
+
+    Elements below ``DEPTH`` become neighbours inside the last one above: each stretch of text goes to an
+    element of its innermost block, or of the outermost one that is not read or hints at other things.
+    """
     root = Node("#page")
-    stack = [root]
-    for found in _TOKEN.finditer(page):
-        token = found[0]
+    stack = [_Open("#page", root, 0)]
+    opened: dict[str, int] = {}
+    part: tuple[int, Node] | None = None
+
+    def cut(depth: int) -> None:
+        nonlocal part
+        for gone in stack[depth:]:
+            opened[gone.name] -= 1
+        del stack[depth:]
+        part = None
+
+    def put(child: Node | str) -> None:
+        nonlocal part
+        top = stack[-1]
+        if top.node is not None:
+            top.node.children.append(child)
+            return
+        if part is None or part[0] != id(top.deep):
+            part = (id(top.deep), Node(top.deep.name, top.deep.mark, top.deep.kind))
+            stack[DEPTH].node.children.append(part[1])
+        part[1].children.append(child)
+
+    for token in tokens(page):
         if token[0] != "<" or token == "<":
-            stack[-1].children.append(entities.unescape(token))
-            continue
-        if found[1] or token[1] in "!?":
+            put(entities.unescape(token))
             continue
         name = _NAME.match(token)[1].lower()
         if token[1] == "/":
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    del stack[depth:]
-                    break
+            if opened.get(name):
+                depth = len(stack) - 1
+                while stack[depth].name != name:
+                    depth -= 1
+                cut(depth)
             continue
         if name not in INLINE and name not in VOID:
             # a new block ends an open paragraph; a new item of a kind ends the last one
             rivals = {"p"} | ({name} if name in ("li", "dt", "dd", "tr", "td", "th", "option") else set())
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name in rivals:
-                    del stack[depth:]
-                    break
-                if stack[depth].name not in INLINE:
-                    break
+            if stack[stack[-1].block].name in rivals:
+                cut(stack[-1].block)
         marks = [(a.lower() != "class", b or c or d) for a, b, c, d in _ATTRIBUTE.findall(token)] if "=" in token else []
         kind = None if any(not other for other, _ in marks) else name
         node = Node(name, " ".join(m for _, m in sorted(marks, key=lambda m: m[0])), kind)
-        stack[-1].children.append(node)
-        if name not in VOID and not token.endswith("/>"):
-            stack.append(node)
+        closed = name in VOID or token.endswith("/>")
+        if len(stack) <= DEPTH or closed:
+            put(node)
+        if closed:
+            continue
+        top = stack[-1]
+        block = top.block if name in INLINE else len(stack)
+        opened[name] = opened.get(name, 0) + 1
+        if len(stack) <= DEPTH:
+            stack.append(_Open(name, node, block))
+            continue
+        above = top.deep
+        kept = above is not None and (above.hint == 2 or above.name in UNSEEN or name in INLINE)
+        stack.append(_Open(name, None, block, above if kept else node))
+        part = part if kept else None
     return root
 
 
@@ -173,7 +277,12 @@ def _unpacked(row: list):
 
 
 def _match(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence of kinds."""
+    """A longest common subsequence of kinds.
+
+    The lengths for the ends of both lists are kept as one bit per step along ``b``, set where a kind
+    more adds to the length. Only one row of bits per block of ``a`` is kept; the rows inside a block
+    are made again when the way through it is read off.
+    """
     first = 0
     while first < len(a) and first < len(b) and a[first] == b[first]:
         first += 1
@@ -182,18 +291,44 @@ def _match(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
         last += 1
     tail = [(len(a) - k, len(b) - k) for k in range(last, 0, -1)]
-    m, n = len(a) - last, len(b) - last
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m - 1, first - 1, -1):
-        for j in range(n - 1, first - 1, -1):
-            same = a[i] == b[j]
-            best[i][j] = best[i + 1][j + 1] + 1 if same else max(best[i + 1][j], best[i][j + 1])
-    i = j = first
-    while i < m and j < n:
-        if a[i] == b[j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+    m, n = len(a) - last - first, len(b) - last - first
+    if not m or not n:
+        return pairs + tail
+    places: dict[str, int] = {}
+    for j in range(n):
+        # bit k stands for the place k + 1 from the end
+        places[b[first + j]] = places.get(b[first + j], 0) | 1 << (n - 1 - j)
+    every = (1 << n) - 1
+
+    def before(row: int, i: int) -> int:
+        same = places.get(a[first + i])
+        if not same:
+            return row
+        # the lowest place of each run takes over the step
+        free = every ^ row
+        hit = free & same
+        return every ^ (((free + hit) | (free - hit)) & every)
+
+    block = int(m**0.5) + 1
+    kept, row = {m: 0}, 0
+    for i in range(m - 1, -1, -1):
+        row = before(row, i)
+        if i % block == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+    i = j = 0
+    left = kept[0].bit_count()
+    while left and i < m and j < n:
+        if i + 1 not in rows:
+            start = i - i % block
+            end = min(start + block, m)
+            rows, row = {end: kept[end]}, kept[end]
+            for k in range(end - 1, start - 1, -1):
+                rows[k] = row = before(row, k)
+        if a[first + i] == b[first + j]:
+            pairs.append((first + i, first + j))
+            i, j, left = i + 1, j + 1, left - 1
+        elif rows[i] >> (n - 1 - j) & 1 or (rows[i + 1] & ((1 << (n - j)) - 1)).bit_count() == left:
             i += 1
         else:
             j += 1

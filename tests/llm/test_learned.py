@@ -160,6 +160,24 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in private_data.redacted(docs, spans).collect()} == {5: "mail [email] or [phone].", 6: None}
 
 
+def test_overlaps_with_base_spans_in_texts_of_many(spark):
+    """The windows tell what comparing each candidate with each base span tells; many spans take seconds."""
+    drawn = random.Random(5)
+    parts = ["a.b@c.example", "x@y", "10.0.0.1", "1.2.3.4.5.6", "+49 30 1234 5678", "(386) 555-3733", "4111 1111 1111 1111", "me [at] host [dot] com", "and", "12 34 56"]
+    rows = [(k, "".join(drawn.choice(parts) + drawn.choice([" ", "", ", "]) for _ in range(40))) for k in range(60)]
+    found = private_data.candidates(docs_of(spark, rows).select(F.col("doc_id").cast("long").alias("row"), "doc_id", "text"))
+    got = private_data.overlaps(found.where("kind is not null")).collect()
+    base = [r for r in got if r.base]
+    assert base and any(r.taken for r in got if not r.base) and not all(r.taken for r in got if not r.base)
+    for r in (r for r in got if not r.base):
+        mine = [b for b in base if b.row == r.row]
+        assert r.taken == any(b.start < r.end and b.end > r.start for b in mine), r
+        assert r._same == any(b.kind == r.kind and b.start >= r.start - 1 and b.end == r.end for b in mine), r
+    many = docs_of(spark, [(1, " ".join(f"user{k}@host{k % 7}.example" for k in range(100_000)))])
+    row = private_data.private_digest(private_data.private_spans(many, trees=2)).first()
+    assert row.n_email == 100_000 and row.spans.count(",") == 99_999
+
+
 def page(k, body, side=""):
     return (
         f"<!DOCTYPE html><html><head><title>t{k}</title><script>var t='</p>';</script></head><body><nav><ul>"
@@ -230,6 +248,58 @@ def test_wrappers_come_from_all_pages_of_a_host(spark):
     assert texts_of(spark, pages) == want
 
 
+def plain_match(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_match_is_a_longest_common_subsequence():
+    drawn = random.Random(7)
+    for _ in range(800):
+        a, b = ([drawn.choice("abcde"[: drawn.randint(1, 5)]) for _ in range(drawn.randint(0, 40))] for _ in "ab")
+        pairs = wrappers._match(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and len(pairs) == plain_match(a, b)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
+def test_tokens_of_tags_that_never_end():
+    assert list(wrappers.tokens("a<b c='>'>d< e<!x>f<!-- <i> -->g<script a>h<i></script >k<p 'l")) == [
+        "a", "<b c='>'>", "d", "<", " e", "f", "g", "k", "<", "p 'l",
+    ]
+    for part in ("<a ", "<a \"<b '", "<!", "<script ", "<a b='"):
+        page = part * (300_000 // len(part))
+        assert "".join(wrappers.tokens(page)) == page, part
+
+
+def test_deep_pages_keep_all_texts(spark):
+    levels = 20_000
+    deep = "".join(f"<div>at {k} <b>x</b>" for k in range(levels))
+    tail = "".join("tail</div>" for _ in range(levels))
+    aside = "<div>" * 500 + "kept<nav><div>go <i>away</i></div></nav>too" + "</div>" * 500
+    inline = "".join(f"<i class='c{'abcdefgh'[k * k % 8]}'>w{k} " for k in range(levels))
+    pages = [deep + tail, aside, "<p>" + inline, "<i>" * levels + "</p>" * levels + "end", "<div>" * 100_000]
+    want = [
+        "\n".join([*(f"at {k} x" for k in range(levels)), *["tail"] * levels]),
+        "kept\ntoo",
+        " ".join(f"w{k}" for k in range(levels)),
+        "end",
+        "",
+    ]
+    assert [wrappers.extract(p, []) for p in pages] == want
+    assert texts_of(spark, pages)[1:2] == want[1:2]
+
+
+def test_pages_of_many_mixed_elements(spark):
+    drawn = random.Random(3)
+    words = lambda: "".join(f"<{t}>w</{t}> {k} " for k, t in enumerate(drawn.choices(["b", "i", "u", "em", "code", "q"], k=8_000)))
+    pages = [f"<body><article><p>{words()}</p></article></body>" for _ in range(2)]
+    text = " ".join(f"w {k}" for k in range(8_000))
+    assert texts_of(spark, pages) == [text, text]
+
+
 def test_registry():
     assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(n) for n in range(1, 11)}
     assert set(ORACLES) <= set(QUERIES)
