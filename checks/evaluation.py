@@ -84,23 +84,23 @@ def build_recommender(spark, sf):
     return rounded(m.reco_metrics(recs, x.test, x.items, (10,)))
 
 
-@check("build_retriever", """SELECT query_id, item_id, rank FROM pairs JOIN tfidf_top USING (query_text) WHERE rank <= 10""",
+@check("build_retriever", """SELECT query_id, item_id, rank FROM pairs JOIN tfidf_top USING (query_text)""",
        "pairs", "tfidf_top")
 def build_retriever(spark, sf):
     from aisle.plans.retrievers import build_retriever as build
 
     x = Inputs(spark, sf)
-    return build("dense", x.items)(x.pairs, 10).select("query_id", "item_id", "rank")
+    return build("dense", x.items)(x.pairs, 50).select("query_id", "item_id", "rank")
 
 
-@check("save_index", """SELECT query_id, item_id, round(bm25_score, 6) AS score, rank FROM pairs JOIN bm25_top USING (query_text) WHERE rank <= 10""",
+@check("save_index", """SELECT query_id, item_id, round(bm25_score, 6) AS score, rank FROM pairs JOIN bm25_top USING (query_text)""",
        "pairs", "bm25_top")
 def save_index(spark, sf):
     from aisle.sources import files
 
     x = Inputs(spark, sf)
     path = files.save_index(x.bm25, scratch_dir(spark, "index"), {"method": "bm25", "k1": 1.5, "b": 0.75})
-    top = r.topk(files.load_index(spark, path), x.pairs, 10)
+    top = r.topk(files.load_index(spark, path), x.pairs, 50)
     return rounded(top.select("query_id", "item_id", "score", "rank"))
 
 

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from aisle.operators import ranking, vectors
+from aisle.operators import ranking, tuning, vectors
+from aisle.plans import evaluate
 from aisle.plans.rankers import build_ranker
 from aisle.plans.retrievers import build_retriever, encode_items
 
@@ -74,3 +75,37 @@ def test_rankers_by_name(spark, items, tmp_path):
     for wrong in (("none", None), ("cross_encoder", None)):
         with pytest.raises(ValueError):
             build_ranker(wrong[0], frame, wrong[1])
+
+
+def test_results_are_stored_as_versions(spark, tmp_path):
+    root = str(tmp_path / "results")
+    row = lambda method, score, **more: spark.createDataFrame([{"method": method, "split": "test", "config_path": "c", "score": score, **more}])
+    assert evaluate.stored_results(spark, root) is None
+    evaluate.record_results(row("a", 1.0), root)
+    evaluate.record_results(row("b", 2.0, extra="x"), root)
+    (tmp_path / "results" / "version=000002").mkdir()  # a writer that was lost
+    evaluate.record_results(row("a", 3.0), root)
+    got = {(r["method"], r["score"], r["extra"]) for r in evaluate.stored_results(spark, root).collect()}
+    assert got == {("a", 3.0, None), ("b", 2.0, "x")}
+
+
+def test_evaluate_and_sweep_by_method(spark, items):
+    items = items.withColumn("description", F.lit(""))
+    pairs = spark.createDataFrame(
+        [("a", "running shoes", 1, "test", "title"), ("b", "office lamp", 3, "test", "title"), ("c", "office lamp", 4, "test", "brand"), ("d", "cream", 2, "val", "title")],
+        "query_id string, query_text string, target_item_id long, split string, source string",
+    )
+    row = evaluate.evaluate_retrieval("bm25", items, pairs, k_values=(1, 3), config_path="c").first()
+    assert (row["method"], row["split"], row["config_path"], row["num_queries"]) == ("bm25", "test", "c", 3)
+    assert abs(row["recall_at_1"] - 2 / 3) < 1e-9
+    with pytest.raises(ValueError):
+        evaluate.evaluate_retrieval("bm25", items, pairs, split="none")
+    configs = [{"name": "low", "method": "bm25", "settings": {"k1": 0.5}}, {"name": "fused", "method": "hybrid"}, {"name": "rerank", "method": "overlap_rerank"}]
+    found = evaluate.sweep_retrievers(configs, items, pairs, 3)
+    per_query = tuning.sweep_per_query(found, pairs, (1, 3))
+    summary = {r["config_name"]: r for r in tuning.sweep_summary(per_query).collect()}
+    assert set(summary) == {"low", "fused", "rerank"}
+    assert all(r["num_queries"] == 4 and r["recall_at_1"] == 0.75 for r in summary.values())
+    for wrong in ([], [configs[0], configs[0]]):
+        with pytest.raises(ValueError):
+            evaluate.sweep_retrievers(wrong, items, pairs)
